@@ -156,7 +156,8 @@ def feature_names(stages: Sequence[Transformer], categories: Sequence[str]) -> l
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balancing weight of each class: rows / (classes x rows of the class)."""
-    sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    # Settled: the sizes are read for each class and for their sum.
+    sizes = settle(df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")))
     whole = sizes.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).alias("w")).scalar()
     return sizes.withColumn("weight", whole["rows"] / (whole["classes"] * F.col("n")))
 

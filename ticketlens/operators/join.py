@@ -24,15 +24,16 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
 
 
 def left_lookup(
-    left: DataFrame, right: DataFrame, key: str, max_rows: int | None = None
+    left: DataFrame, right: DataFrame, key: str, max_rows: int | None = None, counted: DataFrame | None = None
 ) -> DataFrame:
     """Left equi join to ``right``, which has one row per key; the row count never grows.
 
     A right side counted to be small is broadcast, so the left is not shuffled.
     Otherwise hot keys are answered from a broadcast of their few right rows,
     and they and null keys are spread over the shuffle by a hash of the row.
+    ``counted`` is a cheaper table that has no fewer rows than ``right``.
     """
-    if fits(right, max_rows):
+    if fits(right if counted is None else counted, max_rows):
         return left.join(F.broadcast(right), key, "left")
 
     added = [c for c in right.columns if c != key]
@@ -55,9 +56,11 @@ def left_lookup(
     )
 
 
-def enrich(left: DataFrame, right: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
+def enrich(
+    left: DataFrame, right: DataFrame, key: str, max_rows: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Left join that adds only the right columns the left does not have yet."""
-    return left_lookup(left, right.select(key, *new_columns(left, right, key)), key, max_rows)
+    return left_lookup(left, right.select(key, *new_columns(left, right, key)), key, max_rows, counted)
 
 
 def new_columns(left: DataFrame, right: DataFrame, key: str) -> list[str]:
@@ -89,7 +92,7 @@ def lookup_first(
     position = F.col(order) if isinstance(order, str) else order
     ordered = other.select(key, *present, position.alias("_order"))
     first = keep_first(ordered, key, "_order", drop_order=True)
-    return enrich(df, first, key, max_rows)
+    return enrich(df, first, key, max_rows, counted=other)
 
 
 def mapping_table(df: DataFrame, mapping: Mapping[str, object], key: str, value: str) -> DataFrame:

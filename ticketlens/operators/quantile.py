@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.session import small_side
+from ticketlens.session import attach, small_side
 
 ACCURACY = 10_000
 
@@ -39,18 +39,16 @@ def quantiles(
             *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)]
         )
 
-    group = ["_all", *keys]
-    rows = rows.withColumn("_all", F.lit(0))
     levels = _cut_levels(list(probs.values()), 3.0 / accuracy)
-    cuts = small_side(
-        rows.groupBy(*group)
+    cuts = (
+        rows.groupBy(*keys)
         .agg(F.percentile_approx("_v", F.array(*[F.lit(x) for x in levels]), accuracy).alias("_c"))
-        .select(*group, *[F.get("_c", F.lit(i)).alias(f"_c{i}") for i in range(len(levels))])
+        .select(*keys, *[F.get("_c", F.lit(i)).alias(f"_c{i}") for i in range(len(levels))])
     )
     above = [F.when(F.col("_v") > F.col(f"_c{i}"), 1).otherwise(0) for i in range(len(levels))]
-    banded = rows.join(cuts, group).select(*group, "_v", reduce(lambda a, b: a + b, above).alias("_band"))
+    banded = attach(rows, cuts, keys).select(*keys, "_v", reduce(lambda a, b: a + b, above).alias("_band"))
 
-    bands = _with_ranks(banded.groupBy(*group, "_band").agg(F.count(F.lit(1)).alias("_n")), group, probs)
+    bands = _with_ranks(banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_n")), keys, probs)
     wanted = reduce(
         lambda a, b: a | b, [_holds(f"_r{i}_{end}") for i in range(len(probs)) for end in ("lo", "hi")]
     )
@@ -58,15 +56,15 @@ def quantiles(
 
     ranks = [f"_r{i}_{end}" for i in range(len(probs)) for end in ("lo", "hi")]
     counted = (
-        banded.join(bands, [*group, "_band"])
-        .groupBy(*group, "_band", "_v")
+        banded.join(bands, [*keys, "_band"])
+        .groupBy(*keys, "_band", "_v")
         .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_start"), F.first("_total").alias("_total"),
              *[F.first(r).alias(r) for r in ranks])
     )
-    within = Window.partitionBy(*group, "_band").orderBy("_v")
+    within = Window.partitionBy(*keys, "_band").orderBy("_v")
     before = F.coalesce(F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counted.withColumn("_before", F.col("_start") + before)
-    picked = placed.groupBy(*group).agg(
+    picked = placed.groupBy(*keys).agg(
         F.first("_total").alias("_total"),
         *[F.max(F.when(_holds(r), F.col("_v"))).alias(r) for r in ranks],
     )
@@ -98,12 +96,12 @@ def _holds(rank: str) -> Column:
     return (F.col("_before") <= F.col(rank)) & (F.col(rank) < F.col("_before") + F.col("_n"))
 
 
-def _with_ranks(bands: DataFrame, group: list[str], probs: Mapping[str, float]) -> DataFrame:
+def _with_ranks(bands: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
     """Adds the rows before each band, the group total and the wanted ranks.
 
     A group has one band more than cut levels, so these windows are short.
     """
-    per_group = Window.partitionBy(*group)
+    per_group = Window.partitionBy(*keys)
     running = per_group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
     bands = bands.withColumn("_total", F.sum("_n").over(per_group))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.session import small_side
+from ticketlens.session import settle, small_side
 
 TEST_SHARE = 0.2
 _BUCKET_DIGITS = 4  # leading hex digits of the hash: 65,536 buckets
@@ -49,10 +49,9 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
 
     Only hashes and ids are compared; the chosen rows stay where they are.
     """
-    one = df.withColumn("_all", F.lit(0))
-    cut = small_side(_cut_keys(one, key, seed, ["_all"], F.least(F.col("_total"), F.lit(n))))
+    cut = settle(_cut_keys(df, key, seed, [], F.least(F.col("_total"), F.lit(n)))).scalar()
     mine = F.struct(seeded_hash(key, seed).alias("_hash"), F.col(key).cast("string").alias("_id"))
-    return one.join(cut, "_all").filter(mine <= F.col("_cut")).select(*df.columns)
+    return df.filter(mine <= cut)
 
 
 def split_hash(df: DataFrame, key: str, seed: int, share: float = TEST_SHARE) -> DataFrame:

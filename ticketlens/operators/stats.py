@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticketlens.functions.distribution import f_p_value
 from ticketlens.operators.aggregate import have
 from ticketlens.operators.quantile import quantiles
-from ticketlens.session import small_side
+from ticketlens.session import attach, settle, small_side
 
 # Thresholds and grid sizes that decide results.
 MIN_GROUP_ROWS = 10
@@ -48,10 +48,9 @@ def level_summary(long: DataFrame, exact: bool = True) -> DataFrame:
 
 def overall_summary(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
     """Count, mean and median of a column, as one row."""
-    rows = df.select(F.lit("all").alias("scope"), F.col(value).cast("double").alias("value"))
-    basics = rows.groupBy("scope").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
-    median = quantiles(rows, "value", {"median": 0.5}, ["scope"], exact)
-    return basics.join(median, "scope", "left").select("n", "mean", "median")
+    rows = df.select(F.col(value).cast("double").alias("value"))
+    median = quantiles(rows, "value", {"median": 0.5}, exact=exact).scalar()
+    return rows.agg(F.count("value").alias("n"), F.avg("value").alias("mean")).withColumn("median", median)
 
 
 def box_stats(long: DataFrame, exact: bool = True) -> DataFrame:
@@ -144,35 +143,34 @@ def density(
     more rows the kernels get narrower and each value meets fewer points.
     """
     keys = list(keys)
-    group = ["_all", *keys]
-    rows = have(df, value, *keys).select(F.lit(0).alias("_all"), *keys, F.col(value).cast("double").alias("_v"))
-    shape = rows.groupBy(*group).agg(
+    rows = have(df, value, *keys).select(*keys, F.col(value).cast("double").alias("_v"))
+    shape = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
         F.stddev_samp("_v").alias("_std"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
     )
     shape = shape.filter(F.col("_std") > 0).select(
-        *group, "_n", "_lo", "_hi",
+        *keys, "_n", "_lo", "_hi",
         (F.col("_std") * F.pow("_n", F.lit(-0.2))).alias("_bw"),
         ((F.col("_hi") - F.col("_lo")) / (grid - 1)).alias("_step"),
     )
-    shape = small_side(shape)
+    shape = settle(shape)
 
-    repeated = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    repeated = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     reach = F.lit(KERNEL_REACH) * F.col("_bw")
     first = F.greatest(F.floor((F.col("_v") - reach - F.col("_lo")) / F.col("_step")), F.lit(0))
     last = F.least(F.ceil((F.col("_v") + reach - F.col("_lo")) / F.col("_step")), F.lit(grid - 1))
-    spread = repeated.join(shape, group).withColumn("point", F.explode(F.sequence(first, last)))
+    spread = attach(repeated, shape, keys).withColumn("point", F.explode(F.sequence(first, last)))
     distance = (F.col("_lo") + F.col("point") * F.col("_step") - F.col("_v")) / F.col("_bw")
-    sums = spread.groupBy(*group, "point").agg(
+    sums = spread.groupBy(*keys, "point").agg(
         F.sum(F.col("_c") * F.exp(-distance * distance / 2)).alias("_sum")
     )
     # Every group has every grid point, also where no kernel reaches.
     points = shape.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
     scale = F.lit(1.0) if bins is None else F.col("_n") * (F.col("_hi") - F.col("_lo")) / bins
     norm = F.col("_n") * F.col("_bw") * F.sqrt(2 * F.pi())
-    return points.join(sums, [*group, "point"], "left").select(
+    return points.join(sums, [*keys, "point"], "left").select(
         *keys,
         "point",
         (F.col("_lo") + F.col("point") * F.col("_step")).alias("x"),

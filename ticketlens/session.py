@@ -33,9 +33,13 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    Rows come without columns and partition by partition, so a large table is
+    left after its first partitions and the driver sees a bounded number of ones.
+    """
     bound = BROADCAST_ROWS if max_rows is None else max_rows
-    return df.limit(bound + 1).count() <= bound
+    return len(df.select(F.lit(1)).take(bound + 1)) <= bound
 
 
 def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -45,3 +49,15 @@ def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """
     table = settle(df)
     return F.broadcast(table) if fits(table, max_rows) else table
+
+
+def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the columns of a per-group table to each row; without keys the table is one row.
+
+    The one row enters as a scalar subquery, so there is no join at all.
+    """
+    if keys:
+        return df.join(small_side(table), keys)
+    columns = table.columns
+    row = settle(table).select(F.struct(*columns).alias("row")).scalar()
+    return df.withColumns({c: row[c] for c in columns})
