@@ -14,7 +14,7 @@ CUSTOMERS = CUSTOMERS_SQL.format(**TABLES)
 
 # Fixed values, as in the operators.
 NUM = r"(?i)\s*[+-]?(inf|infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\s*"
-BLANK = r"\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}\x{0085}\x{1680}\x{202F}\x{205F}"
+BLANK = r"\s\x{000B}\x{001C}-\x{001F}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}\x{0085}\x{1680}\x{202F}\x{205F}"
 REGIONS = {
     "EU": "germany austria switzerland france italy spain netherlands belgium sweden poland united_kingdom uk",
     "LATAM": "brazil argentina chile mexico colombia",

@@ -18,6 +18,7 @@ from ticketlens.operators import (
 )
 from ticketlens.plans import stages
 from ticketlens.plans.binding import PLAIN_COLUMNS, TICKET_COLUMNS, raw_customers, raw_tickets, table
+from ticketlens.session import settle, spread
 from ticketlens.sources import metrics, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,11 @@ def tickets(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
     return cleaning.clean_tickets(raw(spark, sf, texts))
 
 
+def stage(df: DataFrame, *columns: str) -> DataFrame:
+    """Cleaned columns kept as the stage table they would be, for queries that read them several times."""
+    return settle(df.select(*columns) if columns else df)
+
+
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_customers(raw_customers(spark, sf), "pos").drop("pos")
 
@@ -63,7 +69,8 @@ def rounded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents with their text cleaned for tokenising."""
-    return table(spark, sf, "documents").select("doc_id", text.normalise("text").alias("text"))
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", text.normalise("text").alias("text"))
 
 
 def predicted(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +83,8 @@ def predicted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def factors(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.by_factor(tickets(spark, sf), stages.FACTORS, "resolution_time_hours")
+    rows = stage(tickets(spark, sf), "resolution_time_hours", *stages.FACTORS)
+    return stats.by_factor(rows, stages.FACTORS, "resolution_time_hours")
 
 
 def dated(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +106,7 @@ def _(spark, sf):
 
 
 def _quality_metrics(spark, sf):
-    rows = cleaning.with_response(tickets(spark, sf))
+    rows = stage(cleaning.with_response(tickets(spark, sf)))
     marked = repair.mark_regions(rows, lookup(spark, sf))
     return metrics.all_metrics(
         metrics.metric_rows(repair.response_rate(rows), "quality"),
@@ -450,7 +458,7 @@ def _(spark, sf):
 @query("a02_describe")
 def _(spark, sf):
     columns = ["resolution_time_hours", "reopened", "csat_score", "has_attachment"]
-    described = profile.describe(tickets(spark, sf), columns)
+    described = profile.describe(stage(tickets(spark, sf), *columns), columns)
     return rounded(described, [c for c in described.columns if c != "column"])
 
 
@@ -474,7 +482,8 @@ def _(spark, sf):
 
 @query("a04_overall")
 def _(spark, sf):
-    return rounded(stats.overall_summary(tickets(spark, sf), "resolution_time_hours"), ["mean", "median"])
+    rows = stage(tickets(spark, sf), "resolution_time_hours")
+    return rounded(stats.overall_summary(rows, "resolution_time_hours"), ["mean", "median"])
 
 
 @query("a05_month_priority")
@@ -511,13 +520,15 @@ def _(spark, sf):
 
 @query("a10_density")
 def _(spark, sf):
-    curve = stats.density(tickets(spark, sf), "resolution_time_hours", bins=stats.HISTOGRAM_BINS)
+    rows = stage(tickets(spark, sf), "resolution_time_hours")
+    curve = stats.density(rows, "resolution_time_hours", bins=stats.HISTOGRAM_BINS)
     return rounded(curve, ["x", "density"])
 
 
 @query("a11_density_by_priority")
 def _(spark, sf):
-    curve = stats.density(tickets(spark, sf), "resolution_time_hours", ["priority"], stats.VIOLIN_GRID)
+    rows = stage(tickets(spark, sf), "priority", "resolution_time_hours")
+    curve = stats.density(rows, "resolution_time_hours", ["priority"], stats.VIOLIN_GRID)
     return rounded(curve, ["x", "density"])
 
 
@@ -593,7 +604,7 @@ def _(spark, sf):
 
 @query("o03_sample")
 def _(spark, sf):
-    return sample.sample_exact(tickets(spark, sf), 500, "ticket_id", SEED).select("ticket_id", "priority")
+    return sample.sample_exact(stage(tickets(spark, sf), "ticket_id", "priority"), 500, "ticket_id", SEED)
 
 
 @query("o04_calendar")
@@ -613,10 +624,8 @@ def _(spark, sf):
 
 @query("o05_split_stratified")
 def _(spark, sf):
-    rows = aggregate.have(tickets(spark, sf), "customer_sentiment")
-    return sample.split_exact(rows, "ticket_id", SEED, by="customer_sentiment").select(
-        "ticket_id", "customer_sentiment", "is_test"
-    )
+    rows = stage(aggregate.have(tickets(spark, sf), "customer_sentiment"), "ticket_id", "customer_sentiment")
+    return sample.split_exact(rows, "ticket_id", SEED, by="customer_sentiment")
 
 
 # ---- text features -------------------------------------------------------------------------------
@@ -658,7 +667,7 @@ SMALL_RESOLUTION = models.ForestSettings(max_features=2000, min_df=5, trees=10,
 
 
 def _wide(spark, sf):
-    return tickets(spark, sf, texts=True)
+    return stage(tickets(spark, sf, texts=True))
 
 
 @query("m03_one_hot")
@@ -709,7 +718,7 @@ def _(spark, sf):
 
 @query("x02_reply_examples")
 def _(spark, sf):
-    return replies.reply_examples(tickets(spark, sf, texts=True))
+    return replies.reply_examples(stage(tickets(spark, sf, texts=True)))
 
 
 @query("x02_all_replies")

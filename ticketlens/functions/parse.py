@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 # Formats, patterns and word lists that decide results.
 TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss",)
 NUMBER_PATTERN = r"(?i)^\s*[+-]?(inf|infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\s*$"
-OUTER_BLANKS = r"(?U)^\s+|\s+$"
+# All characters that Unicode text processing takes as white space.
+BLANK_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NULL_LIKE_REGIONS = ("", "nan", "unknown", "none", "nat")
 CLOSED_STATUSES = ("resolved", "closed_no_action")
 
@@ -57,7 +61,7 @@ def to_flag(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Text without outer white space of any kind; null stays null."""
-    return F.regexp_replace(_col(c), OUTER_BLANKS, "")
+    return F.trim(_col(c), F.lit(BLANK_CHARS))
 
 
 def to_text(c: Column | str) -> Column:

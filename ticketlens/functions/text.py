@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ticketlens.functions.parse import strip, to_text
+from ticketlens.functions.parse import BLANK_CHARS, strip, to_text
 
 # Patterns, defaults and wordings that decide results.
-URL_PATTERN = r"(?U)http\S+"
-NOT_WORD_PATTERN = r"(?U)[^a-z0-9\s]"
-BLANKS_PATTERN = r"(?U)\s+"
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+URL_PATTERN = f"http[^{BLANK_CHARS}]+"
+NOT_WORD_PATTERN = "[^a-z0-9]+"
+BLANKS_PATTERN = f"[{BLANK_CHARS}]+"
+TOKEN_PATTERN = r"(?U)\w\w+"
 CUT_MARK = "[...]"
 DEFAULT_ISSUE = "your request"
 DEFAULT_PRIORITY = "medium"
@@ -28,10 +28,9 @@ def _col(c: Column | str) -> Column:
 
 
 def normalise(c: Column | str) -> Column:
-    """Lower case, links and everything but letters, digits and blanks dropped, blanks squeezed."""
+    """Lower-case words of a-z and 0-9 with one blank between; links are dropped first."""
     no_links = F.regexp_replace(F.lower(_col(c)), URL_PATTERN, " ")
-    words = F.regexp_replace(no_links, NOT_WORD_PATTERN, " ")
-    return F.trim(F.regexp_replace(words, BLANKS_PATTERN, " "))
+    return F.trim(F.regexp_replace(no_links, NOT_WORD_PATTERN, " "))
 
 
 def join_texts(*columns: Column | str) -> Column:
@@ -44,11 +43,15 @@ def join_texts(*columns: Column | str) -> Column:
 def shorten(c: Column | str, width: int) -> Column:
     """White space squeezed; longer texts end at a word boundary with a cut mark that fits."""
     flat = F.regexp_replace(strip(c), BLANKS_PATTERN, " ")
-    # The kept words and a blank before the mark fill at most the width.
-    head = F.substring(flat, 1, width - len(CUT_MARK))
-    kept = F.regexp_extract(head, r"^(.*) [^ ]*$", 1)
-    cut = F.ltrim(F.concat(kept, F.lit(" " + CUT_MARK)))
-    return F.when(F.length(flat) <= width, flat).otherwise(cut)
+
+    def fit(whole: Column) -> Column:
+        # The kept words and a blank before the mark fill at most the width.
+        kept = F.regexp_extract(F.substring(whole, 1, width - len(CUT_MARK)), r"^(.*) [^ ]*$", 1)
+        cut = F.ltrim(F.concat(kept, F.lit(" " + CUT_MARK)))
+        return F.when(F.length(whole) <= width, whole).otherwise(cut)
+
+    # A list of one, so that a long text is squeezed once and not once per use.
+    return F.transform(F.array(flat), fit)[0]
 
 
 def template_reply(issue: Column | str = "issue_type", priority: Column | str = "priority") -> Column:

@@ -42,15 +42,12 @@ def vocabulary(df: DataFrame, text: str, max_features: int, min_df: int) -> Data
     document adds its terms to the totals and its distinct terms to the
     document counts, so only per-term sums are shuffled and no text is.
     """
-    found = terms(text)
-    every = F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    once = F.transform(
-        F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-    )
+    found = df.select(terms(text).alias("_terms"))
+    both = found.select(F.posexplode(F.array("_terms", F.array_distinct("_terms"))).alias("_once", "_terms"))
     counted = (
-        df.select(F.inline(F.concat(every, once)))
+        both.select("_once", F.explode("_terms").alias("term"))
         .groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
+        .agg(F.count_if(F.col("_once") == 0).alias("total"), F.sum("_once").alias("df"))
         .filter(F.col("df") >= min_df)
     )
     kept = counted.orderBy(F.desc("total"), "term").limit(max_features)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketlens.session import spread
+
 TICKET_COLUMNS = [
     "ticket_id", "created_at", "customer_id", "customer_segment", "channel", "product_area",
     "issue_type", "priority", "status", "sla_plan", "initial_message", "agent_first_reply",
@@ -91,8 +93,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_tickets(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     """Raw tickets, all strings but the integer key ``k``; without the long texts if not wanted."""
-    names = ["events", "documents", "benchmark"] if texts else ["events"]
-    return spark.sql(tickets_sql(texts), **{n: table(spark, sf_dir, n) for n in names})
+    sources = {n: table(spark, sf_dir, n) for n in (["events", "documents", "benchmark"] if texts else ["events"])}
+    if texts:
+        sources["events"] = spread(sources["events"])
+    return spark.sql(tickets_sql(texts), **sources)
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,12 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     columns = table.columns
     row = settle(table).select(F.struct(*columns).alias("row")).scalar()
     return df.withColumns({c: row[c] for c in columns})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives a table read in fewer parts than there are cores one part per core.
+
+    For costly work on small files; a table of many files stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
