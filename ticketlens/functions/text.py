@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ticketlens.functions.parse import BLANK_CHARS, strip, to_text
+from ticketlens.functions.parse import BLANK_CHARS, to_text
 
 # Patterns, defaults and wordings that decide results.
-URL_PATTERN = f"http[^{BLANK_CHARS}]+"
+URL_PATTERN = "http[^ ]+"
 NOT_WORD_PATTERN = "[^a-z0-9]+"
-BLANKS_PATTERN = f"[{BLANK_CHARS}]+"
+BLANKS_PATTERN = "  +"
 TOKEN_PATTERN = r"(?U)\w\w+"
 CUT_MARK = "[...]"
 DEFAULT_ISSUE = "your request"
@@ -27,9 +27,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def plain_blanks(c: Column | str) -> Column:
+    """White space of any kind as plain blanks."""
+    return F.translate(_col(c), BLANK_CHARS, " " * len(BLANK_CHARS))
+
+
+def squeeze(c: Column | str) -> Column:
+    """Words with one blank between."""
+    return F.trim(F.regexp_replace(plain_blanks(c), BLANKS_PATTERN, " "))
+
+
 def normalise(c: Column | str) -> Column:
     """Lower-case words of a-z and 0-9 with one blank between; links are dropped first."""
-    no_links = F.regexp_replace(F.lower(_col(c)), URL_PATTERN, " ")
+    no_links = F.regexp_replace(plain_blanks(F.lower(_col(c))), URL_PATTERN, " ")
     return F.trim(F.regexp_replace(no_links, NOT_WORD_PATTERN, " "))
 
 
@@ -42,16 +52,11 @@ def join_texts(*columns: Column | str) -> Column:
 
 def shorten(c: Column | str, width: int) -> Column:
     """White space squeezed; longer texts end at a word boundary with a cut mark that fits."""
-    flat = F.regexp_replace(strip(c), BLANKS_PATTERN, " ")
-
-    def fit(whole: Column) -> Column:
-        # The kept words and a blank before the mark fill at most the width.
-        kept = F.regexp_extract(F.substring(whole, 1, width - len(CUT_MARK)), r"^(.*) [^ ]*$", 1)
-        cut = F.ltrim(F.concat(kept, F.lit(" " + CUT_MARK)))
-        return F.when(F.length(whole) <= width, whole).otherwise(cut)
-
-    # A list of one, so that a long text is squeezed once and not once per use.
-    return F.transform(F.array(flat), fit)[0]
+    flat = squeeze(c)
+    # The kept words and a blank before the mark fill at most the width.
+    kept = F.regexp_extract(F.substring(flat, 1, width - len(CUT_MARK)), r"^(.*) [^ ]*$", 1)
+    cut = F.ltrim(F.concat(kept, F.lit(" " + CUT_MARK)))
+    return F.when(F.length(flat) <= width, flat).otherwise(cut)
 
 
 def template_reply(issue: Column | str = "issue_type", priority: Column | str = "priority") -> Column:
