@@ -288,7 +288,39 @@ MATRIX = ", ".join(
     for s in ("negative", "neutral", "positive", "very_negative", "very_positive")
 )
 
+# The words pandas reads as missing.
+PANDAS_WORDS = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', "
+                "'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+
+
+def csv_scan(words: str) -> str:
+    columns = ", ".join(f"CASE WHEN {c} NOT IN ({words}) THEN {c} END AS {c}" for c in TICKET_COLUMNS)
+    return f"WITH src AS ({FULL}) SELECT {columns} FROM src"
+
+
+CATEGORIES = ("priority", "channel", "product_area", "region", "customer_segment")
+
+
+def slot(c: str) -> str:
+    """Zero-based place of a value among the sorted distinct values, missing as one of them."""
+    return f"dense_rank() OVER (ORDER BY coalesce({c}, '(missing)')) - 1"
+
+
 ORACLES: dict[str, str] = {
+    "s01_csv_scan": csv_scan("''"),
+    "s01_csv_scan_pandas_words": csv_scan(PANDAS_WORDS),
+    "m03_one_hot": C + "SELECT ticket_id, " + ", ".join(f"{slot(c)} AS {c}_slot" for c in CATEGORIES) + ", "
+                   + ", ".join(f"(SELECT CAST(count(DISTINCT coalesce({c}, '(missing)')) AS INTEGER) FROM clean) AS {c}_size"
+                               for c in CATEGORIES) + " FROM clean",
+    "m04_features": f"""WITH {TERMS}, {VOCABULARY},
+        pos AS (SELECT term, idf, row_number() OVER (ORDER BY total DESC, term) - 1 AS position FROM voc),
+        w AS (SELECT doc_id, position, tf * idf AS w FROM terms JOIN pos USING (term)),
+        nv AS (SELECT count(*) AS n FROM voc), nl AS (SELECT count(DISTINCT lang) AS n FROM documents)
+        SELECT doc_id, CAST(position AS INTEGER) AS position,
+          round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM w
+        UNION ALL SELECT doc_id, CAST((SELECT n FROM nv) + dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER), 1.0 FROM documents
+        UNION ALL SELECT doc_id, CAST((SELECT n FROM nv) + (SELECT n FROM nl) + dense_rank() OVER (ORDER BY source) - 1 AS INTEGER),
+          1.0 FROM documents""",
     "s02_pruned_scan": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 200000.0",
     "s04_optional_columns": f"SELECT customer_id, country FROM ({CUSTOMERS})",
     "s06_metric_rows": f"{METRICS} SELECT stage, metric, grp, round(value, 6) AS value FROM m",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from ticketlens.operators import (
 )
 from ticketlens.plans import stages
 from ticketlens.plans.binding import PLAIN_COLUMNS, TICKET_COLUMNS, raw_customers, raw_tickets, table
-from ticketlens.session import settle, spread
+from ticketlens.session import scratch_path, settle, spread
 from ticketlens.sources import metrics, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,23 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
 # ---- scans and metrics ---------------------------------------------------------------------------
 
 
+def _through_csv(spark, sf, na_tokens):
+    """All raw ticket columns, whole texts with quotes and line breaks, written as CSV and read back."""
+    path = scratch_path(spark, "tickets-csv")
+    tables.write_csv(raw(spark, sf, texts=True).select(*TICKET_COLUMNS), path)
+    return tables.require_columns(tables.read_csv(spark, path, na_tokens), tables.TICKET_COLUMNS, "tickets")
+
+
+@query("s01_csv_scan")
+def _(spark, sf):
+    return _through_csv(spark, sf, tables.NA_TOKENS)
+
+
+@query("s01_csv_scan_pandas_words")
+def _(spark, sf):
+    return _through_csv(spark, sf, tables.PANDAS_NA_TOKENS)
+
+
 @query("s02_pruned_scan")
 def _(spark, sf):
     rows = tables.read_table(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_orderpriority", "o_totalprice"])
@@ -646,6 +664,27 @@ def _(spark, sf):
     return rounded(features.tfidf_rows(messages(spark, sf), "doc_id", "text", 2500, 5), ["weight"])
 
 
+@query("m03_one_hot")
+def _(spark, sf):
+    rows = stage(tickets(spark, sf), "ticket_id", *models.CSAT_CATEGORIES)
+    encoded = features.apply_stages(rows, features.category_stages(rows, models.CSAT_CATEGORIES))
+    arrays = {c: vector_to_array(f"_{c}_vector") for c in models.CSAT_CATEGORIES}
+    return encoded.select(
+        "ticket_id",
+        *[(F.array_position(a, 1.0) - 1).alias(f"{c}_slot") for c, a in arrays.items()],
+        *[F.size(a).alias(f"{c}_size") for c, a in arrays.items()],
+    )
+
+
+@query("m04_features")
+def _(spark, sf):
+    rows = messages(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    rows = settle(rows)
+    vectors = features.apply_stages(rows, features.feature_stages(rows, "text", ("lang", "source"), 2500, 5))
+    cells = vectors.select("doc_id", F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return rounded(cells.filter(F.col("value") != 0.0), ["value"])
+
+
 @query("m08_class_weights")
 def _(spark, sf):
     return rounded(features.class_weights(tickets(spark, sf), "customer_sentiment"), ["weight"])
@@ -661,29 +700,16 @@ def _(spark, sf):
 
 # ---- fitted models (row checks) ------------------------------------------------------------------
 
-# Smaller trees than the defaults: the default sizes take minutes on one machine.
-SMALL_CSAT = models.ForestSettings(max_features=2500, min_df=5, trees=10, depth=5, max_rows=40_000)
-SMALL_RESOLUTION = models.ForestSettings(max_features=2000, min_df=5, trees=10, depth=5, max_rows=35_000)
+# Fewer and lower trees than the defaults, on all rows: the default sizes take minutes on one machine.
+SMALL_CSAT = models.ForestSettings(max_features=2500, min_df=5, trees=20, depth=8, max_rows=None)
+SMALL_RESOLUTION = models.ForestSettings(max_features=2000, min_df=5, trees=20, depth=8, max_rows=None)
+ALL_ROWS = models.SentimentSettings(max_rows=None)
 
 
 def _wide(spark, sf):
     return stage(tickets(spark, sf, texts=True))
 
 
-@query("m03_one_hot")
-def _(spark, sf):
-    rows = tickets(spark, sf).select("ticket_id", *models.CSAT_CATEGORIES)
-    encoded = features.apply_stages(rows, features.category_stages(rows, models.CSAT_CATEGORIES))
-    return encoded.select("ticket_id", *[F.col(f"_{c}_vector").cast("string").alias(c) for c in models.CSAT_CATEGORIES])
-
-
-@query("m04_features")
-def _(spark, sf):
-    rows = _wide(spark, sf)
-    stages_ = features.feature_stages(rows, "initial_message", models.CSAT_CATEGORIES, 2500, 5)
-    return features.apply_stages(rows, stages_).select("ticket_id", F.col("features").cast("string").alias("features"))
-
-
 @query("m05_csat_forest")
 def _(spark, sf):
     return models.train_csat(_wide(spark, sf), settings=SMALL_CSAT).metrics
@@ -696,14 +722,22 @@ def _(spark, sf):
 
 @query("m07_sentiment")
 def _(spark, sf):
-    return models.train_sentiment(models.sentiment_rows(_wide(spark, sf))).metrics
+    return models.train_sentiment(models.sentiment_rows(_wide(spark, sf)), settings=ALL_ROWS).metrics
 
 
 @query("m07_document_quality")
 def _(spark, sf):
     labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     rows = models.sentiment_rows(labelled, "doc_id", "text", "quality")
-    return models.train_sentiment(rows, "doc_id").metrics
+    return models.train_sentiment(rows, "doc_id", ALL_ROWS).metrics
+
+
+@query("m09_pipeline_predict")
+def _(spark, sf):
+    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    trained = models.train_sentiment(models.sentiment_rows(labelled, "doc_id", "text", "quality"), "doc_id", ALL_ROWS)
+    every = table(spark, sf, "documents").select("doc_id", text.normalise("text").alias("text"))
+    return trained.model.transform(every).select("doc_id", "predicted")
 
 
 @query("a20_feature_importance")

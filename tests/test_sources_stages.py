@@ -45,8 +45,8 @@ def test_optional_columns(spark):
 
 
 def test_tables_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a", 'say "hi",\nyou'), ("b", "NA")], "k string, v string")
-    assert tables.write_table(df, f"{tmp_path}/t").count() == 2
+    df = spark.createDataFrame([("a", 'say "hi",\nyou'), ("b", "NA"), ("c", "  x\t")], "k string, v string")
+    assert tables.write_table(df, f"{tmp_path}/t").count() == 3
     tables.write_table(df.limit(1), f"{tmp_path}/t")
     assert tables.read_table(spark, f"{tmp_path}/t", ["v", "zzz"]).columns == ["v"]
     assert tables.read_table(spark, f"{tmp_path}/t").count() == 1
@@ -93,7 +93,7 @@ def finished(spark, tmp_path_factory):
     small = models.ForestSettings(max_features=50, min_df=2, trees=3, depth=3, max_rows=None)
     stages.run_all(
         spark, f"{base}/tickets", f"{base}/customers", f"{base}/out", csat=small, resolution=small,
-        sentiment=models.SentimentSettings(50, 2, 20, None),
+        sentiment=models.SentimentSettings(50, 2, 20, max_rows=None),
     )
     return f"{base}/out"
 
