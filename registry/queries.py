@@ -19,7 +19,7 @@ from ticketlens.operators import (
 )
 from ticketlens.plans import stages
 from ticketlens.plans.binding import PLAIN_COLUMNS, TICKET_COLUMNS, raw_customers, raw_tickets, table
-from ticketlens.session import scratch_path, settle, spread
+from ticketlens.session import scratch_path, spread, stage_table
 from ticketlens.sources import metrics, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,8 @@ def tickets(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
 
 
 def stage(df: DataFrame, *columns: str) -> DataFrame:
-    """Cleaned columns kept as the stage table they would be, for queries that read them several times."""
-    return settle(df.select(*columns) if columns else df)
+    """Cleaned columns written as the stage table they would be, for queries that read them several times."""
+    return stage_table(df.select(*columns) if columns else df)
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -679,7 +679,7 @@ def _(spark, sf):
 @query("m04_features")
 def _(spark, sf):
     rows = messages(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
-    rows = settle(rows)
+    rows = stage_table(rows)
     vectors = features.apply_stages(rows, features.feature_stages(rows, "text", ("lang", "source"), 2500, 5))
     cells = vectors.select("doc_id", F.posexplode(vector_to_array("features")).alias("position", "value"))
     return rounded(cells.filter(F.col("value") != 0.0), ["value"])
@@ -732,7 +732,7 @@ def _(spark, sf):
     return models.train_sentiment(rows, "doc_id", ALL_ROWS).metrics
 
 
-@query("m09_pipeline_predict")
+@query("m09_fit_predict")
 def _(spark, sf):
     labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     trained = models.train_sentiment(models.sentiment_rows(labelled, "doc_id", "text", "quality"), "doc_id", ALL_ROWS)

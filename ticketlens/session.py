@@ -39,6 +39,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet on the shared folder and reads it back.
+
+    For wide tables that several passes read: later reads prune columns, and
+    nothing is computed again, also not after a lost executor.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits(df: DataFrame, max_rows: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
