@@ -701,8 +701,8 @@ def _(spark, sf):
 # ---- fitted models (row checks) ------------------------------------------------------------------
 
 # Fewer and lower trees than the defaults, on all rows: the default sizes take minutes on one machine.
-SMALL_CSAT = models.ForestSettings(max_features=2500, min_df=5, trees=20, depth=8, max_rows=None)
-SMALL_RESOLUTION = models.ForestSettings(max_features=2000, min_df=5, trees=20, depth=8, max_rows=None)
+SMALL_CSAT = models.ForestSettings(max_features=2500, min_df=5, trees=20, depth=6, max_rows=None, memory_mb=64)
+SMALL_RESOLUTION = models.ForestSettings(max_features=2000, min_df=5, trees=20, depth=6, max_rows=None, memory_mb=64)
 ALL_ROWS = models.SentimentSettings(max_rows=None)
 
 
