@@ -180,6 +180,24 @@ SELECT factor, CASE WHEN groups >= 2 THEN round((b / (groups - 1)) / (w / (total
   CASE WHEN groups >= 2 THEN CAST(total - groups AS DOUBLE) END AS df_within, groups < 2 AS skipped FROM ss
 """
 
+# The tail of the F density by Simpson's rule, from f in 40,000 steps as far as any weight is left.
+P_VALUES = """WITH {ctes}, a AS ({anova}),
+  z AS (SELECT factor, df_between AS p, df_within AS q, f, 120.0::DOUBLE / df_between AS reach FROM a WHERE NOT skipped),
+  y AS (SELECT factor, reach, r.range AS i, CASE WHEN r.range IN (0, 40000) THEN 1 WHEN r.range % 2 = 1 THEN 4 ELSE 2 END AS wt,
+      exp(lgamma((p + q) / 2) - lgamma(p / 2) - lgamma(q / 2) + (p / 2) * ln(p / q)
+        + (p / 2 - 1) * ln(f + reach * r.range / 40000) - ((p + q) / 2) * ln(1 + p * (f + reach * r.range / 40000) / q)) AS d
+    FROM z, range(40001) r),
+  t AS (SELECT factor, sum(wt * d) * any_value(reach) / 40000 / 3 AS tail FROM y GROUP BY factor)
+  SELECT a.factor, f, df_between, df_within, round(tail, 6) AS p_value, round(tail, 6) < 0.05 AS significant_05, skipped
+  FROM a LEFT JOIN t ON a.factor = t.factor"""
+
+
+def p_values(ctes: str) -> str:
+    tested = ANOVA.replace("round((b / (groups - 1)) / (w / (total - groups)), 6)", "(b / (groups - 1)) / (w / (total - groups))")
+    levels, final = tested.lstrip(", ").split("SELECT factor, CASE", 1)
+    sql = P_VALUES.replace("{ctes}", f"{ctes}, {levels.strip()}").replace("{anova}", "SELECT factor, CASE" + final)
+    return f"SELECT * REPLACE (round(f, 6) AS f) FROM ({sql})"
+
 
 def histogram(where: str, value: str, bins: int) -> str:
     return f"""WITH {clean()}, v AS (SELECT CAST({value} AS DOUBLE) AS v FROM clean WHERE {where}),
@@ -441,6 +459,8 @@ ORACLES: dict[str, str] = {
     "a12_box_stats": BOXES,
     "a13_anova": f"WITH {clean()}, {FACTORS}" + ANOVA,
     "a13_anova_orders": f"WITH {ORDER_FACTORS}" + ANOVA,
+    "a13_anova_p_value": p_values(f"{clean()}, {FACTORS}"),
+    "a13_anova_p_value_orders": p_values(ORDER_FACTORS),
     "a14_response_rate": C + "SELECT CAST(sum(CASE WHEN csat_score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS responded, "
                              "count(*) FILTER (csat_score <= 0) AS not_responded, "
                              "round(avg(CASE WHEN csat_score > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS response_rate FROM clean",

@@ -572,6 +572,12 @@ def _(spark, sf):
     return rounded(stats.anova(factors(spark, sf)), ["f", "p_value"])
 
 
+@query("a13_anova_p_value_orders")
+def _(spark, sf):
+    long = stats.by_factor(table(spark, sf, "orders"), ("o_orderpriority", "o_orderstatus"), "o_totalprice")
+    return rounded(stats.anova(long), ["f", "p_value"])
+
+
 @query("a14_response_rate")
 def _(spark, sf):
     return rounded(repair.response_rate(cleaning.with_response(tickets(spark, sf))), ["response_rate"])
