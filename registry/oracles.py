@@ -212,7 +212,7 @@ def histogram(where: str, value: str, bins: int) -> str:
 
 def density(key: str | None, grid: int, bins: int | None) -> str:
     k = key or "'all'"
-    scale = f"* (n * (hi - lo) / {bins})" if bins else ""
+    scale = f"* any_value(n * (hi - lo)) / {bins}" if bins else ""
     shown = f"g AS {key}, " if key else ""
     return f"""WITH {clean()}, v AS (SELECT {k} AS g, resolution_time_hours AS v FROM clean
       WHERE resolution_time_hours IS NOT NULL AND {k} IS NOT NULL),
@@ -220,7 +220,8 @@ def density(key: str | None, grid: int, bins: int | None) -> str:
       stddev_samp(v) * pow(count(*), -0.2) AS bw FROM v GROUP BY g),
     p AS (SELECT s.*, r.range AS point, lo + r.range * ((hi - lo) / {grid - 1}) AS x FROM s, range({grid}) r)
     SELECT {shown}point, round(any_value(x), 6) AS x,
-      round(sum(exp(-pow((x - v.v) / bw, 2) / 2)) / any_value(n * bw * sqrt(2 * pi())) {scale.replace('(n * (hi - lo)', 'any_value(n * (hi - lo)') if scale else ''}, 6) AS density
+      round(sum(exp(-pow((x - v.v) / bw, 2) / 2)) / any_value(n * bw * sqrt(2 * pi())) {scale}, 6)
+      AS density
     FROM p JOIN v USING (g) GROUP BY g, point"""
 
 

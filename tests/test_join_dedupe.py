@@ -31,6 +31,11 @@ def test_skewed_lookup_equals_broadcast(spark):
     assert large.filter("key = 'hot' and value = 7").count() == 2000
 
 
+def partition_sizes(joined):
+    placed = joined.select("id", "value", F.spark_partition_id().alias("part"))
+    return [r.n for r in placed.groupBy("part").agg(F.count("id").alias("n"), F.sum("value")).collect()]
+
+
 def test_hot_keys_are_spread(spark):
     left, right = skewed(spark)
     assert [r.key for r in join.hot_keys(left, "key", share=10).collect()] == ["hot"]
@@ -38,12 +43,13 @@ def test_hot_keys_are_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = join.left_lookup(left, right, "key", max_rows=0)
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        plain = partition_sizes(left.join(right, "key", "left"))
+        spread = partition_sizes(join.left_lookup(left, right, "key", max_rows=0))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert max(sizes) < 6000 / 8 * 1.5
+    assert sum(plain) == sum(spread) == 6000
+    assert max(plain) >= 2000 and max(spread) < 6000 / 8 * 1.5
 
 
 def test_hot_key_without_right_row(spark):

@@ -7,7 +7,6 @@ null instead of failing the job, also with ANSI mode on.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,8 +89,3 @@ def closed_without_text(
 def longer_than(c: Column | str, chars: int) -> Column:
     """True when the raw text has more than ``chars`` characters; null is not longer."""
     return F.length(_col(c)) > chars
-
-
-def any_missing(columns: Sequence[str]) -> Column:
-    """True when one of the columns is null."""
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])

@@ -43,13 +43,15 @@ def left_lookup(
     )
     marked = left.join(F.broadcast(hot_rows), key, "left")
     spread = F.col(key).isNull() | F.col("_is_hot").isNotNull()
-    marked = marked.withColumn("_key", F.when(~spread, F.col(key))).withColumn(
-        "_salt", F.when(spread, F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("long"))
+    # Key and salt form one join column: a constant salt of its own would be
+    # folded away, and all spread rows would share one partition.
+    no_salt = F.lit(0).cast("long")
+    salt = F.when(spread, F.xxhash64(*left.columns)).otherwise(no_salt)
+    marked = marked.withColumn("_on", F.struct(F.when(~spread, F.col(key)).alias("k"), salt.alias("s")))
+    cold = right.filter(F.col(key).isNotNull()).select(
+        F.struct(F.col(key).alias("k"), no_salt.alias("s")).alias("_on"), F.struct(*added).alias("_cold")
     )
-    cold = right.select(
-        F.col(key).alias("_key"), F.struct(*added).alias("_cold"), F.lit(0).cast("long").alias("_salt")
-    )
-    joined = marked.join(cold, ["_key", "_salt"], "left")
+    joined = marked.join(cold, "_on", "left")
     pick = F.when(F.col("_is_hot").isNotNull(), F.col("_hot")).otherwise(F.col("_cold"))
     return joined.withColumn("_row", pick).select(
         key, *[c for c in left.columns if c != key], *[F.col("_row")[c].alias(c) for c in added]

@@ -67,12 +67,15 @@ def split_exact(
 
     Rows without a class form a class of their own.
     """
-    known = "_known"
-    flagged = df.withColumn(known, F.col(by).isNotNull() if by else F.lit(True))
-    flagged = flagged.withColumn("_class", F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit(""))
-    groups = [known, "_class"]
-    cut = small_side(_cut_keys(flagged, key, seed, groups, F.ceil(F.col("_total") * F.lit(share))))
+    size = F.ceil(F.col("_total") * F.lit(share))
     mine = F.struct(seeded_hash(key, seed).alias("_hash"), F.col(key).cast("string").alias("_id"))
-    joined = flagged.join(cut, groups, "left")
+    if by is None:
+        cut = settle(_cut_keys(df, key, seed, [], size)).scalar()
+        return df.withColumn("is_test", F.coalesce(mine <= cut, F.lit(False)))
+    groups = ["_known", "_class"]
+    flagged = df.withColumns(
+        {"_known": F.col(by).isNotNull(), "_class": F.coalesce(F.col(by).cast("string"), F.lit(""))}
+    )
+    cuts = small_side(_cut_keys(flagged, key, seed, groups, size))
     chosen = F.coalesce(mine <= F.col("_cut"), F.lit(False))
-    return joined.withColumn("is_test", chosen).select(*df.columns, "is_test")
+    return flagged.join(cuts, groups, "left").withColumn("is_test", chosen).select(*df.columns, "is_test")
