@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ticketlens.functions.parse import needs_fill
 from ticketlens.operators import models, replies
 from ticketlens.plans import binding, stages
 from ticketlens.sources import metrics, tables
@@ -116,7 +117,7 @@ def test_quality_tables(spark, finished):
         table = tables.read_table(spark, f"{finished}/quality/{name}")
         assert table.count() == 1000 and "csat_response" in table.columns
         assert table.filter("region is null or trim(region) = ''").count() == 0
-        assert "_missing" not in table.columns
+        assert not [c for c in table.columns if c.startswith("_")]
     rows = metrics.read_metrics(spark, f"{finished}/metrics").filter("stage = '02_quality'").collect()
     value = {(r.metric, r.grp): r.value for r in rows}
     assert value["missing_before", "fact_tickets"] == (
@@ -124,6 +125,11 @@ def test_quality_tables(spark, finished):
     )
     assert value["missing_after", "fact_tickets"] == value["set_unknown", "fact_tickets"]
     assert value["rows_removed", None] == 0
+    wide = tables.read_table(spark, f"{finished}/quality/tickets_enriched")
+    filled = wide.filter("resolution_summary = 'No summary provided'").count()
+    assert filled == value["resolution_summary_filled", "tickets_enriched"] > 0
+    before = tables.read_table(spark, f"{finished}/star/fact_tickets")
+    assert before.filter(needs_fill("region")).count() == value["missing_before", "fact_tickets"]
     assert value["missing_count", "resolution_summary"] > 0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.parse import closed_without_text, needs_fill
@@ -60,15 +60,20 @@ def mark_regions(
     return filled.select(*[c for c in order if c != country or had_country])
 
 
-def region_counters(marked: DataFrame, region: str = "region") -> DataFrame:
-    """Counters of a marked table: missing before, imputed, set to Unknown, missing after."""
+def region_counts(region: str = "region") -> list[Column]:
+    """Aggregates over a marked table: missing before, imputed, set to Unknown, missing after."""
     still = F.col("_missing") & ~F.col("_imputed")
-    return marked.agg(
+    return [
         F.count_if("_missing").alias("missing_before"),
         F.count_if("_imputed").alias("imputed_from_country"),
         F.count_if(still).alias("set_unknown"),
         F.count_if(needs_fill(region)).alias("missing_after"),
-    )
+    ]
+
+
+def region_counters(marked: DataFrame, region: str = "region") -> DataFrame:
+    """The counters of a marked table, as one row."""
+    return marked.agg(*region_counts(region))
 
 
 def impute_regions(df: DataFrame, lookup: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -85,9 +90,14 @@ def fill_summaries(
     return df.withColumn(text, F.when(closed_without_text(status, text), F.lit(fill)).otherwise(F.col(text)))
 
 
+def summary_count(status: str = "status", text: str = "resolution_summary") -> Column:
+    """Aggregate: how many summaries the fill sets."""
+    return F.count_if(closed_without_text(status, text)).alias("resolution_summary_filled")
+
+
 def summary_gaps(df: DataFrame, status: str = "status", text: str = "resolution_summary") -> DataFrame:
     """How many summaries the fill would set, as one row."""
-    return df.agg(F.count_if(closed_without_text(status, text)).alias("resolution_summary_filled"))
+    return df.agg(summary_count(status, text))
 
 
 def response_rate(df: DataFrame, flag: str = "csat_response") -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import month_bucket
+from ticketlens.functions.parse import closed_without_text
 from ticketlens.operators import aggregate, dedupe, dimension, models, profile, repair, replies, stats
 from ticketlens.operators.cleaning import clean_customers, clean_tickets, with_response
 from ticketlens.operators.join import enrich, key_coverage, lookup_first
+from ticketlens.session import stage_table
 from ticketlens.sources import metrics, tables
 
 # Analysed factors and cross-tab columns.
@@ -67,15 +69,15 @@ def run_quality(spark: SparkSession, out: str) -> None:
     counters = [metrics.metric_rows(dedupe.duplicate_summary(customers, "customer_id"), stage)]
     for name in ("fact_tickets", "tickets_enriched"):
         table = with_response(tables.read_table(spark, f"{star}/{name}"))
-        # The marks are written with the table, so the counters need no second join.
-        marked = tables.write_table(repair.mark_regions(table, lookup), f"{out}/quality_marked/{name}")
-        counts = repair.region_counters(marked).withColumn("table", F.lit(name))
-        counters.append(metrics.metric_rows(counts, stage, "table"))
-        repaired = marked.drop("_missing", "_imputed")
-        if name == "tickets_enriched":
-            counters.append(metrics.metric_rows(repair.summary_gaps(repaired), stage))
-            repaired = repair.fill_summaries(repaired)
-        tables.write_table(repaired, f"{fixed}/{name}")
+        marked = repair.mark_regions(table, lookup)
+        counts = repair.region_counts()
+        if "resolution_summary" in marked.columns:
+            marked = marked.withColumn("_gap", closed_without_text("status", "resolution_summary"))
+            marked = repair.fill_summaries(marked)
+            counts.append(F.count_if("_gap").alias("resolution_summary_filled"))
+        # Counted while it is written: the join runs once.
+        seen = tables.write_counted(marked, f"{fixed}/{name}", counts, drop=["_missing", "_imputed", "_gap"])
+        counters.append(metrics.metric_rows(seen.withColumn("table", F.lit(name)), stage, "table"))
     fact = tables.read_table(spark, f"{fixed}/fact_tickets")
     wide = tables.read_table(spark, f"{fixed}/tickets_enriched")
     counters += [
@@ -89,7 +91,8 @@ def run_quality(spark: SparkSession, out: str) -> None:
 def dashboard_tables(fact: DataFrame, wide: DataFrame) -> dict[str, DataFrame]:
     """The tables behind the dashboard panels."""
     dated = lookup_first(fact, wide, "ticket_id", ["created_at", "customer_segment"], "created_at")
-    dated = dated.withColumn("month", month_bucket("created_at"))
+    # Two tables read the months: the join runs once.
+    dated = stage_table(dated.select(month_bucket("created_at").alias("month"), "priority"))
     return {
         "volume": aggregate.group_sizes(dated, ["month", "priority"]),
         "volume_by_priority": aggregate.cross_tab(dated, "month", "priority", PRIORITIES),
