@@ -214,12 +214,6 @@ def hits(numbers: np.ndarray, bounds: np.ndarray, wanted: Windows, shard_words:
     return np.cumsum(hit)[:-1] > 0, items
 
 
-def merged(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of true flags as first and last + 1."""
-    edges = np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-
-
 def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[tuple[bool, Windows]]:
     """The benchmark in blocks of a bounded number of bytes, each of which the driver holds alone; the last is marked."""
     table = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter("item is not null")
@@ -262,7 +256,7 @@ def _searcher(shared: tx.Shared, columns: list[str]):
                         own = flags[bounds[k] : bounds[k + 1]].copy()
                         for s in spans[k]:
                             own[s["start"] : s["stop"]] = True
-                        spans[k] = [{"start": int(a), "stop": int(b)} for a, b in zip(*merged(own), strict=True)]
+                        spans[k] = [{"start": a, "stop": b} for a, b in tx.stretches(own)]
                         items[k] = sorted({*items[k], *(wanted.items[i] for i in found[k])})
                 made = {"n_words": pa.array(np.diff(bounds).astype(np.int32)), "spans": pa.array(spans, batch.schema.field("spans").type), "items": pa.array(items, batch.schema.field("items").type)}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in columns], columns)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate
+from ticketlens.llm import decontaminate, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,13 @@ def fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
 
 
+@query("op3_substring_dedup")
+def _(spark, sf):
+    found = substring.scan(table(spark, sf, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", digest, "spans")
+
+
 @query("op9_decontaminate")
 def _(spark, sf):
     found = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

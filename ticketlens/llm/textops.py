@@ -165,5 +165,7 @@ def gather(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank_after: b
     return out, at
 
 
-def as_binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of true flags as (first, last + 1)."""
+    edges = np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))
+    return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
