@@ -174,6 +174,8 @@ def occurrences(shard: np.ndarray, wanted: Windows) -> Iterator[tuple[np.ndarray
     for length, patterns in wanted.patterns.items():
         low, high = index.search(patterns)
         hit = np.flatnonzero(high > low)
+        if not hit.size:
+            continue
         counts = (high - low)[hit]
         places = index.locate(np.repeat(low[hit], counts) + tx.spread(counts))
         for k, part in zip(hit, np.split(places, np.cumsum(counts)[:-1]), strict=True):

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, substring
+from ticketlens.llm import decontaminate, jaccard, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,11 @@ def _(spark, sf):
     return found.select("doc_id", "n_words", "n_removed", digest, "spans")
 
 
+@query("op6_jaccard_join")
+def _(spark, sf):
+    return jaccard.link(table(spark, sf, "documents"))
+
+
 @query("op9_decontaminate")
 def _(spark, sf):
     found = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
