@@ -15,7 +15,6 @@ different components are verified afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -44,9 +43,12 @@ def band_of(size: int, similarity: int = SIMILARITY) -> int:
     return band
 
 
-@cache
 def plan_of(band: int, similarity: int = SIMILARITY) -> tuple[int, np.ndarray, list[tuple[int, ...]]]:
     """Ranges, the bounds of all subranges in the hash domain, and the choices of subranges in a range."""
+    return tx.kept(f"partenum {band} {similarity}", lambda: _plan(band, similarity))
+
+
+def _plan(band: int, similarity: int) -> tuple[int, np.ndarray, list[tuple[int, ...]]]:
     last = 0
     for _ in range(band):
         last = (last + 1) * 100 // similarity
