@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, jaccard, substring
+from ticketlens.llm import bpe, decontaminate, jaccard, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +44,11 @@ def _(spark, sf):
     return found.select("doc_id", "n_words", "n_removed", digest, "spans")
 
 
+@query("op5_bpe")
+def _(spark, sf):
+    return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 @query("op6_jaccard_join")
 def _(spark, sf):
     return jaccard.link(table(spark, sf, "documents"))
