@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, decontaminate, jaccard, substring
+from ticketlens.llm import bpe, decontaminate, jaccard, langid, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +54,18 @@ def _(spark, sf):
     return jaccard.link(table(spark, sf, "documents"))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the documents that are not held out."""
+    return langid.fit(docs.filter(fold("doc_id", 4) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op8_langid")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = langid.predict(docs, language_model(docs))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_decontaminate")
 def _(spark, sf):
     found = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
