@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, decontaminate, jaccard, langid, substring
+from ticketlens.llm import bpe, decontaminate, jaccard, langid, substring, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +54,23 @@ def _(spark, sf):
     return jaccard.link(table(spark, sf, "documents"))
 
 
+@query(
+    "op7_topk",
+    """WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+)
+def _(spark, sf):
+    rows = topk.quantised(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return topk.search(topk.build(rows), rows.filter("id % 50 = 0"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Learned from the documents that are not held out."""
     return langid.fit(docs.filter(fold("doc_id", 4) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
