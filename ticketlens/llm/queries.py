@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, decontaminate, jaccard, langid, substring, topk
+from ticketlens.llm import bpe, decontaminate, jaccard, langid, substring, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,21 @@ def _(spark, sf):
         F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (decontaminate.n_hit() > 0).alias("contaminated"), "spans", "items",
     )
+
+
+# Base32 of the 20 bytes of a SHA-1 digest, from its hexadecimal digits.
+BASE32 = " || ".join(
+    f"substr('{warc.ALPHABET}', 1 + ((CAST('0x' || substr(hexed, {5 * k + 1}, 5) AS INTEGER) >> {s}) & 31), 1)" for k in range(8) for s in (15, 10, 5, 0)
+)
+
+
+@query(
+    "op10_warc",
+    f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, upper(sha1(payload)) AS hexed FROM p),
+    w AS (SELECT page_id, payload_bytes, {BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY hexed, payload_bytes) AS last FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id < last THEN last END AS refers_to FROM w""",
+)
+def _(spark, sf):
+    return warc.read_pages(spark, warc.archive(table(spark, sf, "pages")))
