@@ -3,13 +3,13 @@
 Any two equal stretches of at least MATCH words have, within the first PERIOD words of both, places at the same
 distance from their starts that both lie on cover positions modulo the period. So only windows of
 MATCH - PERIOD + 1 words at cover positions, the anchors, are hashed and compared over the whole corpus. Then the
-matches are extended: around repeated anchors every full window is hashed with 128 bits, and a window that
+matches are extended: around repeated anchors every full window is hashed with 96 bits, and a window that
 starts in more than one place removes its words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +59,18 @@ def _once(h: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarr
     return order, first, np.diff(np.append(first, own.size))
 
 
-def _entries(buckets: int, a: np.ndarray, b: np.ndarray, text: np.ndarray, place: np.ndarray, h: np.ndarray, extra: np.ndarray | None = None) -> pa.RecordBatch:
-    """Entries for the buckets: one for each hash of the slice, with its place if it occurs once here; and in the
-    bucket of the hash as well all places of hashes that are known to repeat already."""
+def _entries(buckets: int, a: np.ndarray, b: np.ndarray, text: np.ndarray, place: np.ndarray, h: np.ndarray, extra: np.ndarray | None = None,
+             copied: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries for the buckets: one for each hash of the slice, with its place if it occurs once here; and in some
+    bucket all further places of hashes that are known to repeat already. copied: hashes that repeat anyway."""
     order, first, sizes = _once(h, extra)
     repeats = np.zeros(h.size, bool)
     repeats[order] = np.repeat(sizes > 1, sizes)
     lead = np.zeros(h.size, bool)
     lead[order[first]] = True
+    if copied is not None:
+        repeats |= copied
+        lead |= copied
     # 0: occurs once in this slice; 1: stands for repeated occurrences; 2: a further place of a repeated hash,
     # in any bucket, since nothing has to meet it.
     kind = np.where(repeats, np.where(lead, 1, 2), 0)
@@ -75,35 +79,64 @@ def _entries(buckets: int, a: np.ndarray, b: np.ndarray, text: np.ndarray, place
     return ex.packed(bucket, buckets, text, [a, b], [marked, h, *([] if extra is None else [extra])])
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """The places of one bucket's repeated hashes, by text."""
-    a, b, marked, h, *extra = ex.unpacked(group, ["<i8", "<i8"], ["<u4", "<u8", "<u8"][: group.num_columns - 4])
-    kind, place = marked >> 30, (marked & 0x3FFFFFFF).astype(np.int32)
-    meet = np.flatnonzero(kind < 2)
-    order, _, sizes = _once(h[meet], extra[0][meet] if extra else None)
-    size = np.empty(meet.size, np.int64)
-    size[order] = np.repeat(sizes, sizes)
-    told = np.ones(h.size, bool)
-    told[meet] = (size > 1) | (kind[meet] == 1)
-    order = np.flatnonzero(told)
-    order = order[np.lexsort((place[order], b[order], a[order]))]
+def _repeated(slots: int) -> Callable[[pa.Table], pa.Table]:
+    """The places of one bucket's repeated hashes, packed by slots of texts."""
+    def run(group: pa.Table) -> pa.Table:
+        a, b, marked, h, *extra = ex.unpacked(group, ["<i8", "<i8"], ["<u4", "<u8", "<u4"][: group.num_columns - 4])
+        kind, place = marked >> 30, (marked & 0x3FFFFFFF).astype(np.int32)
+        meet = np.flatnonzero(kind < 2)
+        order, _, sizes = _once(h[meet], extra[0][meet] if extra else None)
+        size = np.empty(meet.size, np.int64)
+        size[order] = np.repeat(sizes, sizes)
+        told = np.ones(h.size, bool)
+        told[meet] = (size > 1) | (kind[meet] == 1)
+        order = np.flatnonzero(told)
+        order = order[np.lexsort((place[order], b[order], a[order]))]
+        a, b, place = a[order], b[order], place[order]
+        owner = np.cumsum(_new(a, b)) - 1
+        first = np.flatnonzero(_new(a, b))
+        slot = ex.bucket_of(tx.mix(a.view(np.uint64)), slots)
+        return pa.Table.from_batches([ex.packed(slot, slots, owner, [a[first], b[first]], [place])])
+
+    return run
+
+
+def _new(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.ones(a.size, bool)
+    out[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return out
+
+
+def _by_text(group: pa.Table) -> pa.Table:
+    """One row for each text of a slot, with all its places."""
+    a, b, place = ex.unpacked(group, ["<i8", "<i8"], ["<i4"])
+    order = np.lexsort((place, b, a))
     a, b, place = a[order], b[order], place[order]
-    new = np.ones(order.size, bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    first = np.flatnonzero(new)
-    ends = np.append(first, order.size)
-    blobs = [place[ends[k] : ends[k + 1]].tobytes() for k in range(first.size)]
+    first = np.flatnonzero(_new(a, b))
+    ends = np.append(first, a.size)
+    blobs = [np.unique(place[ends[k] : ends[k + 1]]).tobytes() for k in range(first.size)]
     return pa.table({"a": pa.array(a[first]), "b": pa.array(b[first]), "places": pa.array(blobs, pa.binary())})
 
 
-def _repeats(entries: DataFrame) -> DataFrame:
+def _repeats(entries: DataFrame, buckets: int) -> DataFrame:
     """Texts with repeated hashes: key, and all places of them."""
-    found = entries.groupBy("bucket").applyInArrow(_repeated, "a long, b long, places binary")
-    return found.groupBy("a", "b").agg(F.collect_list("places").alias("places"))
+    found = entries.groupBy("bucket").applyInArrow(_repeated(buckets), ex.packed_schema(3))
+    return found.groupBy("bucket").applyInArrow(_by_text, "a long, b long, places binary")
+
+
+def _copies(texts: DataFrame, match: int) -> DataFrame:
+    """The rows whose whole text occurs again: key, and whether the row stands for the others."""
+    own = texts.filter(F.octet_length("text") >= 2 * match - 1).select("a", "b", F.xxhash64("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("u"))
+    same = own.groupBy("t", "u").agg(F.count("*").alias("n"), F.min("a").alias("lead")).filter("n > 1")
+    return own.join(same, ["t", "u"]).select("a", "b", (F.col("a") == F.col("lead")).alias("leads")).distinct()
 
 
 def repeats(texts: DataFrame, match: int, buckets: int) -> DataFrame:
-    """For each text with a window of match words that also starts elsewhere: key, and the places of such windows."""
+    """For each text with a window of match words that also starts elsewhere: key, and the places of such windows,
+    or whole for a text all of whose windows do.
+
+    Of whole texts that occur several times, one stands for all: its windows repeat, and so do those of the others.
+    """
     size = anchor_length(match)
     cover = np.isin(np.arange(PERIOD), COVER)
 
@@ -129,9 +162,9 @@ def repeats(texts: DataFrame, match: int, buckets: int) -> DataFrame:
                 starts, ends, bounds = tx.words(raw, offsets)
                 place, whole_match = _places(bounds, match)
                 near = np.zeros(starts.size + 1, np.int64)
-                for k, blobs in enumerate(batch.column("places").to_pylist()):
+                for k, places in enumerate(batch.column("places")):
                     # A window that holds an anchor starts at most match - size words before it.
-                    at = np.unique(np.frombuffer(b"".join(blobs), "<i4")).astype(np.int64) + bounds[k]
+                    at = np.frombuffer(places.as_buffer(), "<i4").astype(np.int64) + bounds[k]
                     np.add.at(near, np.maximum(at - (match - size), bounds[k]), 1)
                     np.add.at(near, at + 1, -1)
                 at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & whole_match)
@@ -139,11 +172,15 @@ def repeats(texts: DataFrame, match: int, buckets: int) -> DataFrame:
                     h, extra = (tx.window_hashes(tx.word_hashes(raw, starts, ends, w), match, w)[at] for w in (0, 1))
                     text = np.searchsorted(bounds, at, side="right") - 1
                     a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in "ab")
-                    yield _entries(buckets, a, b, text, place[at], h, extra)
+                    copied = batch.column("leads").to_numpy(zero_copy_only=False)[text]
+                    yield _entries(buckets, a, b, text, place[at], h, extra.astype(np.uint32), copied)
 
     # Both joins with the texts read one exchange of them, so the rows go whole to both.
-    anchored = _repeats(texts.select("a", "b", "text").mapInArrow(anchors, ex.packed_schema(4)))
-    return _repeats(texts.join(anchored, ["a", "b"]).mapInArrow(windows, ex.packed_schema(5)))
+    anchored = _repeats(texts.select("a", "b", "text").mapInArrow(anchors, ex.packed_schema(4)), buckets)
+    copies = _copies(texts, match)
+    anchored = anchored.join(copies, ["a", "b"], "left").filter(F.coalesce("leads", F.lit(True))).withColumn("leads", F.col("leads").isNotNull())
+    found = _repeats(texts.join(anchored, ["a", "b"]).mapInArrow(windows, ex.packed_schema(5)), buckets)
+    return found.withColumn("whole", F.lit(False)).unionByName(copies.filter("not leads").select("a", "b", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("whole")))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), match: int = MATCH) -> DataFrame:
@@ -164,15 +201,17 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 starts, ends, bounds = tx.words(raw, offsets)
                 gone = np.zeros(starts.size, bool)
                 spans: list[list[dict[str, int]]] = []
-                for k, blobs in enumerate(batch.column("places").to_pylist()):
+                for k, (places, copied) in enumerate(zip(batch.column("places").to_pylist(), batch.column("whole").to_pylist(), strict=True)):
                     own = np.zeros(bounds[k + 1] - bounds[k] + 1, np.int64)
-                    if blobs:
-                        at = np.unique(np.frombuffer(b"".join(blobs), "<i4"))
+                    if copied and own.size > match:
+                        own[0] = 1
+                    elif places:
+                        at = np.frombuffer(places, "<i4")
                         own[at] += 1
                         np.add.at(own, at + match, -1)
                     own = np.cumsum(own)[:-1] > 0
                     gone[bounds[k] : bounds[k + 1]] = own
-                    spans.append([{"start": a, "stop": b} for a, b in tx.stretches(own)] if blobs else [])
+                    spans.append([{"start": a, "stop": b} for a, b in tx.stretches(own)] if copied or places else [])
                 left = np.flatnonzero(~gone)
                 kept, _ = tx.gather(raw, starts[left], ends[left])
                 size = np.concatenate([[0], np.cumsum((ends - starts + 1) * ~gone)])[bounds]
