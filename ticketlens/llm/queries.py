@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, decontaminate, jaccard, langid, substring, topk, warc
+from ticketlens.llm import bpe, decontaminate, jaccard, langid, quality, substring, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,20 @@ def fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def learnable(rows: DataFrame, parts: int, rest: int) -> DataFrame:
+    """Labelled rows that are not held out."""
+    return rows.filter(fold("doc_id", parts) != rest)
+
+
+@query("op1_quality")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, learnable(table(spark, sf, "labels"), 5, 0))
+    return quality.score(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query("op3_substring_dedup")
 def _(spark, sf):
     found = substring.scan(table(spark, sf, "documents"))
