@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, decontaminate, jaccard, langid, quality, substring, topk, warc
+from ticketlens.llm import bpe, decontaminate, jaccard, langid, quality, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,15 @@ def _(spark, sf):
     )
 
 
+@query("op2_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, learnable(table(spark, sf, "labels"), 5, 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+    )
+
+
 @query("op3_substring_dedup")
 def _(spark, sf):
     found = substring.scan(table(spark, sf, "documents"))
