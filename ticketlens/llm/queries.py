@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, decontaminate, jaccard, langid, quality, substring, topk, toxicity, warc
+from ticketlens.llm import bpe, decontaminate, jaccard, langid, quality, substring, toolcalls, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +67,62 @@ def _(spark, sf):
     return found.select("doc_id", "n_words", "n_removed", digest, "spans")
 
 
+# Schemas of the tools that the conversations are read as calls of.
+TOOLS = (
+    ("search", "query", "string", True), ("search", "limit", "integer", False), ("lookup", "key", "string", True),
+    ("lookup", "exact", "boolean", False), ("lookup", "lang", "string", True), ("count", "text", "string", True), ("count", "unit", "string", False),
+)
+
+
+@query(
+    "op4_toolcalls",
+    """WITH RECURSIVE u AS (
+      SELECT conv_id AS conv, turn, conv_id || ':' || turn AS id, text FROM conversations WHERE role = 'user'
+    ), c AS (
+      SELECT conv, turn, id, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS tool,
+        CASE turn % 3 WHEN 0 THEN '{"limit":' || length(text) || ',"query":' || to_json(text) || '}'
+          WHEN 1 THEN '{"exact":' || CASE WHEN conv % 2 = 0 THEN 'true' ELSE 'false' END || ',"key":' || to_json(text)
+            || CASE WHEN conv % 5 <> 0 THEN ',"lang":"en"' ELSE '' END || '}'
+          ELSE '{"text":' || to_json(text) || ',"unit":' || CASE WHEN conv % 7 = 0 THEN '1' ELSE '"words"' END || '}' END AS arguments,
+        CASE WHEN turn % 3 = 1 AND conv % 5 = 0 THEN 'missing:lang' WHEN turn % 3 = 2 AND conv % 7 = 0 THEN 'type:unit' ELSE '' END AS errors,
+        EXISTS (SELECT 1 FROM u p WHERE p.conv = u.conv AND p.turn = u.turn - 2) AS later
+      FROM u
+    ), l AS (
+      SELECT id, conv, turn, CAST(0 AS BIGINT) AS level FROM c WHERE NOT later
+      UNION ALL SELECT c.id, c.conv, c.turn, l.level + 1 FROM c JOIN l ON c.conv = l.conv AND c.turn = l.turn + 2
+    ), r AS (
+      SELECT conv_id AS conv, conv_id || ':' || (turn - 1) AS id, min(text) AS content, count(*) AS n_results
+      FROM conversations WHERE role = 'assistant' GROUP BY ALL
+    ), j AS (
+      SELECT coalesce(c.conv, r.conv) AS conv, coalesce(c.id, r.id) AS id, c.tool, l.level, CAST(c.id IS NOT NULL AS BIGINT) AS n_calls,
+        coalesce(r.n_results, 0) AS n_results, coalesce(c.errors, '') AS errors, c.arguments, r.content,
+        CASE WHEN c.id IS NULL THEN 'no_call' WHEN c.errors <> '' THEN 'invalid' WHEN r.id IS NULL THEN 'no_result' ELSE 'linked' END AS status
+      FROM c JOIN l USING (id) FULL JOIN r ON c.conv = r.conv AND c.id = r.id
+    )
+    SELECT conv, id, tool, level, n_calls, n_results, status, errors,
+      '{"arguments":' || coalesce(arguments, 'null') || ',"errors":' || CASE WHEN errors = '' THEN '[]' ELSE '["' || errors || '"]' END
+      || ',"id":"' || id || '","level":' || coalesce(CAST(level AS VARCHAR), 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
+      || ',"status":"' || status || '","tool":' || coalesce('"' || tool || '"', 'null') || '}' AS json
+    FROM j""",
+)
+def _(spark, sf):
+    """Each user turn is a call of a tool with the turn's text, after the user's turn before; the answer is its result."""
+    rows = table(spark, sf, "conversations")
+    own = F.struct  # keys are not in order here, and some calls break their schema on purpose
+    arguments = (
+        F.when(F.col("turn") % 3 == 0, F.to_json(own(F.col("text").alias("query"), F.length("text").alias("limit"))))
+        .when(F.col("turn") % 3 == 1, F.to_json(own(F.col("text").alias("key"), F.when(F.col("conv_id") % 5 != 0, "en").alias("lang"), (F.col("conv_id") % 2 == 0).alias("exact"))))
+        .when(F.col("conv_id") % 7 == 0, F.to_json(own(F.lit(1).alias("unit"), "text"))).otherwise(F.to_json(own(F.lit("words").alias("unit"), "text")))
+    )
+    name = lambda turn: F.concat_ws(":", "conv_id", turn.cast("string"))
+    tool = F.element_at(F.array(*map(F.lit, ("search", "lookup", "count"))), (F.col("turn") % 3 + 1).cast("int"))
+    turn = F.col("turn")
+    calls = rows.filter("role = 'user'").select(F.col("conv_id").alias("conv"), name(turn).alias("id"), tool.alias("tool"), arguments.alias("arguments"), name(turn - 2).alias("after"))
+    results = rows.filter("role = 'assistant'").select(F.col("conv_id").alias("conv"), name(turn - 1).alias("id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(TOOLS, "tool string, param string, type string, required boolean")
+    return toolcalls.link(calls, results, schemas)
+
+
 @query("op5_bpe")
 def _(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
