@@ -9,7 +9,9 @@ that share one are verified exactly.
 
 Groups of many similar sets are not compared pair by pair: each set that shares a signature is verified against
 the first set of the group, links found so are joined to components, and only pairs of a group that are still in
-different components are verified afterwards.
+different components are verified afterwards. A pair is verified only if its sizes and sketches allow the similarity:
+a sketch has the parities of the numbers of elements in 512 parts of the domain, and two sketches differ in no more
+bits than the sets do in elements, so no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ SHINGLE = 3
 SIMILARITY = 90
 # Subranges of a range when one difference may fall into it.
 SUBRANGES = 3
+SKETCH = [f"s{k}" for k in range(8)]
 
 
 def band_of(size: int, similarity: int = SIMILARITY) -> int:
@@ -102,16 +105,22 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int, np.ndarray]:
     return int(sums[-1:].view(np.int64)[0]), int(np.array([other]).view(np.int64)[0]), sums
 
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    parity = np.bincount((tx.mix(own, 1) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64)
+
+
 def _nodes(docs: DataFrame, size: int) -> DataFrame:
-    """For each row its set's size and 128-bit fingerprint (a, b)."""
+    """For each row its set's size, 128-bit fingerprint (a, b) and sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.slices(whole, "text"):
-                found = [(own.size, *_fingerprint(own)[:2]) for own in shingle_sets(batch, size)]
-                columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column("ident"), *columns], ["ident", "n", "a", "b"])
+                found = [(own.size, *_fingerprint(own)[:2], *_sketch(own).tolist()) for own in shingle_sets(batch, size)]
+                columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column("ident"), *columns], ["ident", *names])
 
-    return docs.mapInArrow(run, f"ident {docs.schema['ident'].dataType.simpleString()}, n long, a long, b long")
+    names = ["n", "a", "b", *SKETCH]
+    return docs.mapInArrow(run, tx.schema_of(docs, ["ident"], ", ".join(f"{c} long" for c in names)))
 
 
 def _signed(docs: DataFrame, size: int, similarity: int, buckets: int) -> DataFrame:
@@ -119,33 +128,34 @@ def _signed(docs: DataFrame, size: int, similarity: int, buckets: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.slices(whole, "text"):
-                nodes, found = {}, []
+                nodes: set[tuple[int, int]] = set()
+                order, found = [], []
                 for own in shingle_sets(batch, size):
                     a, b, sums = _fingerprint(own)
                     if own.size and (a, b) not in nodes:
-                        nodes[a, b] = own.size
+                        nodes.add((a, b))
+                        order.append((a, b))
                         band = band_of(own.size, similarity)
                         found.append(np.concatenate([signatures(own, sums, x, similarity) for x in (band, band + 1)]))
                 if found:
-                    a, b = (np.array([x[k] for x in nodes], np.int64) for k in (0, 1))
+                    a, b = (np.array([x[k] for x in order], np.int64) for k in (0, 1))
                     owner = np.repeat(np.arange(len(found)), [f.size for f in found])
                     h = np.concatenate(found)
-                    sizes = np.array(list(nodes.values()), np.int64)
-                    yield ex.packed(ex.bucket_of(h, buckets), buckets, owner, [a, b, sizes], [h])
+                    yield ex.packed(ex.bucket_of(h, buckets), buckets, owner, [a, b], [h])
 
-    return docs.select("text").mapInArrow(run, ex.packed_schema(4))
+    return docs.select("text").mapInArrow(run, ex.packed_schema(3))
 
 
 def _groups(group: pa.Table) -> pa.Table:
     """Sets of nodes that share a signature: one row for each node of each group, with the group's first node."""
-    a, b, n, h = ex.unpacked(group, ["<i8", "<i8", "<i8"], ["<u8"])
+    a, b, h = ex.unpacked(group, ["<i8", "<i8"], ["<u8"])
     order = np.lexsort((b, a, h))
-    a, b, n, h = a[order], b[order], n[order], h[order]
+    a, b, h = a[order], b[order], h[order]
     first = np.ones(h.size, bool)
     first[1:] = h[1:] != h[:-1]
     fresh = first.copy()
     fresh[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b, n, first = a[fresh], b[fresh], n[fresh], first[fresh]
+    a, b, first = a[fresh], b[fresh], first[fresh]
     lead = np.flatnonzero(first)
     sizes = np.diff(np.append(lead, first.size))
     many = np.repeat(sizes > 1, sizes)
@@ -156,11 +166,11 @@ def _groups(group: pa.Table) -> pa.Table:
     new[once] = True
     many &= np.repeat(new, sizes)
     key, ends = np.repeat(key.view(np.int64), sizes), np.repeat(lead, sizes)
-    columns = {"g": key, "a": a, "b": b, "n": n, "ha": a[ends], "hb": b[ends], "hn": n[ends]}
+    columns = {"g": key, "a": a, "b": b, "ha": a[ends], "hb": b[ends]}
     return pa.table({c: pa.array(x[many]) for c, x in columns.items()})
 
 
-GROUPS = "g long, a long, b long, n long, ha long, hb long, hn long"
+GROUPS = "g long, a long, b long, ha long, hb long"
 PAIR = ["xa", "xb", "ya", "yb"]
 
 
@@ -176,8 +186,11 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "a long, b long, own binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of the distinct pairs (xa, xb, ya, yb) that are similar enough, as pairs of ids x and y."""
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, similarity: int) -> DataFrame:
+    """Those of the distinct pairs (xa, xb, ya, yb) that are similar enough, as pairs of ids x and y.
+
+    Only texts of nodes in a pair are read again, one row's text for each node.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -187,9 +200,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 keep.append(100 * common >= similarity * (both.size - common))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    nodes = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
+    nodes = stage_table(known.select("a", "b", "lead").join(nodes, ["a", "b"]))
+    rows = docs.join(nodes.select(F.col("lead").alias("ident")).distinct(), "ident")
+    sets = stage_table(_sets(rows, size).join(nodes, ["a", "b"]).dropDuplicates(["a", "b"]))
     x, y = (sets.select(*[F.col(c).alias(s + c) for c in ("a", "b", "own")], F.col("lead").alias(s)) for s in "xy")
     rows = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).select("x", "y", "xown", "yown")
-    kind = sets.schema["lead"].dataType.simpleString()
+    kind = known.schema["lead"].dataType.simpleString()
     return rows.mapInArrow(run, f"x {kind}, y {kind}")
 
 
@@ -207,31 +224,39 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     buckets = ex.bucket_count(own, "text")
     groups = stage_table(_signed(some, size, similarity, buckets).groupBy("bucket").applyInArrow(_groups, GROUPS).distinct())
 
-    # Sets of the nodes that share a signature, from the text of one row of each.
-    classes = nodes.filter("n > 0 and ident is not null").groupBy("a", "b").agg(F.min("ident").alias("lead"), F.count("*").alias("copies"))
-    wanted = stage_table(classes.join(groups.select("a", "b").distinct(), ["a", "b"]).select("a", "b", "lead"))
-    rows = some.join(wanted.select(F.col("lead").alias("ident")).distinct(), "ident")
-    sets = stage_table(_sets(rows, size).join(wanted, ["a", "b"]).dropDuplicates(["a", "b"]))
+    # Nodes that share a signature, each with one row of its documents.
+    classes = nodes.filter("n > 0 and ident is not null").groupBy("a", "b").agg(
+        F.min("ident").alias("lead"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", *SKETCH)]
+    )
+    known = stage_table(classes.join(groups.select("a", "b").distinct(), ["a", "b"]))
+
+    def under(prefix: str, *more: str) -> DataFrame:
+        """The known nodes with their columns under a prefix."""
+        return known.select(*[F.col(c).alias(prefix + c) for c in ("a", "b", "n", *SKETCH, *more)])
 
-    def near(n: str, m: str) -> Column:
-        return F.least(n, m) * 100 >= F.greatest(n, m) * similarity
+    def possible(x: str, y: str) -> Column:
+        sizes = F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * similarity
+        apart = sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in SKETCH), F.lit(0))
+        return sizes & (apart * (100 + similarity) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - similarity))
 
     hub = (F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb"))
-    first = groups.filter(~hub & near("n", "hn")).select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("ha").alias("ya"), F.col("hb").alias("yb"))
-    linked = stage_table(_verified(first.distinct(), sets, similarity))
+    first = groups.filter(~hub).select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("ha").alias("ya"), F.col("hb").alias("yb")).distinct()
+    first = first.join(under("x"), ["xa", "xb"]).join(under("y"), ["ya", "yb"]).filter(possible("x", "y"))
+    linked = stage_table(_verified(stage_table(first.select(*PAIR)), own, known, size, similarity))
     labels = graph.components(linked)
 
     # What is left: pairs of a group, without its first node, in different components.
-    parts = wanted.join(labels.select(F.col("x").alias("lead"), "y"), "lead", "left").select("a", "b", F.coalesce("y", "lead").alias("part"))
-    members = groups.filter(~hub).select("g", "a", "b", "n").join(parts, ["a", "b"])
+    parts = known.join(labels.select(F.col("x").alias("lead"), "y"), "lead", "left").withColumn("part", F.coalesce("y", "lead")).select("a", "b", "n", *SKETCH, "part")
+    members = groups.filter(~hub).select("g", "a", "b").join(parts, ["a", "b"])
     mixed = members.groupBy("g").agg(F.min("part").alias("l"), F.max("part").alias("m")).filter("l < m").select("g")
-    members = members.join(mixed, "g")
-    x, y = (members.select("g", *[F.col(c).alias(s + c) for c in ("a", "b", "n", "part")]) for s in "xy")
-    second = x.join(y, "g").filter((F.col("xpart") < F.col("ypart")) & near("xn", "yn")).select(*PAIR).distinct()
-    late = stage_table(_verified(second, sets, similarity))
+    members = stage_table(members.join(mixed, "g"))
+    x, y = (members.select("g", *[F.col(c).alias(s + c) for c in ("a", "b", "n", *SKETCH, "part")]) for s in "xy")
+    second = stage_table(x.join(y, "g").filter((F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
+    late = stage_table(_verified(second, own, known, size, similarity))
     if not late.isEmpty():
         labels = graph.components(labels.unionByName(late))
 
+    classes = classes.select("a", "b", "lead", "copies")
     rows = nodes.join(classes, ["a", "b"], "left").join(labels.select(F.col("x").alias("lead"), F.col("y").alias("least")), "lead", "left")
     alone = (F.col("n") == 0) | F.col("ident").isNull()
     return rows.select(
