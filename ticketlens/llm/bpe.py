@@ -11,7 +11,6 @@ none, the stretch is extended until both agree.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import re
@@ -21,14 +20,13 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens.llm import textops as tx
 
 # Bytes of a chunk on average, a power of two, and bytes of chunks that a task keeps the tokens of.
 CHUNK_BYTES = 1024
 KEPT_BYTES = 24 << 20
+MADE = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -154,7 +152,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
     text are found as the library finds them. The other columns are left out, whatever their names. path is a
     tokenizers file of a byte-level BPE that every executor has, pattern the pre-tokenizer's.
     """
-    names = [f"k{i}" for i in range(len(keep))]
+    rows, names = tx.carried(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
@@ -167,9 +165,8 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
                     made.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if with_ids else None))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 3 + with_ids]
                 columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(names) + len(columns)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *MADE[: 3 + with_ids]])
 
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("string").alias("text"))
-    fields = T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).fields
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *fields]))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[f.name for f in fields])
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = rows.mapInArrow(run, tx.schema_of(rows, names, made))
+    return tx.restored(out, keep, names, *MADE[: 3 + with_ids])

@@ -228,21 +228,20 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iter
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id",
-         item_text: str = "text", with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+         item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row: the kept columns, n_words, spans of benchmark words and the items found.
 
     Spans count words, are merged and in order. Items are distinct texts, in string order. A null or empty text
     has no words, spans or items; a null item is left out, a null or wordless item text holds no window. Repeated
     rows get the same result each, an empty table none. The columns of docs that are not in keep are left out,
-    whatever their names; with_text adds the text. Nothing is shuffled: a shard of texts meets one bounded block of the benchmark at a time.
+    whatever their names. Nothing is shuffled: a shard of texts meets one bounded block of the benchmark at a time.
     """
-    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"),
-                      F.lit(0).cast("int").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out, names = tx.carried(docs, keep, text)
+    out = out.withColumns({"n_words": F.lit(0).cast("int"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
     for last, wanted in blocks(benchmark, item, item_text, block_bytes):
-        fields = [f for f in out.schema if not last or with_text or f.name != "text"]
+        fields = [f for f in out.schema if not last or f.name in names or f.name != "text"]
         out = out.mapInArrow(_searcher(tx.Shared(docs.sparkSession, wanted), [f.name for f in fields]), T.StructType(fields))
-    texts = [F.col("text").alias(text)] if with_text else []
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *texts, "n_words", "spans", "items")
+    return tx.restored(out, keep, names, "n_words", "spans", "items")
 
 
 def _searcher(shared: tx.Shared, columns: list[str]):

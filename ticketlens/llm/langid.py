@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens.llm import textops as tx
 from ticketlens.session import settle
@@ -257,14 +256,15 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", samp
     return Model(languages, trie, p)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row: the kept columns, lang_pred and score, the probability of that language for the whole text.
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """For each row: the kept columns, lang_pred and score (or as made names them), the probability of that language for the whole text.
 
     Without a text, without a letter in it, or with no learned language the prediction is "und" and the score 0. Ties
     go to the first language in order. Equal texts get equal results, an empty table none; the other columns are left
     out, whatever their names.
     """
-    names = [f"k{i}" for i in range(len(keep))]
+    rows, names = tx.carried(docs, keep, text)
     shared = tx.Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +285,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 labels = [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0))], [*names, "lang_pred", "score"])
 
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double").fields]))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score")
+    out = rows.mapInArrow(run, tx.schema_of(rows, names, "lang_pred string, score double"))
+    return tx.restored(out, keep, names, *[F.col(c).alias(m) for c, m in zip(("lang_pred", "score"), made, strict=True)])

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens.llm import textops as tx
 
@@ -192,7 +191,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     A null or empty text has no features and the score of the bias. Equal texts get equal scores, an empty table no
     rows; the other columns are left out, whatever their names.
     """
-    names = [f"k{i}" for i in range(len(keep))]
+    rows, names = tx.carried(docs, keep, text)
     shared = tx.Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +202,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 scores = model.score(*features(batch.column("text"), bits))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores)], [*names, "score"])
 
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")
+    out = rows.mapInArrow(run, tx.schema_of(rows, names, "score double"))
+    return tx.restored(out, keep, names, "score")

@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens.llm import exchange as ex
 from ticketlens.llm import textops as tx
@@ -32,11 +31,12 @@ def anchor_length(match: int, period: int = PERIOD) -> int:
     return match - period + 1
 
 
-def _texts(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
+def _texts(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, list[str]]:
     """The rows under a key of 128 bits of all their values: ids may be null or repeated, equal rows share one."""
-    own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
-    seed = F.concat_ws(",", *[F.col(f"k{i}").cast("string") for i in range(len(keep))])
-    return own.select(F.xxhash64("text", seed).alias("a"), F.xxhash64(seed, "text").alias("b"), *own.columns)
+    own, names = tx.carried(docs, keep, text)
+    own = own.withColumn("text", F.coalesce("text", F.lit("")))
+    seed = F.concat_ws(",", *[F.col(n).cast("string") for n in names if n != "text"])
+    return own.select(F.xxhash64("text", seed).alias("a"), F.xxhash64(seed, "text").alias("b"), *own.columns), names
 
 
 def _places(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     and are merged and in order. A null, empty or short text loses nothing; equal rows count as copies and get the
     same result each; an empty table has none. The columns that are not in keep are left out, whatever their names.
     """
-    texts = _texts(docs, keep, text)
+    texts, names = _texts(docs, keep, text)
     found = repeats(texts, match, ex.bucket_count(docs, text))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +224,6 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                     [*names, "n_words", "n_removed", "spans", "kept"],
                 )
 
-    names = [f"k{i}" for i in range(len(keep))]
     rows = texts.join(found, ["a", "b"], "left")
-    kept = [f for f in rows.schema if f.name in names]
-    out = rows.mapInArrow(cut, T.StructType([*kept, *T._parse_datatype_string(f"n_words long, n_removed long, spans {SPANS}, kept string")]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "spans", "kept")
+    out = rows.mapInArrow(cut, tx.schema_of(rows, names, f"n_words long, n_removed long, spans {SPANS}, kept string"))
+    return tx.restored(out, keep, names, "n_words", "n_removed", "spans", "kept")

@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANKS = (0x20, *range(0x09, 0x0E))
 LOWER = np.arange(256, dtype=np.uint8)
@@ -169,3 +171,20 @@ def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
     """The stretches of true flags as (first, last + 1)."""
     edges = np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))
     return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+
+
+def carried(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, list[str]]:
+    """The text as the column text and the kept columns under names of their own, and those names; the text of a kept
+    text column is there once."""
+    names = ["text" if c == text else f"k{i}" for i, c in enumerate(keep)]
+    kept = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True) if n != "text"]
+    return docs.select(*kept, F.col(text).cast("string").alias("text")), names
+
+
+def restored(out: DataFrame, keep: tuple[str, ...], names: list[str], *made: str) -> DataFrame:
+    """The kept columns under their own names again, and the columns that were made."""
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *made)
+
+
+def schema_of(rows: DataFrame, names: list[str], made: str) -> T.StructType:
+    return T.StructType([*(rows.schema[n] for n in names), *T._parse_datatype_string(made).fields])

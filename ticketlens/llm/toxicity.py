@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketlens.llm import textops as tx
 from ticketlens.llm.quality import logistic
@@ -273,9 +272,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     among equally near examples the first of the index are taken. An empty table gives no rows, and the other columns
     are left out, whatever their names.
     """
-    names = [f"k{i}" for i in range(len(keep))]
+    rows, names = tx.carried(docs, keep, text)
     shared = tx.Shared(docs.sparkSession, model)
-    fields = T._parse_datatype_string(f"score double, {EVIDENCE}").fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -298,6 +296,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 kind = pa.list_(pa.struct([("example", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], kind)], [*names, "score", "evidence"])
 
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *fields]))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score", "evidence")
+    out = rows.mapInArrow(run, tx.schema_of(rows, names, f"score double, {EVIDENCE}"))
+    return tx.restored(out, keep, names, "score", "evidence")
