@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm import exchange as ex
 from ticketlens.llm import textops as tx
+from ticketlens.session import stage_table
 
 MATCH = 35
 SPANS = "array<struct<start:int,stop:int>>"
@@ -127,7 +128,8 @@ def _repeats(entries: DataFrame, buckets: int) -> DataFrame:
 def _copies(texts: DataFrame, match: int) -> DataFrame:
     """The rows whose whole text occurs again: key, and whether the row stands for the others."""
     own = texts.filter(F.octet_length("text") >= 2 * match - 1).select("a", "b", F.xxhash64("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("u"))
-    same = own.groupBy("t", "u").agg(F.count("*").alias("n"), F.min("a").alias("lead")).filter("n > 1")
+    # Staged, so that both sides of the join are plain exchanges and a text of very many copies can be split.
+    same = stage_table(own.groupBy("t", "u").agg(F.count("*").alias("n"), F.min("a").alias("lead")).filter("n > 1"))
     return own.join(same, ["t", "u"]).select("a", "b", (F.col("a") == F.col("lead")).alias("leads")).distinct()
 
 
