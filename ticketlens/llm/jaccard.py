@@ -224,10 +224,11 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     buckets = ex.bucket_count(own, "text")
     groups = stage_table(_signed(some, size, similarity, buckets).groupBy("bucket").applyInArrow(_groups, GROUPS).distinct())
 
-    # Nodes that share a signature, each with one row of its documents.
-    classes = nodes.filter("n > 0 and ident is not null").groupBy("a", "b").agg(
+    # Nodes that share a signature, each with one row of its documents. What is joined by a key that very many rows
+    # have is staged, so that both sides are plain exchanges and the key can be split.
+    classes = stage_table(nodes.filter("n > 0 and ident is not null").groupBy("a", "b").agg(
         F.min("ident").alias("lead"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", *SKETCH)]
-    )
+    ))
     known = stage_table(classes.join(groups.select("a", "b").distinct(), ["a", "b"]))
 
     def under(prefix: str, *more: str) -> DataFrame:
@@ -243,7 +244,7 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     first = groups.filter(~hub).select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("ha").alias("ya"), F.col("hb").alias("yb")).distinct()
     first = first.join(under("x"), ["xa", "xb"]).join(under("y"), ["ya", "yb"]).filter(possible("x", "y"))
     linked = stage_table(_verified(stage_table(first.select(*PAIR)), own, known, size, similarity))
-    labels = graph.components(linked)
+    labels = stage_table(graph.components(linked))
 
     # What is left: pairs of a group, without its first node, in different components.
     parts = known.join(labels.select(F.col("x").alias("lead"), "y"), "lead", "left").withColumn("part", F.coalesce("y", "lead")).select("a", "b", "n", *SKETCH, "part")
@@ -254,7 +255,7 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     second = stage_table(x.join(y, "g").filter((F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
     late = stage_table(_verified(second, own, known, size, similarity))
     if not late.isEmpty():
-        labels = graph.components(labels.unionByName(late))
+        labels = stage_table(graph.components(labels.unionByName(late)))
 
     classes = classes.select("a", "b", "lead", "copies")
     rows = nodes.join(classes, ["a", "b"], "left").join(labels.select(F.col("x").alias("lead"), F.col("y").alias("least")), "lead", "left")
