@@ -29,14 +29,20 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return have(df, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cross_tab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
+def cross_tab(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None, rest: str = "other") -> DataFrame:
     """Row counts with one column per value; empty cells are 0.
 
-    Rows with another value count nowhere; a row key with none of the values is left out.
+    Without ``values`` each value of the data has a column, in order.  With them, rows with any other value count
+    in the column ``rest``.  Rows without a row key or without a value count nowhere.
     """
-    wanted = have(df, row).filter(F.col(column).isin(list(values)))
-    table = wanted.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)))
-    return table.fillna(0, list(values))
+    counts = group_sizes(df, [row, column]).withColumn(column, F.col(column).cast("string"))
+    if values is None:
+        names = [r[0] for r in counts.select(column).distinct().orderBy(column).collect()]
+    else:
+        names = [*values, rest]
+        counts = counts.withColumn(column, F.when(F.col(column).isin(list(values)), F.col(column)).otherwise(rest))
+    table = counts.groupBy(row).pivot(column, names).agg(F.sum("n"))
+    return table.fillna(0, names)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -37,6 +37,5 @@ def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metrics_by_stage(rows: DataFrame, stages: list[str]) -> DataFrame:
-    """Ungrouped metrics with one column per stage."""
-    single = rows.filter(F.col("grp").isNull())
-    return single.groupBy("metric").pivot("stage", stages).agg(F.first("value"))
+    """One row per metric and group, ungrouped metrics with a null group, and one column per stage."""
+    return rows.groupBy("metric", "grp").pivot("stage", stages).agg(F.first("value"))
