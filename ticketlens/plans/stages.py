@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import month_bucket
 from ticketlens.functions.parse import closed_without_text
-from ticketlens.operators import aggregate, dedupe, dimension, models, profile, repair, replies, stats
+from ticketlens.operators import aggregate, dedupe, dimension, evaluate, models, profile, repair, replies, stats
 from ticketlens.operators.cleaning import clean_customers, clean_tickets, with_response
 from ticketlens.operators.join import enrich, key_coverage, lookup_first
-from ticketlens.session import stage_table
+from ticketlens.session import clear_scratch, stage_table
 from ticketlens.sources import metrics, tables
 
-# Analysed factors and cross-tab columns.
+# Analysed factors.
 FACTORS = ("priority", "sla_plan", "region")
-PRIORITIES = ("urgent", "high", "medium", "low")
 
 
 def build_star(tickets: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
@@ -95,7 +94,7 @@ def dashboard_tables(fact: DataFrame, wide: DataFrame) -> dict[str, DataFrame]:
     dated = stage_table(dated.select(month_bucket("created_at").alias("month"), "priority"))
     return {
         "volume": aggregate.group_sizes(dated, ["month", "priority"]),
-        "volume_by_priority": aggregate.cross_tab(dated, "month", "priority", PRIORITIES),
+        "volume_by_priority": aggregate.cross_tab(dated, "month", "priority"),
         "resolution_histogram": aggregate.histogram(fact, "resolution_time_hours", stats.HISTOGRAM_BINS),
         "resolution_density": stats.density(fact, "resolution_time_hours", bins=stats.HISTOGRAM_BINS),
         "sla_by_segment": aggregate.sla_rate(wide),
@@ -138,7 +137,7 @@ def run_time_analysis(spark: SparkSession, out: str) -> None:
         name: tables.write_table(table, f"{out}/time/{name}") for name, table in time_tables(wide).items()
     }
     groups = written["summary_by_group"].withColumn("group", F.concat_ws("=", "factor", "level"))
-    tests = written["anova"].select("factor", "f", "p_value", F.col("skipped").cast("int"))
+    tests = written["anova"].select("factor", "f", "p_value", F.col("significant_05").cast("int"), F.col("skipped").cast("int"))
     rows = metrics.all_metrics(
         metrics.metric_rows(written["overall"], stage),
         metrics.metric_rows(groups.drop("factor", "level"), stage, "group"),
@@ -153,7 +152,7 @@ def run_models(
     resolution: models.ForestSettings = models.RESOLUTION,
     sentiment: models.SentimentSettings = models.SentimentSettings(),
 ) -> None:
-    """Trains, scores and saves the three models."""
+    """Trains and saves the three models; writes the scored hold-out rows, their metrics and the confusion matrix."""
     wide = tables.read_table(spark, f"{out}/quality/tickets_enriched")
     csat_model = models.train_csat(wide, settings=csat)
     trained = {
@@ -163,7 +162,12 @@ def run_models(
     }
     for stage, (result, group) in trained.items():
         tables.save_model(result.model, f"{out}/models/{stage}")
-        metrics.write_metrics(metrics.metric_rows(result.metrics, stage, group), f"{out}/metrics", stage)
+        tables.write_table(result.scored, f"{out}/models/{stage}_scored")
+        sizes = spark.createDataFrame([(result.n_train,)], "n_train long")
+        rows = metrics.all_metrics(metrics.metric_rows(result.metrics, stage, group), metrics.metric_rows(sizes, stage))
+        metrics.write_metrics(rows, f"{out}/metrics", stage)
+    scored = tables.read_table(spark, f"{out}/models/07_sentiment_scored")
+    tables.write_table(evaluate.confusion_matrix(scored, "label", "predicted"), f"{out}/models_top/sentiment_confusion")
     importance = models.feature_importance(csat_model.model, models.CSAT_CATEGORIES, wide)
     tables.write_table(importance, f"{out}/models_top/csat_features")
 
@@ -178,10 +182,11 @@ def run_replies(spark: SparkSession, out: str, load: replies.GeneratorLoader | N
 
 
 def run_all(spark: SparkSession, tickets_csv: str, customers_csv: str, out: str, **options) -> None:
-    """All stages in order; stops at the first failure."""
+    """All stages in order; stops at the first failure.  Scratch tables go when all results are written."""
     run_etl(spark, tickets_csv, customers_csv, out)
     run_quality(spark, out)
     run_dashboard(spark, out)
     run_time_analysis(spark, out)
     run_models(spark, out, **options)
     run_replies(spark, out)
+    clear_scratch()
