@@ -26,12 +26,16 @@ def exact_copies(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: Column | str, drop_order: bool = False) -> DataFrame:
-    """The row with the smallest ``order`` for each key (null is a key too).
+    """The row with the smallest ``order`` for each key (null is a key too, and a null order is last).
 
     ``order`` is required: a distributed table has no file order.  The minimum
     is combined on the map side, so a key with very many rows is no hot spot.
+    Among rows of equal order the smallest row is taken.
     """
     position = F.col(order) if isinstance(order, str) else order
+    rest = [c for c in df.columns if c != key]
+    # A struct is never null, so rows without an order take part.
+    position = F.struct(position.isNull(), position, *rest)
     kept = [c for c in df.columns if c != key and not (drop_order and c == order)]
     first = df.groupBy(key).agg(F.min_by(F.struct(*kept), position).alias("_first"))
     columns = [c for c in df.columns if c == key or c in kept]

@@ -9,60 +9,27 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.parse import strip
 from ticketlens.operators.dedupe import keep_first
-from ticketlens.session import fits, settle
 
-# A key is hot from one in HOT_SHARE rows on, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 1_000
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key that is not null; of several the smallest."""
+    rest = [c for c in df.columns if c != key]
+    first = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    return first.select(key, *[F.col("_row")[c].alias(c) for c in rest])
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least one in ``share`` rows: never more than ``share`` of them."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select(key, "_n")
-    total = df.select(F.count(F.lit(1)).alias("total")).scalar()
-    return counts.filter(F.col("_n") * share >= total).select(key)
 
+def left_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left equi join to one row per key of ``right``: the row count never grows, and null keys match nothing.
 
-def left_lookup(
-    left: DataFrame, right: DataFrame, key: str, max_rows: int | None = None, counted: DataFrame | None = None
-) -> DataFrame:
-    """Left equi join to ``right``, which has one row per key; the row count never grows.
-
-    A right side counted to be small is broadcast, so the left is not shuffled.
-    Otherwise hot keys are answered from a broadcast of their few right rows,
-    and they and null keys are spread over the shuffle by a hash of the row.
-    ``counted`` is a cheaper table that has no fewer rows than ``right``.
+    The right side is reduced and joined in one plan, so it runs once.  Its size at run time decides whether it is
+    broadcast, and adaptive execution splits the left rows of a hot key or of null keys over several tasks.
     """
-    if fits(right if counted is None else counted, max_rows):
-        return left.join(F.broadcast(right), key, "left")
+    return left.join(one_per_key(right, key), key, "left")
 
-    added = [c for c in right.columns if c != key]
-    hot = settle(hot_keys(left, key))
-    hot_rows = right.join(F.broadcast(hot), key).select(
-        F.col(key), F.struct(*added).alias("_hot"), F.lit(True).alias("_is_hot")
-    )
-    marked = left.join(F.broadcast(hot_rows), key, "left")
-    spread = F.col(key).isNull() | F.col("_is_hot").isNotNull()
-    # Key and salt form one join column: a constant salt of its own would be
-    # folded away, and all spread rows would share one partition.
-    no_salt = F.lit(0).cast("long")
-    salt = F.when(spread, F.xxhash64(*left.columns)).otherwise(no_salt)
-    marked = marked.withColumn("_on", F.struct(F.when(~spread, F.col(key)).alias("k"), salt.alias("s")))
-    cold = right.filter(F.col(key).isNotNull()).select(
-        F.struct(F.col(key).alias("k"), no_salt.alias("s")).alias("_on"), F.struct(*added).alias("_cold")
-    )
-    joined = marked.join(cold, "_on", "left")
-    pick = F.when(F.col("_is_hot").isNotNull(), F.col("_hot")).otherwise(F.col("_cold"))
-    return joined.withColumn("_row", pick).select(
-        key, *[c for c in left.columns if c != key], *[F.col("_row")[c].alias(c) for c in added]
-    )
 
-
-def enrich(
-    left: DataFrame, right: DataFrame, key: str, max_rows: int | None = None, counted: DataFrame | None = None
-) -> DataFrame:
+def enrich(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join that adds only the right columns the left does not have yet."""
-    return left_lookup(left, right.select(key, *new_columns(left, right, key)), key, max_rows, counted)
+    return left_lookup(left, right.select(key, *new_columns(left, right, key)), key)
 
 
 def new_columns(left: DataFrame, right: DataFrame, key: str) -> list[str]:
@@ -75,26 +42,21 @@ def shared_columns(left: DataFrame, right: DataFrame, key: str) -> list[str]:
     return [c for c in right.columns if c != key and c in left.columns]
 
 
-def lookup_filling(
-    df: DataFrame, lookup: DataFrame, key: str, column: str, max_rows: int | None = None
-) -> DataFrame:
+def lookup_filling(df: DataFrame, lookup: DataFrame, key: str, column: str) -> DataFrame:
     """Left lookup of one column; where ``df`` has the column, its own value wins over the lookup's."""
     found = lookup.select(key, F.col(column).alias("_found"))
-    joined = left_lookup(df, found, key, max_rows)
+    joined = left_lookup(df, found, key)
     own = [F.col(column)] if column in df.columns else []
     return joined.withColumn(column, F.coalesce(*own, F.col("_found"))).drop("_found")
 
 
-def lookup_first(
-    df: DataFrame, other: DataFrame, key: str, columns: list[str], order: Column | str,
-    max_rows: int | None = None,
-) -> DataFrame:
+def lookup_first(df: DataFrame, other: DataFrame, key: str, columns: list[str], order: Column | str) -> DataFrame:
     """Left join to the first row per key of ``other``, keeping those of ``columns`` it has."""
     present = [c for c in columns if c in other.columns and c != key]
     position = F.col(order) if isinstance(order, str) else order
     ordered = other.select(key, *present, position.alias("_order"))
-    first = keep_first(ordered, key, "_order", drop_order=True)
-    return enrich(df, first, key, max_rows, counted=other)
+    first = keep_first(ordered.filter(F.col(key).isNotNull()), key, "_order", drop_order=True)
+    return df.join(first.select(key, *new_columns(df, first, key)), key, "left")
 
 
 def mapping_table(df: DataFrame, mapping: Mapping[str, object], key: str, value: str) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count of a side that may be broadcast.  Rows of such sides are
-# a key and a few numbers (or one dimension row), so this stays in the tens of MB.
-BROADCAST_ROWS = 50_000
+# Most bytes of a settled side that is broadcast, measured on its rows.
+BROADCAST_BYTES = 8 << 20
+
+# Paths of the tables written next to the checkpoints, for clear_scratch.
+_written: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -30,7 +33,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path next to the checkpoints, on the shared folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch() -> None:
+    """Deletes the scratch tables of this process.  For when all results that read them are written."""
+    while _written:
+        path = _written.pop()
+        if "://" in path:
+            system, folder = fs.FileSystem.from_uri(path)
+        else:
+            system, folder = fs.LocalFileSystem(), path.removeprefix("file:")
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -50,23 +67,23 @@ def stage_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int | None = None) -> bool:
+def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
     Rows come without columns and partition by partition, so a large table is
     left after its first partitions and the driver sees a bounded number of ones.
     """
-    bound = BROADCAST_ROWS if max_rows is None else max_rows
-    return len(df.select(F.lit(1)).take(bound + 1)) <= bound
+    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Settle a per-group table and mark it for broadcast only if it was counted to be small.
+def small_side(df: DataFrame) -> DataFrame:
+    """Settle a per-group table and mark it for broadcast only if its rows are measured to be small.
 
     Beyond the bound the join stays a shuffle join, where adaptive execution splits hot keys.
     """
     table = settle(df)
-    return F.broadcast(table) if fits(table, max_rows) else table
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])))
+    return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else table
 
 
 def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
