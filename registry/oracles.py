@@ -1,10 +1,11 @@
 """SQL twins of the registered queries, for DuckDB on the same tables.
 
-Written apart from the operators: they share only the source binding.
+Written apart from the operators: they share only the source binding and the fixed country table.
 """
 
 from __future__ import annotations
 
+from ticketlens.operators.repair import COUNTRY_REGIONS
 from ticketlens.plans.binding import CUSTOMERS_SQL, PLAIN_COLUMNS, TICKET_COLUMNS, tickets_sql
 
 TABLES = {name: name for name in ("events", "documents", "benchmark", "customer")}
@@ -15,13 +16,6 @@ CUSTOMERS = CUSTOMERS_SQL.format(**TABLES)
 # Fixed values, as in the operators.
 NUM = r"(?i)\s*[+-]?(inf|infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\s*"
 BLANK = r"\s\x{000B}\x{001C}-\x{001F}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}\x{0085}\x{1680}\x{202F}\x{205F}"
-REGIONS = {
-    "EU": "germany austria switzerland france italy spain netherlands belgium sweden poland united_kingdom uk",
-    "LATAM": "brazil argentina chile mexico colombia",
-    "APAC": "india japan china singapore australia south_korea",
-    "MEA": "uae united_arab_emirates saudi_arabia south_africa egypt",
-    "NA": "usa united_states canada",
-}
 SENTIMENTS = "['very_negative', 'negative', 'neutral', 'positive', 'very_positive']"
 
 
@@ -54,11 +48,8 @@ def hole(c: str) -> str:
 
 
 def region_of(c: str) -> str:
-    whens = " ".join(
-        f"WHEN lower({strip(c)}) IN ({', '.join(repr(x.replace('_', ' ')) for x in names.split())}) THEN '{region}'"
-        for region, names in REGIONS.items()
-    )
-    return f"CASE {whens} ELSE 'Unknown' END"
+    whens = " ".join(f"WHEN '{country}' THEN '{region}'" for country, region in COUNTRY_REGIONS.items())
+    return f"CASE lower({strip(c)}) {whens} ELSE 'Unknown' END"
 
 
 def clean(texts: bool = False) -> str:
@@ -136,19 +127,23 @@ def short(c: str, width: int) -> str:
     return f"CASE WHEN length({f}) <= {width} THEN {f} ELSE ltrim({cut} || ' [...]') END"
 
 
+WIDE = (
+    "wide AS (SELECT t.* EXCLUDE (k), c.* EXCLUDE (customer_id, pos) FROM clean t LEFT JOIN cust c ON t.customer_id = c.customer_id)"
+)
+
+
 def profile(blank: bool) -> str:
-    columns = ["created_at", "customer_id", "customer_segment", "product_area", "sla_plan", "resolution_summary",
-               "resolution_time_hours", "csat_score", "region"]
+    numbers = ("created_at", "resolution_time_hours", "csat_score", "reopened", "has_attachment", "balance")
     parts = []
-    for c in columns:
+    for c in (*TICKET_COLUMNS, "name", "balance", "country"):
         test = f"{c} IS NULL"
-        if blank and c not in ("created_at", "resolution_time_hours", "csat_score"):
+        if blank and c not in numbers:
             test += f" OR {strip(c)} = ''"
         parts.append(
             f'SELECT \'{c}\' AS "column", count(*) FILTER ({test}) AS missing_count, '
-            f"round(count(*) FILTER ({test}) / CAST(count(*) AS DOUBLE) * 100, 4) AS missing_percentage FROM clean"
+            f"round(count(*) FILTER ({test}) / CAST(count(*) AS DOUBLE) * 100, 4) AS missing_percentage FROM wide"
         )
-    return f"WITH {clean()} " + " UNION ALL ".join(parts)
+    return f"WITH {clean(True)}, {CUST}, {WIDE} " + " UNION ALL ".join(parts)
 
 
 def described(source: str, columns: list[str], ctes: str = "") -> str:
@@ -343,8 +338,12 @@ ORACLES: dict[str, str] = {
     "s02_pruned_scan": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 200000.0",
     "s04_optional_columns": f"SELECT customer_id, country FROM ({CUSTOMERS})",
     "s06_metric_rows": f"{METRICS} SELECT stage, metric, grp, round(value, 6) AS value FROM m",
-    "s07_metrics_by_stage": f"""{METRICS} SELECT metric, round(max(value) FILTER (stage = 'quality'), 6) AS quality,
-        round(max(value) FILTER (stage = 'time'), 6) AS time FROM m WHERE grp IS NULL GROUP BY metric""",
+    "s03_required_columns": "SELECT * FROM customer",
+    "s05_write_table": C + f"SELECT {', '.join(PLAIN_COLUMNS)} FROM clean",
+    "f07_enough_rows": C + "SELECT n AS needed, (SELECT count(*) FROM clean WHERE csat_score > 0) >= n AS enough "
+                           "FROM unnest([1::BIGINT, 200, 1000000000]) AS t(n)",
+    "s07_metrics_by_stage": f"""{METRICS} SELECT metric, grp, round(max(value) FILTER (stage = 'quality'), 6) AS quality,
+        round(max(value) FILTER (stage = 'time'), 6) AS time FROM m GROUP BY metric, grp""",
     "p01_id_text": P + "SELECT CAST(k AS VARCHAR) AS ticket_id, customer_id, "
                        "coalesce(customer_id, 'nan') AS customer_id_matching FROM src",
     "p02_time": P + f"SELECT ticket_id, {time('created_at')} AS created_at, "
@@ -438,7 +437,8 @@ ORACLES: dict[str, str] = {
     "d05_label_list": C + "SELECT DISTINCT customer_sentiment FROM clean WHERE customer_sentiment IS NOT NULL ORDER BY 1",
     "a01_missing_profile": profile(False),
     "a01_missing_profile_blank": profile(True),
-    "a02_describe": described("clean", ["resolution_time_hours", "reopened", "csat_score", "has_attachment"], clean()),
+    "a02_describe": described("wide", ["resolution_time_hours", "reopened", "csat_score", "has_attachment", "balance"],
+                              f"{clean()}, {CUST}, {WIDE}"),
     "a02_describe_lineitem": described("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
     "a03_group_stats": f"WITH {clean()}, {FACTORS} {LEVELS}",
     "a03_orders_by_priority": f"WITH {ORDER_FACTORS} {LEVELS}",
@@ -449,6 +449,10 @@ ORACLES: dict[str, str] = {
     "a06_cross_tab": C + f"SELECT {MONTH} AS month, count(*) FILTER (priority = 'urgent') AS urgent, "
                          "count(*) FILTER (priority = 'high') AS high, count(*) FILTER (priority = 'medium') AS medium, "
                          "count(*) FILTER (priority = 'low') AS low FROM clean WHERE priority IS NOT NULL GROUP BY 1",
+    "a06_cross_tab_rest": C + f"SELECT {MONTH} AS month, count(*) FILTER (priority = 'urgent') AS urgent, "
+                              "count(*) FILTER (priority = 'high') AS high, "
+                              "count(*) FILTER (priority NOT IN ('urgent', 'high')) AS other "
+                              "FROM clean WHERE priority IS NOT NULL GROUP BY 1",
     "a07_value_counts": C + "SELECT customer_sentiment, count(*) AS n FROM clean WHERE customer_sentiment IS NOT NULL "
                             "GROUP BY 1 ORDER BY n DESC, 1",
     "a08_sla_rate": C + f"SELECT customer_segment, {SEGMENT_RATE} FROM clean WHERE resolution_time_hours IS NOT NULL "
@@ -458,8 +462,8 @@ ORACLES: dict[str, str] = {
     "a10_density": density(None, 200, 40),
     "a11_density_by_priority": density("priority", 100, None),
     "a12_box_stats": BOXES,
-    "a13_anova": f"WITH {clean()}, {FACTORS}" + ANOVA,
-    "a13_anova_orders": f"WITH {ORDER_FACTORS}" + ANOVA,
+    "a13_anova": p_values(f"{clean()}, {FACTORS}"),
+    "a13_anova_orders": p_values(ORDER_FACTORS),
     "a13_anova_p_value": p_values(f"{clean()}, {FACTORS}"),
     "a13_anova_p_value_orders": p_values(ORDER_FACTORS),
     "a14_response_rate": C + "SELECT CAST(sum(CASE WHEN csat_score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS responded, "
@@ -471,6 +475,12 @@ ORACLES: dict[str, str] = {
                            f"count(*) FILTER ({hole('region')}) AS missing_after FROM fixed",
     "a16_date_range": C + "SELECT min(CAST(created_at AS DATE)) AS min_date, max(CAST(created_at AS DATE)) AS max_date FROM clean",
     "a17_confusion_matrix": f"WITH {clean()}, {PREDICTED} SELECT customer_sentiment AS label, {MATRIX} FROM pred GROUP BY 1",
+    "a17_confusion_matrix_rest": f"WITH {clean()}, {PREDICTED}, two AS (SELECT "
+                                 + ", ".join(f"CASE WHEN {c} IN ('negative', 'positive') THEN {c} ELSE '(other)' END AS {a}"
+                                             for c, a in (("customer_sentiment", "label"), ("predicted", "p")))
+                                 + " FROM pred) SELECT label, "
+                                 + ", ".join(f"count(*) FILTER (p = '{x}') AS \"{x}\"" for x in ("negative", "positive", "(other)"))
+                                 + " FROM two GROUP BY label",
     "a18_classification_report": REPORT,
     "a19_regression_errors": C + ", e AS (SELECT resolution_time_hours AS y, resolution_time_hours * 0.9::DOUBLE + k % 7 AS p "
                                  "FROM clean WHERE resolution_time_hours IS NOT NULL) "
@@ -505,3 +515,11 @@ ORACLES: dict[str, str] = {
                              "|| length(prompt) || ' characters' ELSE template END AS generated_reply, "
                              "CASE WHEN length(prompt) % 2 = 0 THEN 'generated' ELSE 'template' END AS mode FROM r",
 }
+
+# Results that were written and read again.
+ORACLES["s08_model_round_trip"] = ORACLES["m03_one_hot"]
+ORACLES["s09_text_sink"] = f"SELECT reply AS value FROM ({ORACLES['p18_template_reply']})"
+ORACLES["m10_batch_scoring"] = f"""WITH {TERMS}, {VOCABULARY},
+    pos AS (SELECT term, idf, row_number() OVER (ORDER BY total DESC, term) - 1 AS position FROM voc),
+    w AS (SELECT doc_id, position, tf * idf AS w FROM terms JOIN pos USING (term))
+    SELECT doc_id, CAST(position AS INTEGER) AS position, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM w"""

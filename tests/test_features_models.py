@@ -151,10 +151,37 @@ def test_confusion_matrix_keeps_zeros(spark):
     assert sum(sum(r[1:]) for r in rows) == predictions(spark).count()
 
 
-def test_too_many_classes(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MAX_CLASSES", 2)
-    with pytest.raises(ValueError, match="more than 2"):
-        evaluate.class_labels(predictions(spark), "y", "p")
+def test_confusion_matrix_of_given_labels_keeps_all_rows(spark):
+    rows = [tuple(r) for r in evaluate.confusion_matrix(predictions(spark), "y", "p", ["a", "q"]).collect()]
+    assert rows == [("a", 5, 0, 2), ("q", 0, 0, 0), ("(other)", 1, 0, 4)]
+
+
+def test_classifier_has_the_classes_it_saw(spark):
+    rows = models.sentiment_rows(planted(spark))
+    trained = models.train_sentiment(rows, settings=SMALL_SENTIMENT)
+    classifier = next(s for s in trained.model.stages if hasattr(s, "numClasses"))
+    assert classifier.numClasses == rows.select("label").distinct().count()
+    assert trained.scored.filter("predicted is null").count() == 0
+    assert trained.n_train + trained.scored.count() == rows.count()
+
+
+def test_row_cap_spares_the_held_out_rows(spark):
+    rows = models.sentiment_rows(planted(spark))
+    capped = models.train_sentiment(rows, settings=models.SentimentSettings(100, 2, 20, max_rows=100))
+    assert capped.n_train == 100 and capped.scored.count() == math.ceil(0.2 * rows.count())
+    assert models.CSAT.max_rows is None and models.RESOLUTION.max_rows is None
+
+
+def test_report_of_stored_predictions(spark, tmp_path):
+    """The scoring of a fitted model against plain counting on its written predictions."""
+    rows = models.sentiment_rows(planted(spark))
+    scored = tables.write_table(models.train_sentiment(rows, settings=SMALL_SENTIMENT).scored, str(tmp_path / "scored"))
+    pairs = [(r.label, r.predicted) for r in scored.collect()]
+    report = {r["class"]: r for r in evaluate.classification_report(scored, "label", "predicted").collect()}
+    assert report["accuracy"].f1 == pytest.approx(sum(a == b for a, b in pairs) / len(pairs))
+    for name in {a for a, _ in pairs}:
+        hit = sum(a == b == name for a, b in pairs)
+        assert report[name].recall == pytest.approx(hit / sum(a == name for a, _ in pairs))
 
 
 def test_regression_errors_of_constant_target(spark):

@@ -1,7 +1,11 @@
 """Joins, dedupes and dimensions, with hot and null keys."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
+from ticketlens import session
 from ticketlens.operators import dedupe, dimension, join, repair
 
 
@@ -21,43 +25,70 @@ def skewed(spark):
     return left, right
 
 
-def test_skewed_lookup_equals_broadcast(spark):
-    left, right = skewed(spark)
-    small = join.left_lookup(left, right, "key")
-    large = join.left_lookup(left, right, "key", max_rows=0)
-    assert large.columns == ["key", "id", "own", "value"]
-    assert rows_of(small) == rows_of(large)
-    assert large.count() == 6000
-    assert large.filter("key = 'hot' and value = 7").count() == 2000
+def shuffled(spark):
+    """Joins by shuffle, with any partition above the median counted as skewed."""
+    for name, value in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+                        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+                        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}.items():
+        spark.conf.set(name, value)
 
 
-def partition_sizes(joined):
-    placed = joined.select("id", "value", F.spark_partition_id().alias("part"))
-    return [r.n for r in placed.groupBy("part").agg(F.count("id").alias("n"), F.sum("value")).collect()]
+@pytest.fixture
+def by_shuffle(spark):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor"]
+    shuffled(spark)
+    yield
+    for name in names:
+        spark.conf.unset(name)
 
 
-def test_hot_keys_are_spread(spark):
+def test_skewed_lookup(spark, by_shuffle):
     left, right = skewed(spark)
-    assert [r.key for r in join.hot_keys(left, "key", share=10).collect()] == ["hot"]
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        plain = partition_sizes(left.join(right, "key", "left"))
-        spread = partition_sizes(join.left_lookup(left, right, "key", max_rows=0))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert sum(plain) == sum(spread) == 6000
-    assert max(plain) >= 2000 and max(spread) < 6000 / 8 * 1.5
+    found = join.left_lookup(left, right, "key")
+    assert found.columns == ["key", "id", "own", "value"] and found.count() == 6000
+    assert found.filter("key = 'hot' and value = 7").count() == 2000
+    assert rows_of(found) == rows_of(left.join(right, "key", "left"))
+
+
+def test_lookup_never_adds_rows(spark):
+    left, right = skewed(spark)
+    twice = right.unionByName(right.withColumn("value", F.col("value") + 1))
+    assert rows_of(join.left_lookup(left, twice, "key")) == rows_of(join.left_lookup(left, right, "key"))
+
+
+def test_small_side_is_measured(spark, monkeypatch):
+    wide = spark.range(20).select("id", F.repeat(F.lit("x"), 100).alias("text"))
+    assert "ResolvedHint" in session.small_side(wide)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1000)
+    assert "ResolvedHint" not in session.small_side(wide)._jdf.queryExecution().analyzed().toString()
+
+
+def test_scratch_is_cleared(spark):
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    folder = Path(path.removeprefix("file:"))
+    assert folder.exists()
+    session.clear_scratch()
+    assert not folder.exists()
 
 
 def test_hot_key_without_right_row(spark):
     left, right = skewed(spark)
-    joined = join.left_lookup(left, right.filter("key <> 'hot'"), "key", max_rows=0)
+    joined = join.left_lookup(left, right.filter("key <> 'hot'"), "key")
     assert joined.count() == 6000 and joined.filter("key = 'hot' and value is not null").count() == 0
 
 
+def test_first_rows_without_order(spark):
+    rows = [("t1", None, "smb"), ("t2", None, "b"), ("t2", 5, "c"), ("t2", 7, None), ("t3", 2, None)]
+    df = spark.createDataFrame(rows, "k string, pos int, segment string")
+    got = {r.k: (r.pos, r.segment) for r in dedupe.keep_first(df, "k", "pos").collect()}
+    assert got == {"t1": (None, "smb"), "t2": (5, "c"), "t3": (2, None)}
+    keys = spark.createDataFrame([("t1",), ("t2",), ("t9",)], "k string")
+    found = {r.k: r.segment for r in join.lookup_first(keys, df, "k", ["segment"], "pos").collect()}
+    assert found == {"t1": "smb", "t2": "c", "t9": None}
+
+
 def test_enrich_drops_shared_columns(spark):
     left = spark.createDataFrame([("1", "EU")], "customer_id string, region string")
     right = spark.createDataFrame([("1", "X", "US")], "customer_id string, region string, country string")

@@ -29,6 +29,12 @@ def test_sample_of_fewer_rows_keeps_all(spark):
     assert sample.sample_exact(ids(spark, 50).filter("id = 'none'"), 100, "id", 42).count() == 0
 
 
+def test_sample_of_repeated_ids_has_the_size(spark):
+    for n in (1, 7, 40):
+        rows = spark.range(60).select(F.lit("same").alias("id"), (F.col("id") % 30).alias("v"))
+        assert sample.sample_exact(rows, n, "id", 42).count() == n
+
+
 def test_hash_split_is_complete_and_fixed(spark):
     split = sample.split_hash(ids(spark), "id", 42)
     again = sample.split_hash(ids(spark, parts=9), "id", 42)

@@ -148,6 +148,13 @@ def test_dashboard_and_time_tables(spark, finished):
 
 def test_models_and_replies(spark, finished):
     wide = tables.read_table(spark, f"{finished}/quality/tickets_enriched")
+    scored = tables.read_table(spark, f"{finished}/models/07_sentiment_scored")
+    matrix = tables.read_table(spark, f"{finished}/models_top/sentiment_confusion")
+    assert scored.count() == sum(sum(r[1:]) for r in matrix.collect()) > 0
+    assert tables.read_table(spark, f"{finished}/models/06_resolution_scored").columns == ["ticket_id", "actual", "prediction"]
+    rows = metrics.read_metrics(spark, f"{finished}/metrics").collect()
+    assert {r.stage for r in rows if r.metric == "n_train"} == {"05_csat", "06_resolution", "07_sentiment"}
+    assert {r.grp for r in rows if r.metric == "significant_05"} == {"priority", "sla_plan", "region"}
     assert models.score(f"{finished}/models/05_csat", wide).filter("prediction is not null").count() == 1000
     assert tables.read_table(spark, f"{finished}/models_top/csat_features").count() == 20
     examples = tables.read_table(spark, f"{finished}/replies/examples").collect()

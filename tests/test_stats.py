@@ -1,6 +1,10 @@
 """Quantiles, densities, histograms and variance analysis against numpy and brute force."""
 
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -94,8 +98,8 @@ def test_density_equals_brute_force(spark):
     assert scaled.density.to_numpy() == pytest.approx(brute_density(values, 200) * factor, abs=1e-9)
 
 
-def test_density_of_one_value_is_empty(spark):
-    assert stats.density(frame(spark, [1.0, 1.0]), "v").count() == 0
+def test_density_of_one_value_is_null(spark):
+    assert stats.density(frame(spark, [1.0, 1.0]), "v").filter("x = 1 and density is null").count() == 200
 
 
 def test_f_tail_values():
@@ -159,6 +163,44 @@ def test_profile(spark):
 
 def test_cross_tab_sums_to_group_sizes(spark):
     df = spark.range(1000).select((F.col("id") % 4).cast("string").alias("r"), (F.col("id") % 3).cast("string").alias("c"))
-    tab = aggregate.cross_tab(df.withColumn("c", F.when(F.col("r") != "0", F.col("c"))), "r", "c", ["0", "1", "2"])
+    some = df.withColumn("c", F.when(F.col("r") != "0", F.col("c")))
     sizes = aggregate.group_sizes(df.filter("r <> '0'"), ["r", "c"])
-    assert sum(r["0"] + r["1"] + r["2"] for r in tab.collect()) == sizes.agg(F.sum("n")).first()[0]
+    for values, columns in ((None, ["r", "0", "1", "2"]), (["1", "9"], ["r", "1", "9", "other"])):
+        tab = aggregate.cross_tab(some, "r", "c", values)
+        assert tab.columns == columns
+        assert sum(sum(r[1:]) for r in tab.collect()) == sizes.agg(F.sum("n")).first()[0]
+    odd = spark.createDataFrame([("m", "critical"), ("x", "critical")], "r string, c string")
+    assert sorted(map(tuple, aggregate.cross_tab(odd, "r", "c", ["urgent"]).collect())) == [("m", 0, 1), ("x", 0, 1)]
+
+
+@pytest.mark.parametrize("band_rows", [1, 300])
+def test_large_bands_are_cut_again(spark, band_rows):
+    """A poor sketch makes one band of nearly all rows; it is cut until a task orders few of them."""
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame({"v": np.concatenate([rng.normal(size=8000).round(3), np.full(3000, 0.5)]), "g": ["a", "b"] * 5500})
+    got = {r.g: r for r in quantiles(spark.createDataFrame(data), "v", PROBS, ["g"], accuracy=5, band_rows=band_rows).collect()}
+    for g, part in data.groupby("g"):
+        assert [got[g][p] for p in PROBS] == pytest.approx(list(np.quantile(part["v"], list(PROBS.values()))), abs=1e-9)
+
+
+def test_density_of_equal_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 2.0)], "g string, v double")
+    curve = stats.density(df, "v", ["g"], 10)
+    assert curve.filter("g = 'a'").count() == 10 == curve.filter("g = 'a' and x = 1 and density is null").count()
+    assert curve.filter("g = 'b' and density > 0").count() == 10
+
+
+def test_anova_from_another_folder(tmp_path):
+    """Workers that cannot import the package get its functions by value."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from ticketlens.operators import stats
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+long = spark.range(100).selectExpr("'f' AS factor", "CAST(id % 2 AS string) AS level", "CAST(id % 7 AS double) AS value")
+print("p =", stats.anova(long).first().p_value)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "p = 0." in done.stdout, done.stderr[-2000:]

@@ -28,11 +28,15 @@ MISSING_CATEGORY = "(missing)"
 def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per document and term with its count; ``key`` is unique.
 
-    The whole text is placed by document once; all counting is then local.
+    Terms are counted inside the row, as runs of the sorted list, so nothing is shuffled.
     """
-    placed = df.select(key, text).repartition(key)
-    exploded = placed.select(key, F.explode(terms(text)).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    listed = df.select(key, F.array_sort(terms(text)).alias("_terms")).filter(F.size("_terms") > 0)
+    same = lambda i: F.get("_terms", i) == F.get("_terms", i - 1)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_terms") - 1), lambda i: (i == 0) | ~same(i))
+    runs = listed.withColumn("_starts", starts)
+    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_terms"))
+    counted = F.transform("_starts", lambda i, k: F.struct(F.get("_terms", i).alias("term"), (end(k) - i).cast("long").alias("tf")))
+    return runs.select(key, F.inline(counted))
 
 
 def vocabulary(df: DataFrame, text: str, max_features: int, min_df: int) -> DataFrame:
@@ -60,11 +64,11 @@ def tfidf_rows(
 ) -> DataFrame:
     """TF-IDF as rows (key, term, weight) with unit length per document.
 
-    The vocabulary comes from ``fit_on`` (default: the same table) and has at
-    most ``max_features`` rows, which bounds what is broadcast.
+    The vocabulary comes from ``fit_on`` (default: the same table).  Texts stay where they are: only the weights of
+    vocabulary terms meet by document, for its length.
     """
     fitted = vocabulary(df if fit_on is None else fit_on, text, max_features, min_df)
-    known = small_side(fitted.select("term", "idf"), max_features)
+    known = small_side(fitted.select("term", "idf"))
     weighted = term_rows(df, key, text).join(known, "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("_w")
     )

@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.session import attach, small_side
+from ticketlens.session import attach, settle, small_side
 
 ACCURACY = 10_000
+# Distinct values of a band that one task orders, and parts that a larger band is cut into.
+BAND_ROWS = 200_000
+FANOUT = 200
 
 
 def quantiles(
@@ -20,14 +23,16 @@ def quantiles(
     keys: Sequence[str] = (),
     exact: bool = True,
     accuracy: int = ACCURACY,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """Quantiles with linear interpolation per group: the keys and one column per named level.
 
     Null values and null keys are left out.  ``exact=False`` gives the sketch
     estimate.  The exact form uses the sketch only to cut each group into
     bands, tight around the wanted ranks.  Bands are counted, and only rows in
-    a band that holds a wanted rank are looked at again.  A poor sketch would
-    cost time but cannot change the result.
+    a band that holds a wanted rank are looked at again.  A band of more than
+    ``band_rows`` distinct values is cut again, so no task orders a share of the
+    table.  A poor sketch would cost time but cannot change the result.
     """
     keys = list(keys)
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]])
@@ -49,18 +54,19 @@ def quantiles(
     banded = attach(rows, cuts, keys).select(*keys, "_v", reduce(lambda a, b: a + b, above).alias("_band"))
 
     bands = _with_ranks(banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_n")), keys, probs)
-    wanted = reduce(
-        lambda a, b: a | b, [_holds(f"_r{i}_{end}") for i in range(len(probs)) for end in ("lo", "hi")]
-    )
-    bands = small_side(bands.filter(wanted).drop("_n"))
-
     ranks = [f"_r{i}_{end}" for i in range(len(probs)) for end in ("lo", "hi")]
-    counted = (
-        banded.join(bands, [*keys, "_band"])
-        .groupBy(*keys, "_band", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_start"), F.first("_total").alias("_total"),
-             *[F.first(r).alias(r) for r in ranks])
-    )
+    wanted = reduce(lambda a, b: a | b, [_holds(r) for r in ranks])
+    bands = bands.filter(wanted)
+
+    # Bands are cut again until one task can order the distinct values of any.
+    inside = banded.join(small_side(bands.drop("_n")), [*keys, "_band"])
+    counted = _distinct(inside, keys, ranks)
+    while True:
+        largest = counted.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m")).first()[0] or 0
+        if largest <= band_rows:
+            break
+        counted = _cut_again(counted, keys, ranks)
+
     within = Window.partitionBy(*keys, "_band").orderBy("_v")
     before = F.coalesce(F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counted.withColumn("_before", F.col("_start") + before)
@@ -77,6 +83,30 @@ def quantiles(
     )
 
 
+def _distinct(inside: DataFrame, keys: Sequence[str], ranks: Sequence[str]) -> DataFrame:
+    """Distinct values of the bands with their row counts and what is known of the band; settled."""
+    known = [F.first("_before").alias("_start"), F.first("_total").alias("_total"), *[F.first(r).alias(r) for r in ranks]]
+    return settle(inside.groupBy(*keys, "_band", "_v").agg(F.count(F.lit(1)).alias("_n"), *known))
+
+
+def _cut_again(counted: DataFrame, keys: Sequence[str], ranks: Sequence[str]) -> DataFrame:
+    """The same rows in narrower bands: each band is cut by a sketch of its distinct values, the parts are counted,
+    and only parts that hold a wanted rank stay."""
+    own = [*keys, "_band"]
+    levels = [k / FANOUT for k in range(1, FANOUT)]
+    cuts = counted.groupBy(*own).agg(F.percentile_approx("_v", F.array(*map(F.lit, levels)), 10 * FANOUT).alias("_c"))
+    part = F.size(F.filter("_c", lambda c: F.col("_v") > c))
+    parts = settle(counted.join(small_side(cuts), own).withColumn("_part", part).drop("_c"))
+    sizes = parts.groupBy(*own, "_part").agg(F.sum("_n").alias("_n"), *[F.first(c).alias(c) for c in ("_start", *ranks)])
+    running = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    kept = sizes.filter(reduce(lambda a, b: a | b, [_holds(r) for r in ranks])).select(*own, "_part", "_before")
+    inner = parts.drop("_start").join(small_side(kept), [*own, "_part"])
+    # A part becomes a band of its own.
+    band = F.xxhash64("_band", "_part")
+    return settle(inner.select(*keys, band.alias("_band"), "_v", "_n", F.col("_before").alias("_start"), "_total", *ranks))
+
+
 def _cut_levels(probs: Sequence[float], margin: float) -> list[float]:
     """Quantile levels just below and just above each wanted one."""
     around = {min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)}

@@ -39,19 +39,26 @@ def _cut_keys(df: DataFrame, key: str, seed: int, groups: list[str], size: Colum
     inside = hashed.join(small_side(buckets), [*groups, "_bucket"])
     order = Window.partitionBy(*groups, "_bucket").orderBy("_hash", "_id")
     ranked = inside.withColumn("_row", F.row_number().over(order))
+    # Rows of the last id up to the last one to take.
+    ranked = ranked.withColumn("_take", F.row_number().over(Window.partitionBy(*groups, "_bucket", "_hash", "_id").orderBy("_row")))
     return ranked.filter(F.col("_row") == F.col("_rank")).select(
-        *groups, F.struct("_hash", "_id").alias("_cut")
+        *groups, F.struct("_hash", "_id").alias("_cut"), "_take"
     )
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """``n`` rows chosen by seeded hash of a unique id, or all rows if there are no more.
+    """``n`` rows chosen by seeded hash of an id, or all rows if there are no more.
 
-    Only hashes and ids are compared; the chosen rows stay where they are.
+    Only hashes and ids are compared; the chosen rows stay where they are.  Of rows that share the last id, as many as
+    are needed are taken in the order of a hash of the row.
     """
-    cut = settle(_cut_keys(df, key, seed, [], F.least(F.col("_total"), F.lit(n)))).scalar()
+    last = _cut_keys(df, key, seed, [], F.least(F.col("_total"), F.lit(n))).select("_cut.*", "_take").first()
+    if last is None:
+        return df.limit(0)
     mine = F.struct(seeded_hash(key, seed).alias("_hash"), F.col(key).cast("string").alias("_id"))
-    return df.filter(mine <= cut)
+    cut = F.struct(F.lit(last["_hash"]).alias("_hash"), F.lit(last["_id"]).cast("string").alias("_id"))
+    tied = df.filter(mine.eqNullSafe(cut)).orderBy(F.xxhash64(*df.columns)).limit(last["_take"])
+    return df.filter(mine < cut).unionByName(tied)
 
 
 def split_hash(df: DataFrame, key: str, seed: int, share: float = TEST_SHARE) -> DataFrame:
@@ -70,12 +77,12 @@ def split_exact(
     size = F.ceil(F.col("_total") * F.lit(share))
     mine = F.struct(seeded_hash(key, seed).alias("_hash"), F.col(key).cast("string").alias("_id"))
     if by is None:
-        cut = settle(_cut_keys(df, key, seed, [], size)).scalar()
+        cut = settle(_cut_keys(df, key, seed, [], size)).select("_cut").scalar()
         return df.withColumn("is_test", F.coalesce(mine <= cut, F.lit(False)))
     groups = ["_known", "_class"]
     flagged = df.withColumns(
         {"_known": F.col(by).isNotNull(), "_class": F.coalesce(F.col(by).cast("string"), F.lit(""))}
     )
-    cuts = small_side(_cut_keys(flagged, key, seed, groups, size))
+    cuts = small_side(_cut_keys(flagged, key, seed, groups, size).drop("_take"))
     chosen = F.coalesce(mine <= F.col("_cut"), F.lit(False))
     return flagged.join(cuts, groups, "left").withColumn("is_test", chosen).select(*df.columns, "is_test")

@@ -141,6 +141,7 @@ def density(
     bins.  Equal values are counted first.  A value is added only to the grid
     points its kernel reaches, beyond which the kernel is exactly zero: with
     more rows the kernels get narrower and each value meets fewer points.
+    A group without spread has no density: its grid is one value, with null.
     """
     keys = list(keys)
     rows = have(df, value, *keys).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -150,18 +151,17 @@ def density(
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
     )
-    shape = shape.filter(F.col("_std") > 0).select(
+    shape = settle(shape.filter("_n > 0").select(
         *keys, "_n", "_lo", "_hi",
-        (F.col("_std") * F.pow("_n", F.lit(-0.2))).alias("_bw"),
+        F.when(F.col("_std") > 0, F.col("_std") * F.pow("_n", F.lit(-0.2))).alias("_bw"),
         ((F.col("_hi") - F.col("_lo")) / (grid - 1)).alias("_step"),
-    )
-    shape = settle(shape)
+    ))
 
     repeated = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     reach = F.lit(KERNEL_REACH) * F.col("_bw")
     first = F.greatest(F.floor((F.col("_v") - reach - F.col("_lo")) / F.col("_step")), F.lit(0))
     last = F.least(F.ceil((F.col("_v") + reach - F.col("_lo")) / F.col("_step")), F.lit(grid - 1))
-    spread = attach(repeated, shape, keys).withColumn("point", F.explode(F.sequence(first, last)))
+    spread = attach(repeated, shape, keys).filter("_bw is not null").withColumn("point", F.explode(F.sequence(first, last)))
     distance = (F.col("_lo") + F.col("point") * F.col("_step") - F.col("_v")) / F.col("_bw")
     sums = spread.groupBy(*keys, "point").agg(
         F.sum(F.col("_c") * F.exp(-distance * distance / 2)).alias("_sum")
