@@ -39,12 +39,13 @@ def quantised(rows: DataFrame, ident: str, vector: str) -> DataFrame:
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows; shorter ones are filled with zeros."""
+    """Vectors as rows; shorter ones are filled with zeros, and what a query has beyond all vectors meets only zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
     out = np.zeros((len(column), width))
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    out[np.repeat(np.arange(size.size), size), tx.spread(size)] = flat
+    row, place = np.repeat(np.arange(size.size), size), tx.spread(size)
+    out[row[place < width], place[place < width]] = flat[place < width]
     return out
 
 
