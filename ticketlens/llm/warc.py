@@ -266,7 +266,7 @@ class WarcReader(DataSourceReader):
                 room = FILE_BYTES
             out[-1].names.append(name)
             room -= size
-        return out
+        return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple[Any, ...]]:
         system, root = located(self.path)
