@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.llm import textops as tx
-from ticketlens.session import stage_table
+from ticketlens.session import scratch_path, stage_table
 
 K = 5
 PIVOTS = 32
@@ -115,12 +115,13 @@ def search(index: Index, queries: DataFrame, k: int = K, query_block: int = QUER
     """For each distinct query (id, v): query_id, rank, vec_id and score of its k best vectors, all if there are fewer.
 
     Vectors with the query's id are no candidates. Equal scores go to the smaller vec_id. Every block of queries is
-    bounded, goes to all blocks of the index and leaves k rows for each query and task.
+    bounded, goes to all blocks of the index and leaves k rows for each query and task; several blocks are written one
+    after the other, so the plan stays short.
     """
     spark = queries.sparkSession
     asked = queries.select("id", "v").distinct()
     count = max(1, math.ceil(asked.count() / query_block))
-    found = None
+    path = scratch_path(spark, "nearest")
     for n in range(count):
         own = asked.filter(F.pmod(F.xxhash64("id", "v"), F.lit(count)) == n).toArrow()
         q = matrix(own.column("v"), index.width) if own.num_rows else np.zeros((0, index.width))
@@ -151,7 +152,10 @@ def search(index: Index, queries: DataFrame, k: int = K, query_block: int = QUER
                     [pa.array(which + first), pa.array(names[which]), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]).astype(np.int64))],
                     ["which", "query_id", "vec_id", "score"])
 
-        part = index.blocks.mapInArrow(run, "which long, query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        found = index.blocks.mapInArrow(run, "which long, query_id long, vec_id long, score long")
+        if count > 1:
+            found.write.mode("append").parquet(path)
+    if count > 1:
+        found = spark.read.parquet(path)
     place = F.row_number().over(Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
