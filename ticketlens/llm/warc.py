@@ -24,7 +24,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from ticketlens.session import scratch_path
+from ticketlens.session import scratch_path, stage_table
 
 FORMAT = "warc_archive"
 # A file of an archive is closed beyond so many bytes; smaller files are read together up to so many.
@@ -351,7 +351,9 @@ def page_records(pages: DataFrame, ident: str = "page_id", url: str = "url", htm
     own = pages.select(F.col(ident).cast("long").alias("id"), F.col(url).cast("string").alias("target_uri"), payload.alias("payload"))
     own = own.select("id", "target_uri", "payload", F.octet_length("payload").cast("long").alias("payload_length"), base32(F.sha1("payload")).alias("payload_digest"))
     same = own.filter(F.col("payload_length") >= least_bytes).groupBy("payload_digest", "payload_length").agg(F.max("id").alias("last"), F.count("*").alias("n"))
-    rows = own.join(same.filter("n > 1"), ["payload_digest", "payload_length"], "left")
+    # Staged, so its size is known: few repeated digests are broadcast and no payload moves; for many, both sides of
+    # the join are plain exchanges, and a digest of very many pages can be split.
+    rows = own.join(stage_table(same.filter("n > 1")), ["payload_digest", "payload_length"], "left")
     again = F.coalesce(F.col("id") < F.col("last"), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), c.cast("string"), F.lit(">"))
     return rows.select(
