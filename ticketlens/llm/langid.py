@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm import textops as tx
 from ticketlens.session import settle
 
-# The models are fitted on about this many texts of each language, chosen by hash; all if there are fewer.
+# The models are fitted on about this many texts of each language, chosen by a hash of the id; all if there are fewer.
 SAMPLE_TEXTS = 2000
 ROUNDS = 4
 # Longer runs of letters are read in parts of so many bytes.
@@ -194,26 +194,26 @@ class Model:
         return out, np.diff(bounds)
 
 
-def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample_texts: int = SAMPLE_TEXTS, rounds: int = ROUNDS) -> Model:
     """Models of all languages in a table of labelled texts; rows without text or language teach nothing.
 
-    Only a bounded sample is read in full: about sample_texts rows of each language, by a hash of the text. Its
-    distinct words with their counts are settled once; each round is one pass over them.
+    Only a bounded sample is read in full: about sample_texts rows of each language, by a hash of the id, so that
+    copies of a text are not taken together. Its distinct words with their counts are settled once; each round is one pass over them.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
+    rows = docs.select(F.xxhash64(ident).alias("place"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, trie = sorted(sizes), trie_of(path)
     p = np.full((trie.pieces, len(languages)), 1 / trie.pieces)
     if not languages:
         return Model([], trie, p)
-    place = F.xxhash64("text").bitwiseAND((1 << 30) - 1)
+    place = F.col("place").bitwiseAND((1 << 30) - 1)
     chosen = None
     for name in languages:
         share = min(1.0, sample_texts / sizes[name])
         own = (F.col("lang") == name) & (place < int(share * (1 << 30)))
         chosen = own if chosen is None else chosen | own
-    sample = rows.filter(chosen)
+    sample = rows.filter(chosen).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
