@@ -178,10 +178,16 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 @dataclass
 class Model:
+    """Piece probabilities of the languages. The trie is made from the vocabulary file in each worker, not sent."""
+
     languages: list[str]
-    trie: Trie
+    path: str
     p: np.ndarray
 
+    @property
+    def trie(self) -> Trie:
+        return tx.kept(f"trie {self.path}", lambda: trie_of(self.path))
+
     def log_likelihood(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text and language, and the number of words of each text."""
         raw, starts, ends, bounds = text_words(column)
@@ -203,10 +209,10 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", iden
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(ident).alias("place"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages, trie = sorted(sizes), trie_of(path)
+    languages, trie = sorted(sizes), Model([], path, np.zeros(0)).trie
     p = np.full((trie.pieces, len(languages)), 1 / trie.pieces)
     if not languages:
-        return Model([], trie, p)
+        return Model([], path, p)
     place = F.col("place").bitwiseAND((1 << 30) - 1)
     chosen = None
     for name in languages:
@@ -229,7 +235,7 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", iden
     found = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found = settle(found)
     for _ in range(rounds):
-        shared = tx.Shared(spark, Model(languages, trie, p))
+        shared = tx.Shared(spark, Model(languages, path, p))
 
         def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
@@ -253,7 +259,7 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", iden
         n[total.column("piece").to_numpy(), total.column("k").to_numpy()] = total.column("n").to_numpy()
         n += SMOOTHING
         p = n / n.sum(axis=0)
-    return Model(languages, trie, p)
+    return Model(languages, path, p)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
