@@ -125,11 +125,12 @@ def _(spark, sf):
 
 
 def _quality_metrics(spark, sf):
-    rows = stage(cleaning.with_response(tickets(spark, sf)))
+    """The counters and the answer rate come from one pass over the marked tickets."""
+    rows = cleaning.with_response(tickets(spark, sf))
     marked = repair.mark_regions(rows, lookup(spark, sf))
+    rows = stage(marked, "csat_response", "region", "_missing", "_imputed", "resolution_time_hours", "customer_segment", "sla_plan")
     return metrics.all_metrics(
-        metrics.metric_rows(repair.response_rate(rows), "quality"),
-        metrics.metric_rows(repair.region_counters(marked), "quality"),
+        metrics.metric_rows(rows.agg(*repair.response_counts(), *repair.region_counts()), "quality"),
         metrics.metric_rows(stats.overall_summary(rows, "resolution_time_hours"), "time"),
         metrics.metric_rows(aggregate.sla_rate(rows), "time", "customer_segment"),
     )
@@ -566,13 +567,14 @@ def _(spark, sf):
 
 @query("a09_histogram")
 def _(spark, sf):
-    bins = aggregate.histogram(tickets(spark, sf), "resolution_time_hours", stats.HISTOGRAM_BINS)
+    rows = stage(tickets(spark, sf), "resolution_time_hours")
+    bins = aggregate.histogram(rows, "resolution_time_hours", stats.HISTOGRAM_BINS)
     return rounded(bins, ["bin_start", "bin_end"])
 
 
 @query("a09_csat_histogram")
 def _(spark, sf):
-    scores = aggregate.respondents(tickets(spark, sf))
+    scores = stage(aggregate.respondents(tickets(spark, sf)), "csat_score")
     return rounded(aggregate.histogram(scores, "csat_score", 5), ["bin_start", "bin_end"])
 
 
@@ -818,7 +820,8 @@ def _(spark, sf):
 
 @query("x02_reply_examples")
 def _(spark, sf):
-    return replies.reply_examples(stage(tickets(spark, sf, texts=True)))
+    wanted = ("ticket_id", "priority", "issue_type", "product_area", "sla_plan", "initial_message", "agent_first_reply")
+    return replies.reply_examples(stage(tickets(spark, sf, texts=True), *wanted))
 
 
 @query("x02_all_replies")

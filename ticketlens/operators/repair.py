@@ -100,10 +100,15 @@ def summary_gaps(df: DataFrame, status: str = "status", text: str = "resolution_
     return df.agg(summary_count(status, text))
 
 
-def response_rate(df: DataFrame, flag: str = "csat_response") -> DataFrame:
-    """Survey answers, rows without one and the answer rate, as one row."""
-    return df.agg(
+def response_counts(flag: str = "csat_response") -> list[Column]:
+    """Aggregates: survey answers, rows without one and the answer rate."""
+    return [
         F.coalesce(F.sum(flag), F.lit(0)).alias("responded"),
         F.count_if(F.col(flag) == 0).alias("not_responded"),
         F.avg(F.col(flag).cast("double")).alias("response_rate"),
-    )
+    ]
+
+
+def response_rate(df: DataFrame, flag: str = "csat_response") -> DataFrame:
+    """Survey answers, rows without one and the answer rate, as one row."""
+    return df.agg(*response_counts(flag))

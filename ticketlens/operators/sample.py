@@ -40,9 +40,10 @@ def _cut_keys(df: DataFrame, key: str, seed: int, groups: list[str], size: Colum
     order = Window.partitionBy(*groups, "_bucket").orderBy("_hash", "_id")
     ranked = inside.withColumn("_row", F.row_number().over(order))
     # Rows of the last id up to the last one to take.
-    ranked = ranked.withColumn("_take", F.row_number().over(Window.partitionBy(*groups, "_bucket", "_hash", "_id").orderBy("_row")))
+    same = Window.partitionBy(*groups, "_bucket", "_hash", "_id")
+    ranked = ranked.withColumn("_take", F.row_number().over(same.orderBy("_row"))).withColumn("_tied", F.count("*").over(same))
     return ranked.filter(F.col("_row") == F.col("_rank")).select(
-        *groups, F.struct("_hash", "_id").alias("_cut"), "_take"
+        *groups, F.struct("_hash", "_id").alias("_cut"), "_take", "_tied"
     )
 
 
@@ -52,11 +53,13 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     Only hashes and ids are compared; the chosen rows stay where they are.  Of rows that share the last id, as many as
     are needed are taken in the order of a hash of the row.
     """
-    last = _cut_keys(df, key, seed, [], F.least(F.col("_total"), F.lit(n))).select("_cut.*", "_take").first()
+    last = _cut_keys(df, key, seed, [], F.least(F.col("_total"), F.lit(n))).select("_cut.*", "_take", "_tied").first()
     if last is None:
         return df.limit(0)
     mine = F.struct(seeded_hash(key, seed).alias("_hash"), F.col(key).cast("string").alias("_id"))
     cut = F.struct(F.lit(last["_hash"]).alias("_hash"), F.lit(last["_id"]).cast("string").alias("_id"))
+    if last["_take"] == last["_tied"]:
+        return df.filter(mine <= cut)
     tied = df.filter(mine.eqNullSafe(cut)).orderBy(F.xxhash64(*df.columns)).limit(last["_take"])
     return df.filter(mine < cut).unionByName(tied)
 
@@ -83,6 +86,6 @@ def split_exact(
     flagged = df.withColumns(
         {"_known": F.col(by).isNotNull(), "_class": F.coalesce(F.col(by).cast("string"), F.lit(""))}
     )
-    cuts = small_side(_cut_keys(flagged, key, seed, groups, size).drop("_take"))
+    cuts = small_side(_cut_keys(flagged, key, seed, groups, size).drop("_take", "_tied"))
     chosen = F.coalesce(mine <= F.col("_cut"), F.lit(False))
     return flagged.join(cuts, groups, "left").withColumn("is_test", chosen).select(*df.columns, "is_test")
