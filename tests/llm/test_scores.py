@@ -108,7 +108,12 @@ def test_nearest_examples_are_exact(block):
 
 
 def test_uses_count_occurrences():
-    text, base, term = toxicity.uses(pa.array(["bad bad badly", None, "bad"]))
+    texts = pa.array(["bad bad badly", None, "bad", "other bad"])
+    text, base, term, head = toxicity.uses(texts)
+    wanted = np.unique(base[text == 2])
+    some = toxicity.uses(texts, wanted, np.unique(head[text == 2]))
+    assert all(np.array_equal(a, b[np.isin(base, wanted)]) for a, b in zip(some, (text, base, term, head), strict=True))
+    text, base, term, _ = toxicity.uses(pa.array(["bad bad badly", None, "bad"]))
     assert set(text.tolist()) == {0, 2} and np.unique(term[text == 0]).size == (text == 0).sum()
     assert np.unique(base).size < np.unique(term).size
 

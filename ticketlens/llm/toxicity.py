@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, found exactly with a block-max inverted index.
 
-Terms are words and beginnings of words that labelled texts use with one class clearly more than with the other. Each
+Terms are words and beginnings of words that toxic labelled texts have clearly more often than others. Each
 of the first uses in a text is a term of its own, so that texts with many uses are far from those with one. Document
 frequencies are counted over the whole corpus. The index has a posting list for each term and, for each block of examples, the
 largest weight of the term in it. For a text, the blocks' bounds are the sums of its weights times these; blocks are
@@ -51,14 +51,30 @@ def _among(hashes: np.ndarray, seen: np.ndarray, h: np.ndarray) -> tuple[np.ndar
     return maybe[same], at[same]
 
 
-def uses(column: pa.Array, bases: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the first uses of words and beginnings in each text: text, base hash and term hash, in the order of texts.
-    With bases, sorted hashes, only of those."""
+_KEEP = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+
+
+def _heads(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first four bytes of each word as a number."""
+    padded = np.concatenate([raw, np.zeros(4, np.uint8)])
+    return np.ndarray((raw.size + 1,), "<u4", padded, strides=(1,))[starts] & _KEEP[np.minimum(ends - starts, 4)]
+
+
+def uses(column: pa.Array, bases: np.ndarray | None = None, heads: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the first uses of words and beginnings in each text: text, base hash, term hash and first four bytes, in the
+    order of texts. With bases, sorted hashes, only of those; heads, their sorted first four bytes, spare the rest."""
     raw, offsets = tx.utf8(column)
     raw = tx.LOWER[raw]
     starts, ends, bounds = tx.words(raw, offsets, IN_WORD)
+    head = _heads(raw, starts, ends)
+    if heads is not None:
+        at = np.minimum(np.searchsorted(heads, head), max(0, heads.size - 1))
+        some = np.flatnonzero(heads[at] == head) if heads.size else np.zeros(0, np.int64)
+        starts, ends, head, texts = starts[some], ends[some], head[some], np.searchsorted(bounds, some, side="right") - 1
+    else:
+        texts = np.searchsorted(bounds, np.arange(starts.size), side="right") - 1
     seen = None if bases is None else _bits(bases)
-    owner, found = [], []
+    owner, found, first = [], [], []
     for size in (0, *BEGINNINGS):
         part = np.flatnonzero(ends - starts > size) if size else np.arange(starts.size)
         h = tx.word_hashes(raw, starts[part], starts[part] + size if size else ends[part])
@@ -66,30 +82,33 @@ def uses(column: pa.Array, bases: np.ndarray | None = None) -> tuple[np.ndarray,
         if bases is not None:
             hit, _ = _among(bases, seen, h)
             part, h = part[hit], h[hit]
-        owner.append(np.searchsorted(bounds, part, side="right") - 1)
+        owner.append(texts[part])
         found.append(h)
-    text, base = np.concatenate(owner), np.concatenate(found)
+        first.append(head[part])
+    text, base, head = np.concatenate(owner), np.concatenate(found), np.concatenate(first)
     order = np.lexsort((base, text))
-    text, base = text[order], base[order]
+    text, base, head = text[order], base[order], head[order]
     new = np.ones(text.size, bool)
     new[1:] = (text[1:] != text[:-1]) | (base[1:] != base[:-1])
     number = tx.spread(np.diff(np.append(np.flatnonzero(new), text.size)))
     keep = number < USES
-    text, base, number = text[keep], base[keep], number[keep]
-    return text, base, tx.mix(base + number.astype(np.uint64))
+    text, base, head, number = text[keep], base[keep], head[keep], number[keep]
+    return text, base, tx.mix(base + number.astype(np.uint64)), head
 
 
 @dataclass
 class Terms:
-    """Hashes of the terms in order, the bases they come from in order, and the terms' inverse document frequencies."""
+    """Hashes of the terms in order, the bases they come from and the bases' first four bytes, both in order, and the
+    terms' inverse document frequencies."""
 
     hashes: np.ndarray
     bases: np.ndarray
+    heads: np.ndarray
     idf: np.ndarray
 
     def found(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Text and term of all terms of the texts, in order."""
-        text, _, h = uses(column, self.bases)
+        text, _, h, _ = uses(column, self.bases, self.heads)
         hit, term = _among(self.hashes, _bits(self.hashes), h)
         order = np.lexsort((term, text[hit]))
         return text[hit][order], term[order]
@@ -123,32 +142,34 @@ class BlockMaxIndex:
         self.top_block = self.example[first] // block
         self.top = np.maximum.reduceat(self.weight, first) if first.size else self.weight
         self.top_begin = np.searchsorted(first, self.begin)
-        self.top_first = np.append(first, place.size)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest positive similarity, and the similarities; the first among equals."""
         blocks = self.size // self.block + 1
         bound = np.zeros(blocks)
-        lists: list[dict[int, int]] = []
-        for t, w in zip(term, weight, strict=True):
+        example, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for t, w in zip(term.tolist(), weight.tolist(), strict=True):
             part = slice(self.top_begin[t], self.top_begin[t + 1])
             bound[self.top_block[part]] += w * self.top[part]
-            lists.append(dict(zip(self.top_block[part].tolist(), range(part.start, part.stop), strict=True)))
+            part = slice(self.begin[t], self.begin[t + 1])
+            example.append(self.example[part])
+            score.append(w * self.weight[part])
+        example, score = np.concatenate(example), np.concatenate(score)
+        block = example // self.block
         order = np.argsort(-bound, kind="stable")
         best, names = np.zeros(0), np.zeros(0, np.int64)
-        for b in order.tolist():
-            # Equal similarities of later blocks could have smaller numbers, so equal bounds are still scored.
-            if bound[b] <= 0 or (best.size == k and bound[b] < best[-1] - 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for own, w in zip(lists, weight, strict=True):
-                if b in own:
-                    part = slice(self.top_first[own[b]], self.top_first[own[b] + 1])
-                    scores[self.example[part] - b * self.block] += w * self.weight[part]
+        at, step = 0, 4
+        # Equal similarities of later blocks could have smaller numbers, so equal bounds are still scored.
+        while at < blocks and bound[order[at]] > 0 and (best.size < k or bound[order[at]] >= best[-1] - 1e-12):
+            chosen = np.zeros(blocks, bool)
+            chosen[order[at : at + step]] = True
+            mine = chosen[block]
+            scores = np.bincount(example[mine], score[mine], minlength=self.size)
             hit = np.flatnonzero(scores > 0)
-            best, names = np.concatenate([best, scores[hit]]), np.concatenate([names, hit + b * self.block])
+            best, names = np.concatenate([best, scores[hit]]), np.concatenate([names, hit])
             keep = np.lexsort((names, -np.round(best, 12)))[:k]
             best, names = best[keep], names[keep]
+            at, step = at + step, step * 2
         return names, best
 
 
@@ -200,27 +221,30 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.slices(whole, "text"):
-                text, base, h = uses(batch.column("text"))
+                text, base, h, head = uses(batch.column("text"))
                 order = np.argsort(h)
-                h, y, base = h[order], batch.column("y").to_numpy()[text[order]], base[order]
+                h, y, base, head = h[order], batch.column("y").to_numpy()[text[order]], base[order], head[order].astype(np.int64)
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if h.size else np.zeros(0, np.int64)
                 if first.size:
-                    columns = [h[first].view(np.int64), base[first].view(np.int64), np.add.reduceat(y, first).astype(np.int64), np.diff(np.append(first, h.size))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "base", "n1", "n"])
+                    columns = [h[first].view(np.int64), base[first].view(np.int64), head[first], np.add.reduceat(y, first).astype(np.int64), np.diff(np.append(first, h.size))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "base", "head", "n1", "n"])
 
     counts = rows.groupBy("y").agg(F.count("*").alias("n")).collect()
     total = {r["y"]: r["n"] for r in counts}
     all1, all0 = total.get(1, 0), total.get(0, 0)
     prior = (all1 + 1) / (all1 + all0 + 2)
-    told = rows.mapInArrow(used, "h long, base long, n1 long, n long").groupBy("h", "base").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).filter("n > 2")
+    told = rows.mapInArrow(used, "h long, base long, head long, n1 long, n long").groupBy("h", "base", "head").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).filter("n > 2")
     rate = F.col("n") / max(1, all1 + all0)
-    # What a term tells is ranked by how far its toxic uses are from those expected; at most terms of them come here.
-    ranked = told.withColumn("gap", F.abs(F.col("n1") - rate * all1) / F.sqrt(rate * all1 + 1)).orderBy(F.desc("gap"), "h").limit(terms if all1 and all0 else 0).toArrow()
+    # Terms are ranked by how far their toxic uses exceed those expected; at most terms of them come here.
+    gap = (F.col("n1") - rate * all1) / F.sqrt(rate * all1 + 1)
+    ranked = told.withColumn("gap", gap).filter("gap > 0").orderBy(F.desc("gap"), "h").limit(terms if all1 and all0 else 0).toArrow()
     n1, n = (ranked.column(c).to_numpy().astype(float) for c in ("n1", "n"))
     strong = _signal(n1, n - n1, all1, all0) >= LEAST_SIGNAL if n.size else np.zeros(0, bool)
     hashes, bases = (np.unique(ranked.column(c).to_numpy().view(np.uint64)[strong]) if n.size else np.zeros(0, np.uint64) for c in ("h", "base"))
 
-    bare = tx.Shared(docs.sparkSession, Terms(hashes, bases, np.ones(hashes.size)))
+    heads = np.unique(ranked.column("head").to_numpy()[strong]).astype(np.uint32) if n.size else np.zeros(0, np.uint32)
+
+    bare = tx.Shared(docs.sparkSession, Terms(hashes, bases, heads, np.ones(hashes.size)))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = bare.value
@@ -234,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     found = every.select("text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     seen = dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True))
     idf = np.log((seen.get(-1, 0) + 1) / (np.array([seen.get(t, 0) for t in range(hashes.size)], float) + 1)) + 1
-    known = Terms(hashes, bases, idf)
+    known = Terms(hashes, bases, heads, idf)
     shared = tx.Shared(docs.sparkSession, known)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
