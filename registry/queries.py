@@ -768,29 +768,30 @@ def _(spark, sf):
 
 # ---- fitted models (row checks) ------------------------------------------------------------------
 
-# Fewer and lower trees than the defaults, on all rows: the default sizes take minutes on one machine.
-SMALL_CSAT = models.ForestSettings(max_features=2500, min_df=5, trees=20, depth=6, max_rows=None, memory_mb=64)
-SMALL_RESOLUTION = models.ForestSettings(max_features=2000, min_df=5, trees=20, depth=6, max_rows=None, memory_mb=64)
 ALL_ROWS = models.SentimentSettings(max_rows=None)
 
 
-def _wide(spark, sf):
-    return stage(tickets(spark, sf, texts=True))
+def _answers(spark, sf):
+    """What the satisfaction forest needs of the tickets."""
+    return stage(tickets(spark, sf, texts=True), "ticket_id", "initial_message", "csat_score", *models.CSAT_CATEGORIES)
 
 
 @query("m05_csat_forest")
 def _(spark, sf):
-    return models.train_csat(_wide(spark, sf), settings=SMALL_CSAT).metrics
+    return models.train_csat(_answers(spark, sf)).metrics
 
 
 @query("m06_resolution_forest")
 def _(spark, sf):
-    return models.train_resolution(_wide(spark, sf), settings=SMALL_RESOLUTION).metrics
+    texts = ("ticket_id", "initial_message", "agent_first_reply", "resolution_time_hours")
+    rows = stage(tickets(spark, sf, texts=True), *texts, *models.RESOLUTION_CATEGORIES)
+    return models.train_resolution(rows).metrics
 
 
 @query("m07_sentiment")
 def _(spark, sf):
-    return models.train_sentiment(models.sentiment_rows(_wide(spark, sf)), settings=ALL_ROWS).metrics
+    rows = stage(tickets(spark, sf, texts=True), "ticket_id", "initial_message", "customer_sentiment")
+    return models.train_sentiment(models.sentiment_rows(rows), settings=ALL_ROWS).metrics
 
 
 @query("m07_document_quality")
@@ -810,8 +811,8 @@ def _(spark, sf):
 
 @query("a20_feature_importance")
 def _(spark, sf):
-    rows = _wide(spark, sf)
-    trained = models.train_csat(rows, settings=SMALL_CSAT)
+    rows = _answers(spark, sf)
+    trained = models.train_csat(rows)
     return models.feature_importance(trained.model, models.CSAT_CATEGORIES, rows)
 
 
