@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -42,13 +43,10 @@ class Codec:
 
     def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
         special = {x["content"]: x["id"] for x in data["added_tokens"]}
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): n for token, n in data["model"]["vocab"].items() if token not in special}
@@ -64,6 +62,16 @@ class Codec:
         self.chunks: dict[bytes, tuple[int, int, np.ndarray]] = {}
         self.held = 0
 
+    @cached_property
+    def exact(self) -> Any:
+        """The library's tokenizer, which few texts need."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def encode(self, text: str) -> list[int]:
         """The tokens of a text as a whole."""
         if self.other.search(text):

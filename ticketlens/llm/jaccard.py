@@ -218,6 +218,7 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     or empty text has size 0, no copies and is its own component; a row without id links with nothing and has no
     component. Rows that share an id are one document of the links. Other columns are left out, whatever their names.
     """
+    tx.short_batches(docs.sparkSession)
     own = docs.select(F.col(ident).alias("ident"), F.col(text).cast("string").alias("text"))
     some = own.filter("ident is not null")
     nodes = stage_table(_nodes(own, size))

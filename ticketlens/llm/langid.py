@@ -207,6 +207,7 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", iden
     copies of a text are not taken together. Its distinct words with their counts are settled once; each round is one pass over them.
     """
     spark = docs.sparkSession
+    tx.short_batches(spark)
     rows = docs.select(F.xxhash64(ident).alias("place"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, trie = sorted(sizes), Model([], path, np.zeros(0)).trie

@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     Rows with a null id or label teach nothing; a label given twice counts once, the larger of two that differ. With
     labels of one kind only, or none, every score is the smoothed share of good texts.
     """
+    tx.short_batches(docs.sparkSession)
     own = labels.filter(F.col(ident).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(ident).alias("id")).agg(F.max(label).cast("int").alias("y"))
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
@@ -198,7 +199,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         model = shared.value
         bits = model.ratio.size.bit_length() - 1
         for whole in batches:
-            for batch in tx.slices(whole, "text", tx.SLICE_BYTES // 2):
+            for batch in tx.slices(whole, "text", tx.SLICE_BYTES):
                 scores = model.score(*features(batch.column("text"), bits))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores)], [*names, "score"])
 

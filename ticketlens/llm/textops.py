@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 from collections.abc import Callable, Iterator
@@ -19,8 +20,10 @@ from pyspark.sql import types as T
 BLANKS = (0x20, *range(0x09, 0x0E))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-# Bytes of texts that one step of a task handles: its arrays take some twenty times as much memory.
-SLICE_BYTES = 4 << 20
+# Bytes of texts that one step of a task handles: its arrays take some twenty times as much memory. Rows of a batch that
+# goes to a Python worker: long texts make Spark's own number of rows tens of megabytes, held several times.
+SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -36,6 +39,13 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return cache[name]
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the rows of a batch for Python workers in this session; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Shared:
     """A broadcast value of this package's classes, pickled by value."""
 
@@ -67,6 +77,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory of arrays that are gone back to the system, where the C library can: workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = kept("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if trim:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +195,7 @@ def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
 def carried(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, list[str]]:
     """The text as the column text and the kept columns under names of their own, and those names; the text of a kept
     text column is there once."""
+    short_batches(docs.sparkSession)
     names = ["text" if c == text else f"k{i}" for i, c in enumerate(keep)]
     kept = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True) if n != "text"]
     return docs.select(*kept, F.col(text).cast("string").alias("text")), names

@@ -213,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     Rows with a null id or label teach nothing; a label given twice counts once, the larger of two that differ. Without
     both labels there are no terms, and every score is the smoothed share of toxic texts.
     """
+    tx.short_batches(docs.sparkSession)
     own = labels.filter(F.col(ident).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(ident).alias("id")).agg(F.max(label).cast("int").alias("y"))
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(sample)
     every = docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"))

@@ -24,6 +24,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from ticketlens.llm import textops as tx
 from ticketlens.session import scratch_path, stage_table
 
 FORMAT = "warc_archive"
@@ -324,6 +325,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def write(rows: DataFrame, path: str) -> None:
     """Rows with the written columns, one record each; columns beside them are left out."""
     use(rows.sparkSession)
+    tx.short_batches(rows.sparkSession)
     rows.select(*WRITE_COLUMNS).write.format(FORMAT).mode("append").save(path)
 
 
