@@ -64,8 +64,10 @@ def test_metrics_round_trip(spark, tmp_path):
     assert {(r.stage, r.metric, r.grp, r.value) for r in rows.collect()} == {
         ("one", "n", "x", 1.0), ("one", "r", "x", 2.5), ("two", "n", None, 1.0), ("two", "r", None, 2.5),
     }
-    by_stage = metrics.metrics_by_stage(rows, ["one", "two"]).orderBy("metric").collect()
-    assert [tuple(r) for r in by_stage] == [("n", None, 1.0), ("r", None, 2.5)]
+    by_stage = metrics.metrics_by_stage(rows, ["one", "two"]).orderBy("metric", "grp").collect()
+    assert [tuple(r) for r in by_stage] == [
+        ("n", None, None, 1.0), ("n", "x", 1.0, None), ("r", None, None, 2.5), ("r", "x", 2.5, None),
+    ]
 
 
 def test_generator_is_loaded_per_partition_and_template_fills_in(spark):
