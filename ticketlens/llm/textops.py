@@ -67,10 +67,11 @@ def byte_table(outside: Iterator[int] | tuple[int, ...]) -> np.ndarray:
 NOT_BLANK = byte_table(BLANKS)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of about that many bytes of text; a longer text is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes + 1)
+    limit = limit or SLICE_BYTES
     at = 0
     while at < batch.num_rows:
         before = total[at - 1] if at else 0
