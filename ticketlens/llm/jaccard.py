@@ -113,6 +113,7 @@ def _sketch(own: np.ndarray) -> np.ndarray:
 def _nodes(docs: DataFrame, size: int) -> DataFrame:
     """For each row its set's size, 128-bit fingerprint (a, b) and sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.drop_large()
         for whole in batches:
             for batch in tx.slices(whole, "text"):
                 found = [(own.size, *_fingerprint(own)[:2], *_sketch(own).tolist()) for own in shingle_sets(batch, size)]
@@ -126,6 +127,7 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
 def _signed(docs: DataFrame, size: int, similarity: int, buckets: int) -> DataFrame:
     """Packed entries (signature, node), each node once in a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.drop_large()
         for whole in batches:
             for batch in tx.slices(whole, "text"):
                 nodes: set[tuple[int, int]] = set()

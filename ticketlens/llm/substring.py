@@ -143,6 +143,7 @@ def repeats(texts: DataFrame, match: int, buckets: int) -> DataFrame:
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.drop_large()
         for whole in batches:
             for batch in tx.slices(whole, "text"):
                 raw, offsets = tx.utf8(batch.column("text"))

@@ -46,6 +46,13 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def drop_large() -> None:
+    """Forgets tokenizers and tries that an earlier stage left in this worker; who needs one makes it again."""
+    cache = sys.modules.get("_worker_cache")
+    for name in [n for n in vars(cache or ModuleType("none")) if n.startswith(("codec ", "trie "))]:
+        delattr(cache, name)
+
+
 class Shared:
     """A broadcast value of this package's classes, pickled by value."""
 
