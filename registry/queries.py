@@ -768,6 +768,9 @@ def _(spark, sf):
 
 # ---- fitted models (row checks) ------------------------------------------------------------------
 
+# Fewer and lower trees than the defaults, on all rows: at the default size one forest takes minutes on any table.
+SMALL_CSAT = models.ForestSettings(max_features=2500, min_df=5, trees=20, depth=6, max_rows=None, memory_mb=64)
+SMALL_RESOLUTION = models.ForestSettings(max_features=2000, min_df=5, trees=20, depth=6, max_rows=None, memory_mb=64)
 ALL_ROWS = models.SentimentSettings(max_rows=None)
 
 
@@ -778,14 +781,14 @@ def _answers(spark, sf):
 
 @query("m05_csat_forest")
 def _(spark, sf):
-    return models.train_csat(_answers(spark, sf)).metrics
+    return models.train_csat(_answers(spark, sf), settings=SMALL_CSAT).metrics
 
 
 @query("m06_resolution_forest")
 def _(spark, sf):
     texts = ("ticket_id", "initial_message", "agent_first_reply", "resolution_time_hours")
     rows = stage(tickets(spark, sf, texts=True), *texts, *models.RESOLUTION_CATEGORIES)
-    return models.train_resolution(rows).metrics
+    return models.train_resolution(rows, settings=SMALL_RESOLUTION).metrics
 
 
 @query("m07_sentiment")
@@ -812,7 +815,7 @@ def _(spark, sf):
 @query("a20_feature_importance")
 def _(spark, sf):
     rows = _answers(spark, sf)
-    trained = models.train_csat(rows)
+    trained = models.train_csat(rows, settings=SMALL_CSAT)
     return models.feature_importance(trained.model, models.CSAT_CATEGORIES, rows)
 
 
