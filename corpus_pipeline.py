@@ -12,6 +12,9 @@ from ticketlens.session import stage_table
 
 # Documents whose language is less likely than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
+# Words of a shingle, and the similarity in hundredths from which documents are near duplicates; op6 has its own.
+NEAR_SHINGLE = 5
+NEAR_SIMILARITY = 80
 
 
 def _changed(rows: DataFrame, docs: DataFrame, text) -> DataFrame:
@@ -30,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that with the smallest id; documents without an id stay."""
-    links = jaccard.link(docs)
+    links = jaccard.link(docs, size=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
     first = links.filter("doc_id = component_id").select("doc_id").distinct()
     one = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null")).select(docs.columns)

@@ -5,7 +5,10 @@ sets that are similar enough are in one band or in neighbouring ones, and differ
 follows from the band. The hash domain is cut into n1 ranges. Two sets with k differences differ in one of the
 ranges by k // n1 elements at most; there, of n2 subranges, the ones left after leaving out any k // n1 agree.
 So a signature for every range and every such choice of subranges is shared by all similar sets, and the sets
-that share one are verified exactly.
+that share one are verified exactly. Below a similarity of 85 a signature has so few elements that many would have
+none and be shared by unlike sets. There the plan has further ranges: with m more, similar sets agree in m + 1 ranges
+at least, so that each set leaves out its signatures of up to t elements, t being the largest number that touches at
+most m of its ranges. Of two similar sets, the larger t leaves out all that the other does, and one range remains.
 
 Groups of many similar sets are not compared pair by pair: each set that shares a signature is verified against
 the first set of the group, links found so are joined to components, and only pairs of a group that are still in
@@ -34,6 +37,8 @@ SHINGLE = 3
 SIMILARITY = 90
 # Subranges of a range when one difference may fall into it.
 SUBRANGES = 3
+# Below this similarity a plan has this many further ranges, one for each so many.
+THIN, FURTHER = 85, 3
 SKETCH = [f"s{k}" for k in range(8)]
 
 
@@ -46,12 +51,12 @@ def band_of(size: int, similarity: int = SIMILARITY) -> int:
     return band
 
 
-def plan_of(band: int, similarity: int = SIMILARITY) -> tuple[int, np.ndarray, list[tuple[int, ...]]]:
-    """Ranges, the bounds of all subranges in the hash domain, and the choices of subranges in a range."""
+def plan_of(band: int, similarity: int = SIMILARITY) -> tuple[int, np.ndarray, list[tuple[int, ...]], int]:
+    """Ranges, the bounds of all subranges in the hash domain, the choices of subranges in a range, and the further ranges."""
     return tx.kept(f"partenum {band} {similarity}", lambda: _plan(band, similarity))
 
 
-def _plan(band: int, similarity: int) -> tuple[int, np.ndarray, list[tuple[int, ...]]]:
+def _plan(band: int, similarity: int) -> tuple[int, np.ndarray, list[tuple[int, ...]], int]:
     last = 0
     for _ in range(band):
         last = (last + 1) * 100 // similarity
@@ -60,13 +65,15 @@ def _plan(band: int, similarity: int) -> tuple[int, np.ndarray, list[tuple[int,
     ranges = (most + 2) // 2
     spare = most // ranges
     parts = SUBRANGES if spare else 1
+    further = -(-ranges // FURTHER) if spare and similarity < THIN else 0
+    ranges += further
     bounds = np.array([k * (1 << 64) // (ranges * parts) for k in range(1, ranges * parts)], np.uint64)
-    return ranges, bounds, list(combinations(range(parts), parts - spare))
+    return ranges, bounds, list(combinations(range(parts), parts - spare)), further
 
 
 def signatures(own: np.ndarray, sums: np.ndarray, band: int, similarity: int = SIMILARITY) -> np.ndarray:
     """All signatures of a sorted set in a band. sums: running sums of the elements' mixed hashes, from 0 on."""
-    ranges, bounds, choices = plan_of(band, similarity)
+    ranges, bounds, choices, further = plan_of(band, similarity)
     edges = np.concatenate([[0], np.searchsorted(own, bounds), [own.size]])
     part = tx.mix(np.diff(sums[edges]) + np.diff(edges).astype(np.uint64)).reshape(ranges, -1)
     salt = tx.mix(np.arange(ranges, dtype=np.uint64) + np.uint64(band << 32), 1)
@@ -76,6 +83,11 @@ def signatures(own: np.ndarray, sums: np.ndarray, band: int, similarity: int = S
         for c in chosen:
             h = tx.joined(h, part[:, c])
         out.append(h)
+    if further:
+        sizes = np.diff(edges).reshape(ranges, -1)
+        sizes = np.stack([sizes[:, chosen].sum(axis=1) for chosen in choices])
+        least = np.partition(sizes.min(axis=0), further)[further]
+        return np.concatenate(out)[sizes.ravel() >= least]
     return np.concatenate(out)
 
 
