@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, decontaminate, jaccard, langid, quality, substring, toolcalls, topk, toxicity, warc
+from ticketlens.llm import align, bpe, decontaminate, jaccard, langid, quality, substring, toolcalls, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,3 +188,8 @@ BASE32 = " || ".join(
 )
 def _(spark, sf):
     return warc.read_pages(spark, warc.archive(table(spark, sf, "pages")))
+
+
+@query("op11_token_alignment")
+def _(spark, sf):
+    return align.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
