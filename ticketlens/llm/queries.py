@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import align, bpe, decontaminate, jaccard, langid, quality, substring, toolcalls, topk, toxicity, warc
+from ticketlens.llm import align, bpe, decontaminate, jaccard, langid, merkle, quality, substring, toolcalls, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,3 +193,57 @@ def _(spark, sf):
 @query("op11_token_alignment")
 def _(spark, sf):
     return align.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _hashed(n_chars: str) -> str:
+    """DuckDB's leaf of a document."""
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({f} AS VARCHAR))) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+
+# DuckDB's CRC-32 of a number's decimal digits.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""WITH RECURSIVE d AS MATERIALIZED (
+      SELECT doc_id, lang, {_hashed("n_chars")} AS leaf, {_hashed(f"(CASE WHEN ({CRC}) % 7 = 0 THEN n_chars + 1 ELSE n_chars END)")} AS changed FROM documents
+    ), l AS MATERIALIZED (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d
+    ), t AS (
+      SELECT lang, 0 AS level, pos AS idx, leaf AS h, n FROM l
+      UNION ALL SELECT lang, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, level, idx // 2, n
+    ), s AS MATERIALIZED (
+      SELECT lang, level AS height, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1
+    ), u AS (
+      SELECT 0 AS level, pos AS idx, h, n FROM s
+      UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, idx // 2, n
+    ), a AS MATERIALIZED (
+      SELECT l.lang, l.doc_id, l.leaf, l.pos AS leaf_pos, t.level, t.h, (l.pos >> t.level) % 2 AS second
+      FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang AND t.n > 1 AND t.idx = xor(l.pos >> t.level, 1)
+    ), b AS (
+      SELECT l.lang, l.pos, s.pos AS sub_pos, s.height, s.h AS subroot, l.doc_id, l.leaf, l.changed FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang
+    ), f AS (
+      SELECT lang, pos, 0 AS level, '' AS proof, changed AS node, height, sub_pos FROM b
+      UNION ALL SELECT f.lang, f.pos, f.level + 1, f.proof || coalesce(a.h, u.h, ''),
+        sha256(CASE WHEN coalesce(a.h, u.h) IS NULL THEN node
+          WHEN (CASE WHEN f.level < height THEN f.pos >> f.level ELSE sub_pos >> (f.level - height) END) % 2 = 1 THEN coalesce(a.h, u.h) || node
+          ELSE node || coalesce(a.h, u.h) END), height, sub_pos
+      FROM f LEFT JOIN a ON f.lang IS NOT DISTINCT FROM a.lang AND f.pos = a.leaf_pos AND f.level = a.level AND f.level < height
+        LEFT JOIN u ON f.level >= height AND u.n > 1 AND u.level = f.level - height AND u.idx = xor(sub_pos >> (f.level - height), 1)
+      WHERE f.level < height + (SELECT max(level) FROM u)
+    )
+    SELECT b.doc_id, b.leaf, b.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.h AS verified
+    FROM b JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.pos = f.pos, u r WHERE r.n = 1 AND f.level = b.height + r.level""",
+)
+def _(spark, sf):
+    """One row in seven is tampered with after its proof was made."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = table(spark, sf, "documents").select(*fields)
+    more = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars").cast("decimal(38,0)") + 1)
+    changed = [F.coalesce(more, F.col("n_chars").cast("decimal(38,0)")) if f == "n_chars" else F.col(f) for f in fields]
+    found = merkle.manifest(docs.withColumn("changed", merkle.leaf(changed)), fields=fields, keep=("doc_id", "changed"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.folded(F.col("changed")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
