@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import align, bpe, decontaminate, jaccard, langid, merkle, quality, substring, toolcalls, topk, toxicity, warc
+from ticketlens.llm import align, bpe, decontaminate, jaccard, langid, merkle, neighbours, quality, substring, toolcalls, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,3 +247,9 @@ def _(spark, sf):
     found = merkle.manifest(docs.withColumn("changed", merkle.leaf(changed)), fields=fields, keep=("doc_id", "changed"))
     found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.folded(F.col("changed")).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_nearest_neighbours")
+def _(spark, sf):
+    rows = neighbours.vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return neighbours.search(neighbours.build(rows), rows.filter("id % 50 = 0"))
