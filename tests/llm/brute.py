@@ -40,9 +40,9 @@ def shingles(text: str | None, size: int = 3) -> frozenset:
     return frozenset([tuple(w)] if w else [])
 
 
-def linked(rows: list[tuple[int, str | None]], similarity: int = 90) -> dict[int, tuple[int, int]]:
+def linked(rows: list[tuple[int, str | None]], similarity: int = 90, size: int = 3) -> dict[int, tuple[int, int]]:
     """n_shingles and component of each id."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, size) for i, t in rows}
     least = {i: i for i in sets}
 
     def root(i):

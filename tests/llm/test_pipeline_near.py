@@ -62,3 +62,11 @@ def test_signatures_at_eighty():
                 band = jaccard.band_of(s.size, 80)
                 found.append({v for b in (band, band + 1) for v in jaccard.signatures(s, sums, b, 80).tolist()})
             assert found[0] & found[1], size
+
+
+def test_rows_that_share_an_id(spark):
+    """Unrelated texts under one id stay, repeated rows and near copies go."""
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1] + " more"), (3, texts[2]), (None, texts[2]), (4, None), (4, "")]
+    got = sorted((r["doc_id"] or 0, r["text"] or "-") for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    assert got == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2]), (0, texts[2]), (4, "-"), (4, "-")])

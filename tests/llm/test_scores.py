@@ -158,6 +158,55 @@ def test_forward_sums_all_segmentations():
         assert bytes(words.letters[place[k], 1 : words.size[place[k]]]) == raw[starts[k] : ends[k]].tobytes()
 
 
+def test_long_runs_of_letters():
+    """Runs of 31 to 5,000 bytes: sums on logarithms against the plain ones and against one word at a time."""
+    trie = langid.trie_of(VOCABULARY)
+    r = np.random.default_rng(4)
+    p = r.random((trie.pieces, 2)) + 0.01
+    p /= p.sum(axis=0)
+    runs = ["".join(r.choice(list("etaoinshrdé中文"), n)) for n in (31, 32, 33, 60, 120, 500, 2000, 5000)]
+    raw, starts, ends, _ = langid.text_words(pa.array([" ".join(runs)]))
+    assert starts.size == len(runs)
+    first, size, place = langid.distinct(raw, starts, ends)
+    own, log_p = np.empty((size.size, 2)), np.log(p)
+    for part, long in langid.parts(size):
+        words = langid.words_at(raw, first[part], size[part])
+        assert long == bool((size[part] >= langid.LONG).all())
+        own[part] = langid.log_forward(words, trie, log_p)[words.size, np.arange(words.size.size)] if long else np.log(langid.whole(words, langid.forward(words, trie, p)))
+    pieces = numbered_pieces(trie)
+    for k, run in enumerate(runs):
+        for lang in (0, 1):
+            want = scaled_forward(b" " + run.encode(), {t: p[n, lang] for t, n in pieces.items()})
+            assert own[place[k], lang] == pytest.approx(want, rel=1e-9)
+    short = langid.words_at(raw, first[size < 50], size[size < 50])
+    weight = np.full(short.size.size, 2.0)
+    plain, logs = langid.expected(short, weight, trie, p[:, :1]), langid.log_expected(short, weight, trie, log_p[:, :1])
+    assert np.allclose(plain, logs, rtol=1e-9)
+
+
+def scaled_forward(word: bytes, p: dict[bytes, float]) -> float:
+    """The logarithm of the sum over all segmentations, scaled at each byte."""
+    longest = max(map(len, p))
+    alpha, scale = [1.0], 0.0
+    for end in range(1, len(word) + 1):
+        alpha.append(sum(alpha[-k] * p.get(word[end - k : end], 0.0) for k in range(1, min(longest, len(alpha)) + 1)))
+        alpha = alpha[-longest:]
+        top = alpha[-1]
+        scale += np.log(top)
+        alpha = [x / top for x in alpha]
+    return scale
+
+
+def test_language_of_text_without_blanks(spark):
+    """A language of long runs is learned and told from another; the score is a share of whole sums."""
+    r = random.Random(8)
+    rows = [(k, "".join(r.choice("的一是不了人我在有他" if k % 2 else "اوهينملربت") for _ in range(r.choice([12, 80, 400]))), "zh" if k % 2 else "ar") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.filter("doc_id < 40"), VOCABULARY)
+    got = {x["doc_id"]: x for x in langid.predict(docs, model).collect()}
+    assert all(got[k]["lang_pred"] == lang and 0.99 < got[k]["score"] <= 1 for k, _, lang in rows)
+
+
 def test_expected_counts_cover_the_words():
     """The expected counts, weighted by the lengths of the pieces, make up all bytes of the words."""
     trie = langid.trie_of(VOCABULARY)

@@ -218,7 +218,7 @@ def test_pipeline_against_brute_force(spark, exact):
     rows = {r["doc_id"]: r["text"] for r in kept.collect()}
     lang = langid.predict(docs, corpus_pipeline.language_model(docs)).filter("lang_pred != 'und'")
     assert set(rows) == {r["doc_id"] for r in lang.filter("score >= 0.5").collect()}
-    first = [i for i, (_, c) in sorted(brute.linked(list(rows.items())).items()) if i == c]
+    first = [i for i, (_, c) in sorted(brute.linked(list(rows.items()), corpus_pipeline.NEAR_SIMILARITY, corpus_pipeline.NEAR_SHINGLE).items()) if i == c]
     texts = [rows[i] for i in first]
     texts = [kept if gone else t for t, (_, gone, kept) in zip(texts, brute.removed(texts), strict=True)]
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]

@@ -198,8 +198,9 @@ def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str, text: str
     shared = tx.Shared(spark, possible)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.drop_large("codec sides")
         sides = tx.kept(f"codec sides {byte_level} {pieces}", lambda: Sides(byte_level, pattern, pieces))
-        possible = tx.kept("codec linkable", lambda: shared.value)
+        possible = tx.kept("codec sides linkable", lambda: shared.value)
         for whole in batches:
             for batch in tx.slices(whole, "text", ALIGNED_BYTES):
                 a, b = tokens(batch.column("text").to_pylist(), sides)

@@ -163,6 +163,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
     rows, names = tx.carried(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.drop_large(f"codec {path}")
         codec = _codec(path, pattern)
         for whole in batches:
             for batch in tx.slices(whole, "text"):

@@ -40,14 +40,15 @@ def packed(bucket: np.ndarray, buckets: int, owner: np.ndarray, keys: list[np.nd
     new = np.ones(bucket.size, bool)
     new[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    runs = np.searchsorted(bucket[first], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(edges))
+    # Only buckets that occur: the work does not grow with their number.
+    full, begin = np.unique(bucket, return_index=True)
+    edges = np.append(begin, bucket.size)
+    runs = np.append(np.searchsorted(first, begin), first.size)
     lengths = np.diff(np.append(first, bucket.size)).astype(np.int32)
     arrays = [pa.array(full, pa.int64())]
     for c, at in [(lengths, runs), *((k[owner[first]], runs) for k in keys), *((c[order], edges) for c in columns)]:
         c = np.ascontiguousarray(c)
-        arrays.append(pa.array([c[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()))
+        arrays.append(pa.array([c[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *[f"c{i}" for i in range(len(arrays) - 1)]])
 
 
@@ -57,6 +58,12 @@ def unpacked(group: pa.Table, keys: list[str], columns: list[str]) -> list[np.nd
     return [np.repeat(k, parts[0]) for k in parts[1 : 1 + len(keys)]] + parts[1 + len(keys) :]
 
 
+def owned(group: pa.Table, keys: list[str], column: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The place of each entry's owner among the runs, the runs' keys, and the entries of the only column."""
+    parts = [np.frombuffer(b"".join(group.column(f"c{i}").to_pylist()), kind) for i, kind in enumerate(["<i4", *keys, column])]
+    return np.repeat(np.arange(parts[0].size, dtype=np.int32), parts[0]), parts[1:-1], parts[-1]
+
+
 def packed_schema(parts: int) -> str:
     """For that many keys and columns."""
     return "bucket long, " + ", ".join(f"c{i} binary" for i in range(parts + 1))

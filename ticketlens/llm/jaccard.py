@@ -40,6 +40,8 @@ SUBRANGES = 3
 # Below this similarity a plan has this many further ranges, one for each so many.
 THIN, FURTHER = 85, 3
 SKETCH = [f"s{k}" for k in range(8)]
+# A text has several times as many bytes of signatures as its own, so that a bucket takes the less text.
+SIGNED = 3
 
 
 def band_of(size: int, similarity: int = SIMILARITY) -> int:
@@ -162,7 +164,17 @@ def _signed(docs: DataFrame, size: int, similarity: int, buckets: int) -> DataFr
 
 def _groups(group: pa.Table) -> pa.Table:
     """Sets of nodes that share a signature: one row for each node of each group, with the group's first node."""
-    a, b, h = ex.unpacked(group, ["<i8", "<i8"], ["<u8"])
+    owner, keys, h = ex.owned(group, ["<i8", "<i8"], "<u8")
+    order = np.argsort(h)
+    h = h[order]
+    # Most signatures are of one node only, and go before anything is made for them.
+    shared = np.zeros(h.size, bool)
+    same = h[1:] == h[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    h, owner = h[shared], owner[order[shared]]
+    del order, shared, same
+    a, b = (k[owner] for k in keys)
     order = np.lexsort((b, a, h))
     a, b, h = a[order], b[order], h[order]
     first = np.ones(h.size, bool)
@@ -181,7 +193,9 @@ def _groups(group: pa.Table) -> pa.Table:
     many &= np.repeat(new, sizes)
     key, ends = np.repeat(key.view(np.int64), sizes), np.repeat(lead, sizes)
     columns = {"g": key, "a": a, "b": b, "ha": a[ends], "hb": b[ends]}
-    return pa.table({c: pa.array(x[many]) for c, x in columns.items()})
+    out = pa.table({c: pa.array(x[many]) for c, x in columns.items()})
+    tx.release()
+    return out
 
 
 GROUPS = "g long, a long, b long, ha long, hb long"
@@ -236,7 +250,7 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     own = docs.select(F.col(ident).alias("ident"), F.col(text).cast("string").alias("text"))
     some = own.filter("ident is not null")
     nodes = stage_table(_nodes(own, size))
-    buckets = ex.bucket_count(own, "text")
+    buckets = SIGNED * ex.bucket_count(own, "text")
     groups = stage_table(_signed(some, size, similarity, buckets).groupBy("bucket").applyInArrow(_groups, GROUPS).distinct())
 
     # Nodes that share a signature, each with one row of its documents. What is joined by a key that very many rows

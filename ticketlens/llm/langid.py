@@ -5,7 +5,8 @@ bytes adds the products. A text's log-likelihood is the sum over its words. Piec
 expectation maximisation: the backward pass gives the expected count of every piece in the training words.
 
 Each task handles the distinct words of a slice at once, one byte position after the other, with a trie of the
-vocabulary as arrays.
+vocabulary as arrays. Runs of letters of LONG bytes and more, such as whole sentences of scripts without blanks, have
+probabilities that a float cannot hold: the same sums are done on logarithms for them, whatever their length.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from ticketlens.session import settle
 # The models are fitted on about this many texts of each language, chosen by a hash of the id; all if there are fewer.
 SAMPLE_TEXTS = 2000
 ROUNDS = 4
-# Longer runs of letters are read in parts of so many bytes.
-WORD_BYTES = 32
+# From so many bytes on a word is summed on logarithms. Bytes of such words that are handled at once.
+LONG = 32
+LONG_BYTES = 1 << 18
 SMOOTHING = 0.02
 UNDETERMINED = "und"
 
@@ -56,22 +58,20 @@ def trie_of(path: str) -> Trie:
     used = sorted({b for t in wanted for b in t})
     classes = np.zeros(256, np.int64)
     classes[used] = np.arange(1, len(used) + 1)
-    nodes: list[dict[int, int]] = [{}, {}]
+    width = len(used) + 1
+    child: dict[int, int] = {}
     piece = [-1, -1]
     for number, token in enumerate(sorted(wanted)):
         node = 1
-        for b in token:
-            if b not in nodes[node]:
-                nodes[node][b] = len(nodes)
-                nodes.append({})
+        for c in classes[list(token)].tolist():
+            at = node * width + c
+            node = child.get(at, 0)
+            if not node:
+                node = child[at] = len(piece)
                 piece.append(-1)
-            node = nodes[node][b]
         piece[node] = number
-    width = len(used) + 1
-    follow = np.zeros(len(nodes) * width, np.int32)
-    for n, children in enumerate(nodes):
-        for b, child in children.items():
-            follow[n * width + classes[b]] = child
+    follow = np.zeros(len(piece) * width, np.int32)
+    follow[np.fromiter(child.keys(), np.int64, len(child))] = np.fromiter(child.values(), np.int32, len(child))
     return Trie(classes, width, follow, np.array(piece, np.int32), len(wanted))
 
 
@@ -108,6 +108,12 @@ class Words:
 
 def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Words, np.ndarray]:
     """The distinct words, and the place of each word among them."""
+    first, size, place = distinct(raw, starts, ends)
+    return words_at(raw, first, size), place
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the distinct words, the longest first, and the place of each word among them."""
     h = tx.word_hashes(raw, starts, ends)
     order = np.argsort(h)
     new = np.ones(h.size, bool)
@@ -119,7 +125,7 @@ def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     longest = np.argsort(-size, kind="stable")
     place = np.empty(first.size, np.int64)
     place[longest] = np.arange(first.size)
-    return words_at(raw, starts[first[longest]], size[longest]), place[which]
+    return starts[first[longest]], size[longest], place[which]
 
 
 def words_at(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> Words:
@@ -162,17 +168,46 @@ def expected(words: Words, weight: np.ndarray, trie: Trie, p: np.ndarray) -> np.
     return out
 
 
+def log_forward(words: Words, trie: Trie, log_p: np.ndarray) -> np.ndarray:
+    """The logarithms of the probabilities of all prefixes: length, word, language."""
+    alpha = np.full((words.letters.shape[1] + 1, words.size.size, log_p.shape[1]), -np.inf)
+    alpha[0] = 0
+    for at, length, word, piece in words.steps(trie):
+        alpha[at + length, word] = np.logaddexp(alpha[at + length, word], alpha[at, word] + log_p[piece])
+    return alpha
+
+
+def log_expected(words: Words, weight: np.ndarray, trie: Trie, log_p: np.ndarray) -> np.ndarray:
+    """As ``expected``, on logarithms."""
+    alpha = log_forward(words, trie, log_p)[:, :, 0]
+    each = np.arange(words.size.size)
+    beta = np.full_like(alpha, -np.inf)
+    beta[words.size, each] = 0
+    share = alpha[words.size, each]
+    out = np.zeros(log_p.shape[0])
+    for at, length, word, piece in sorted(words.steps(trie), key=lambda s: -s[0]):
+        through = log_p[piece, 0] + beta[at + length, word]
+        beta[at, word] = np.logaddexp(beta[at, word], through)
+        out += np.bincount(piece, np.exp(alpha[at, word] + through - share[word]) * weight[word], minlength=out.size)
+    return out
+
+
+def parts(size: np.ndarray) -> Iterator[tuple[slice, bool]]:
+    """Stretches of words (sizes in descending order) that are handled together, and whether on logarithms."""
+    long = int(np.searchsorted(-size, -LONG, side="right"))
+    at = 0
+    while at < long:
+        to = min(long, at + max(1, LONG_BYTES // int(size[at] + 1)))
+        yield slice(at, to), True
+        at = to
+    if long < size.size:
+        yield slice(long, size.size), False
+
+
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case letters, and the words of each text; long words in parts."""
+    """Lower-case letters, and the words of each text."""
     raw, offsets = tx.utf8(pc.utf8_lower(column))
     starts, ends, bounds = tx.words(raw, offsets, LETTERS)
-    size = ends - starts
-    if size.size and size.max() >= WORD_BYTES:
-        parts = -(-size // (WORD_BYTES - 1))
-        step = tx.spread(parts) * (WORD_BYTES - 1)
-        starts = np.repeat(starts, parts) + step
-        ends = np.minimum(starts + WORD_BYTES - 1, np.repeat(ends, parts))
-        bounds = np.concatenate([[0], np.cumsum(parts)])[bounds]
     return raw, starts, ends, bounds
 
 
@@ -193,8 +228,14 @@ class Model:
         raw, starts, ends, bounds = text_words(column)
         out = np.zeros((len(column), len(self.languages)))
         if starts.size:
-            words, place = distinct_words(raw, starts, ends)
-            own = np.log(whole(words, forward(words, self.trie, self.p)))
+            first, size, place = distinct(raw, starts, ends)
+            own = np.empty((size.size, out.shape[1]))
+            for part, long in parts(size):
+                words = words_at(raw, first[part], size[part])
+                if long:
+                    own[part] = log_forward(words, self.trie, np.log(self.p))[words.size, np.arange(words.size.size)]
+                else:
+                    own[part] = np.log(whole(words, forward(words, self.trie, self.p)))
             sums = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(own[place], axis=0)])
             out = sums[bounds[1:]] - sums[bounds[:-1]]
         return out, np.diff(bounds)
@@ -223,14 +264,15 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", iden
     sample = rows.filter(chosen).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.drop_large("trie ")
         for whole in batches:
             for batch in tx.slices(whole, "text"):
                 raw, starts, ends, bounds = text_words(batch.column("text"))
                 names = np.repeat(np.array(batch.column("lang").to_pylist(), object), np.diff(bounds))
                 for name in set(names):
                     own = names == name
-                    words, at = distinct_words(raw, starts[own], ends[own])
-                    texts = [bytes(words.letters[k, 1 : words.size[k]]) for k in range(words.size.size)]
+                    first, size, at = distinct(raw, starts[own], ends[own])
+                    texts = [raw[i : i + n].tobytes() for i, n in zip(first.tolist(), size.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), pa.array(texts, pa.binary()), pa.array(np.bincount(at, minlength=len(texts)))], ["lang", "word", "n"])
 
     found = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -239,6 +281,7 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", iden
         shared = tx.Shared(spark, Model(languages, path, p))
 
         def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tx.drop_large("trie ")
             model = shared.value
             sums = np.zeros_like(model.p)
             for batch in batches:
@@ -249,8 +292,12 @@ def fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", iden
                 for k, name in enumerate(model.languages):
                     own = np.flatnonzero([n == name for n in names])
                     own = own[np.argsort(-size[own], kind="stable")]
-                    if own.size:
-                        sums[:, k] += expected(words_at(raw, offsets[:-1][own], size[own]), weight[own], model.trie, model.p[:, k : k + 1])
+                    for part, long in parts(size[own]):
+                        words = words_at(raw, offsets[:-1][own[part]], size[own[part]])
+                        if long:
+                            sums[:, k] += log_expected(words, weight[own[part]], model.trie, np.log(model.p[:, k : k + 1]))
+                        else:
+                            sums[:, k] += expected(words, weight[own[part]], model.trie, model.p[:, k : k + 1])
             at, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k), pa.array(sums[at, k])], ["piece", "k", "n"])
 
@@ -268,13 +315,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """For each row: the kept columns, lang_pred and score (or as made names them), the probability of that language for the whole text.
 
     Without a text, without a letter in it, or with no learned language the prediction is "und" and the score 0. Ties
-    go to the first language in order. Equal texts get equal results, an empty table none; the other columns are left
+    go to the first language in order. Runs of letters are words whatever their length. Equal texts get equal results, an empty table none; the other columns are left
     out, whatever their names.
     """
     rows, names = tx.carried(docs, keep, text)
     shared = tx.Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.drop_large("trie ")
         model = shared.value
         for whole in batches:
             for batch in tx.slices(whole, "text"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import sys
 from collections.abc import Callable, Iterator
@@ -46,11 +47,16 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def drop_large() -> None:
-    """Forgets tokenizers and tries that an earlier stage left in this worker; who needs one makes it again."""
+def drop_large(own: str = "") -> None:
+    """Forgets tokenizers and tries that an earlier stage left in this worker, but for those whose name begins with own; who
+    needs one makes it again."""
     cache = sys.modules.get("_worker_cache")
-    for name in [n for n in vars(cache or ModuleType("none")) if n.startswith(("codec ", "trie "))]:
+    names = [n for n in vars(cache or ModuleType("none")) if n.startswith(("codec ", "trie ")) and not (own and n.startswith(own))]
+    for name in names:
         delattr(cache, name)
+    if names:
+        gc.collect()
+        release()
 
 
 class Shared:
