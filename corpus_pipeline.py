@@ -15,6 +15,8 @@ LEAST_LANGUAGE_SCORE = 0.5
 # Words of a shingle, and the similarity in hundredths from which documents are near duplicates; op6 has its own.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 80
+# Name of the column that tells rows apart; it does not clash with the tables' own.
+ROW = "_near_duplicates_row"
 
 
 def _changed(rows: DataFrame, docs: DataFrame, text) -> DataFrame:
@@ -32,11 +34,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest id; documents without an id stay."""
-    links = jaccard.link(docs, size=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
-    first = links.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """One document of each group of linked ones, that with the smallest id; documents without an id stay.
+
+    Rows that share an id but not the text are documents of their own, told apart by a hash of the text, and of a group the
+    smallest id and hash stays. Rows that repeat both are one document.
+    """
+    keyed = docs.filter("doc_id is not null").withColumn(ROW, F.struct("doc_id", F.xxhash64("text").alias("text")))
+    links = jaccard.link(keyed, ident=ROW, size=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
+    first = links.filter(F.col(ROW) == F.col("component_id")).select(ROW).distinct()
+    one = keyed.join(first, ROW, "left_semi").dropDuplicates([ROW])
+    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
