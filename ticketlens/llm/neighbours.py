@@ -156,23 +156,25 @@ def scan(x: np.ndarray, own: np.ndarray, ids: np.ndarray, q: np.ndarray, v: np.n
         order = np.lexsort((names, -scores))[:k]
         scores, names = scores[order], names[order]
 
-    if floor == -np.inf:
-        better(alive[: 4 * k])
-        alive = alive[4 * k :]
-        floor = scores[-1] if scores.size == k else floor
-    # Squared distance of unit vectors; single precision is off by some ten millionths.
-    limit = 2 - 2 * floor + 1e-5 if floor > -np.inf else np.inf
     partial = np.zeros(alive.size)
     for at in range(0, width, COLUMNS):
+        if not alive.size:
+            break
         to = min(width, at + COLUMNS)
         apart = x[at:to, alive] - q[at:to, None]
         partial += (apart * apart).sum(axis=0)
         read += apart.size
+        if at == 0:
+            # The candidates that are nearest so far are scored first, and give the others a bound.
+            first = np.argpartition(partial, min(4 * k, alive.size) - 1)[: 4 * k]
+            better(alive[first])
+            alive, partial = np.delete(alive, first), np.delete(partial, first)
+            floor = max(floor, scores[-1]) if scores.size == k else floor
+        # Squared distance of unit vectors; single precision is off by some ten millionths.
+        limit = 2 - 2 * floor + 1e-5 if floor > -np.inf else np.inf
         most = limit * (1 + error / math.sqrt(to)) ** 2 * to / width if to < width else limit
         near = partial <= most
         alive, partial = alive[near], partial[near]
-        if not alive.size:
-            break
     if alive.size:
         better(alive)
     return scores, names, read

@@ -27,12 +27,19 @@ PIVOT_SAMPLE = 2048
 BLOCK = 4096
 QUERY_BLOCK = 8192
 SCALE = 256
-# Limits are widened by so much for rounding; scores are integers.
+# Limits are widened by so much for rounding; scores are integers. Sums of so many terms are off by as many units of
+# rounding at most, each taken four times here.
 SLACK = 0.25
+ROUNDING = 4 * 2.0**-53
+# Integers from here on are not exact as products in double precision; extended precision holds all of a long.
+EXACT = 2.0**53
 
 
 def quantised(rows: DataFrame, ident: str, vector: str) -> DataFrame:
-    """Ids and vectors of integers; rows without id, without vector or with a component that is no number are out."""
+    """Ids and vectors of integers; rows without id, without vector or with a component that is no number are out.
+
+    An empty vector stays. Integers beyond the range of a long become its ends. Repeated rows stay, an empty table stays empty.
+    """
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     own = rows.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull() & finite)
     return own.select(F.col(ident).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
@@ -50,14 +57,19 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T)
-    return np.sqrt(np.maximum(square, 0))
+    """From differences, so that each is right but for a share of ROUNDING times (components + 2) of itself, whatever the
+    lengths of the vectors."""
+    out = np.empty((x.shape[0], pivots.shape[0]))
+    for k, p in enumerate(pivots):
+        apart = x - p
+        out[:, k] = np.sqrt((apart * apart).sum(axis=1))
+    return out
 
 
 def spread_out(sample: np.ndarray, count: int) -> np.ndarray:
     """Pivots far from each other: each next one is the vector farthest from those before."""
     chosen = [0] if sample.shape[0] else []
-    far = distances(sample, sample[chosen]).min(axis=1) if chosen else np.zeros(0)
+    far = distances(sample, sample[chosen])[:, 0] if chosen else np.zeros(0)
     while len(chosen) < min(count, sample.shape[0]) and far.max() > 0:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, distances(sample, sample[chosen[-1:]])[:, 0])
@@ -74,7 +86,11 @@ class Index:
 
 
 def build(rows: DataFrame, pivots: int = PIVOTS) -> Index:
-    """The index of all quantised rows (id, v)."""
+    """The index of all quantised rows (id, v).
+
+    Shorter vectors are filled with zeros. Rows that repeat an id or a vector are vectors of their own. An empty table gives
+    an index without blocks, in which a search finds nothing.
+    """
     width = rows.agg(F.max(F.size("v")).alias("w")).first()["w"] or 0
     sample = rows.select("id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(PIVOT_SAMPLE).toArrow()
     chosen = spread_out(matrix(sample.column("v"), width), pivots)
@@ -84,18 +100,48 @@ def build(rows: DataFrame, pivots: int = PIVOTS) -> Index:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 x = matrix(batch.column("v"), width)
-                parts = [batch.column("id").to_numpy(), x, distances(x, chosen).astype(np.float32)]
+                parts = [batch.column("id").to_numpy(), x, distances(x, chosen)]
                 yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts], ["ids", "x", "d"])
 
     return Index(stage_table(rows.mapInArrow(run, "ids binary, x binary, d binary")), chosen, width)
 
 
+def as_long(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; beyond their range its ends."""
+    ends = np.iinfo(np.int64)
+    inside = np.abs(scores) < 2.0**63
+    out = np.where(scores > 0, ends.max, ends.min)
+    out[inside] = scores[inside].astype(np.int64)
+    return out
+
+
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k highest scores, smaller ids first among equals."""
     order = np.lexsort((ids, -scores))[:k]
     return scores[order], ids[order]
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, exact in all of the range of a long."""
+    if x.size and np.abs(x).max() * np.abs(q).max() * x.shape[1] >= EXACT:
+        return (x.astype(np.longdouble) * q.astype(np.longdouble)).sum(axis=1)
+    return x @ q
+
+
+def limits(q: np.ndarray, square: float, dq: np.ndarray, own: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """What the inner products of a query and the vectors of a block cannot exceed, from their distances to the pivots.
+
+    square, own: squared lengths; dq, columns: distances to each pivot. The error of a distance is a share of it, so that of
+    a difference grows with both distances, however far out the pivot is.
+    """
+    off = ROUNDING * (q.size + 2)
+    low = np.zeros(own.size)
+    for p in range(columns.shape[0]):
+        np.maximum(low, np.abs(columns[p] - dq[p]) - off * (columns[p] + dq[p]), out=low)
+    both = square + own
+    return (both - low * low) / 2 + off * (both + low * low) + SLACK
+
+
 def eliminate(q: np.ndarray, own: int, limit: np.ndarray, x: np.ndarray, ids: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The best k after a block: candidates in the order of their limits, until no limit reaches the k-th score."""
     scores, names = best
@@ -106,7 +152,7 @@ def eliminate(q: np.ndarray, own: int, limit: np.ndarray, x: np.ndarray, ids: np
     while at < open_.size and (scores.size < k or limit[open_[at]] >= scores[k - 1]):
         part = open_[at : at + step]
         part = part[ids[part] != own]
-        scores, names = best_of(np.concatenate([scores, x[part] @ q]), np.concatenate([names, ids[part]]), k)
+        scores, names = best_of(np.concatenate([scores, products(x[part], q)]), np.concatenate([names, ids[part]]), k)
         at, step = at + step, step * 2
     return scores, names
 
@@ -116,16 +162,17 @@ def search(index: Index, queries: DataFrame, k: int = K, query_block: int = QUER
 
     Vectors with the query's id are no candidates. Equal scores go to the smaller vec_id. Every block of queries is
     bounded, goes to all blocks of the index and leaves k rows for each query and task; several blocks are written one
-    after the other, so the plan stays short.
+    after the other, so the plan stays short. Scores are exact while they and their sums fit a long; beyond that range they
+    become its ends and count as equal.
     """
     spark = queries.sparkSession
-    asked = queries.select("id", "v").distinct()
+    asked = stage_table(queries.select("id", "v").distinct())
     count = max(1, math.ceil(asked.count() / query_block))
     path = scratch_path(spark, "nearest")
     for n in range(count):
         own = asked.filter(F.pmod(F.xxhash64("id", "v"), F.lit(count)) == n).toArrow()
         q = matrix(own.column("v"), index.width) if own.num_rows else np.zeros((0, index.width))
-        shared = tx.Shared(spark, (own.column("id").to_numpy(), q, distances(q, index.pivots).astype(np.float32), index.width, n * query_block * 2))
+        shared = tx.Shared(spark, (own.column("id").to_numpy(), q, distances(q, index.pivots), index.width, n * query_block * 2))
 
         def run(batches: Iterator[pa.RecordBatch], shared: tx.Shared = shared) -> Iterator[pa.RecordBatch]:
             names, q, dq, width, first = shared.value
@@ -134,22 +181,17 @@ def search(index: Index, queries: DataFrame, k: int = K, query_block: int = QUER
             for batch in batches:
                 for ids, x, dx in zip(*(batch.column(c) for c in ("ids", "x", "d")), strict=True):
                     ids = np.frombuffer(ids.as_buffer(), np.int64)
-                    x, dx = (np.frombuffer(b.as_buffer(), t).reshape(ids.size, -1) for b, t in ((x, float), (dx, np.float32)))
+                    x, dx = (np.frombuffer(b.as_buffer(), t).reshape(ids.size, -1) for b, t in ((x, float), (dx, float)))
                     own = (x * x).sum(axis=1)
                     columns = np.ascontiguousarray(dx.T)
                     for i in range(names.size):
-                        low = np.zeros(ids.size, np.float32)
-                        for p in range(columns.shape[0]):
-                            np.maximum(low, np.abs(columns[p] - dq[i, p]), out=low)
-                        # Single precision distances are off by some ten millionths.
-                        low = np.maximum(low.astype(float) * (1 - 1e-6) - 1e-6 * (math.sqrt(square[i]) + np.sqrt(own)), 0)
-                        limit = (square[i] + own - low * low) / 2 + SLACK
+                        limit = limits(q[i], square[i], dq[i], own, columns)
                         best[i] = eliminate(q[i], names[i], limit, x, ids, best[i], k)
             sizes = np.array([b[0].size for b in best], int)
             if sizes.sum():
                 which = np.repeat(np.arange(names.size), sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(which + first), pa.array(names[which]), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]).astype(np.int64))],
+                    [pa.array(which + first), pa.array(names[which]), pa.array(np.concatenate([b[1] for b in best])), pa.array(as_long(np.concatenate([b[0] for b in best])))],
                     ["which", "query_id", "vec_id", "score"])
 
         found = index.blocks.mapInArrow(run, "which long, query_id long, vec_id long, score long")
