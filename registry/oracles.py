@@ -523,3 +523,12 @@ ORACLES["m10_batch_scoring"] = f"""WITH {TERMS}, {VOCABULARY},
     pos AS (SELECT term, idf, row_number() OVER (ORDER BY total DESC, term) - 1 AS position FROM voc),
     w AS (SELECT doc_id, position, tf * idf AS w FROM terms JOIN pos USING (term))
     SELECT doc_id, CAST(position AS INTEGER) AS position, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM w"""
+
+# Checks of fitted models: their rows give what the models give, and the loss has no slope. Which rows there are is counted here.
+HELD_OUT = ("SELECT ticket_id, true AS agrees FROM (SELECT ticket_id, row_number() OVER (ORDER BY md5(ticket_id || ':42'), ticket_id) AS r, "
+            "count(*) OVER () AS n FROM clean WHERE {}) WHERE r <= ceil(0.2::DOUBLE * n)")
+ORACLES["m05_scored_from_rows"] = C + HELD_OUT.format("csat_score > 0")
+ORACLES["m06_scored_from_rows"] = C + HELD_OUT.format("resolution_time_hours IS NOT NULL")
+ORACLES["m07_quality_optimal"] = ("SELECT CAST(quality AS VARCHAR) AS class, count(*) - CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_train, true AS optimal "
+                                  "FROM documents JOIN labels USING (doc_id) WHERE length(text) > 5 AND quality IS NOT NULL GROUP BY quality")
+ORACLES["m09_scored_from_rows"] = "SELECT doc_id, true AS agrees FROM documents"

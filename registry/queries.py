@@ -6,6 +6,7 @@ a DataFrame whose columns match the SQL twin of the same key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import calendar, parse, text
 from ticketlens.operators import (
-    aggregate, cleaning, dedupe, dimension, evaluate, features, join, models, profile, repair, replies,
-    sample, stats,
+    aggregate, cleaning, dedupe, dimension, evaluate, features, forest, join, linear, models, profile, repair,
+    replies, sample, stats,
 )
 from ticketlens.plans import stages
 from ticketlens.plans.binding import PLAIN_COLUMNS, TICKET_COLUMNS, raw_customers, raw_tickets, table
-from ticketlens.session import scratch_path, spread, stage_table
+from ticketlens.session import ensure_checkpoint_dir, scratch_path, spread, stage_table
 from ticketlens.sources import metrics, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -776,16 +777,80 @@ def _answers(spark, sf):
     return stage(tickets(spark, sf, texts=True), "ticket_id", "initial_message", "csat_score", *models.CSAT_CATEGORIES)
 
 
+# Pipelines that were fitted in this session, by name and folder of the tables: several queries read one model.
+_fitted: dict[tuple[str, str, str], str] = {}
+
+
+def fitted(spark: SparkSession, sf: str, name: str, train: Callable[[], models.Trained]) -> str:
+    """The folder of a model (pipeline), its scored hold-out rows and their metrics, made once for a session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _fitted:
+        trained = train()
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/fitted-{name}-{uuid.uuid4().hex}"
+        tables.save_model(trained.model, f"{path}/model")
+        trained.scored.write.parquet(f"{path}/scored")
+        trained.metrics.write.parquet(f"{path}/metrics")
+        _fitted[key] = path
+    return _fitted[key]
+
+
+def csat_forest(spark, sf) -> str:
+    return fitted(spark, sf, "csat", lambda: models.train_csat(_answers(spark, sf)))
+
+
+def _resolution_rows(spark, sf):
+    texts = ("ticket_id", "initial_message", "agent_first_reply", "resolution_time_hours")
+    return stage(tickets(spark, sf, texts=True), *texts, *models.RESOLUTION_CATEGORIES)
+
+
+def resolution_forest(spark, sf) -> str:
+    return fitted(spark, sf, "resolution", lambda: models.train_resolution(_resolution_rows(spark, sf)))
+
+
 @query("m05_csat_forest")
 def _(spark, sf):
-    return models.train_csat(_answers(spark, sf)).metrics
+    return spark.read.parquet(f"{csat_forest(spark, sf)}/metrics")
 
 
 @query("m06_resolution_forest")
 def _(spark, sf):
-    texts = ("ticket_id", "initial_message", "agent_first_reply", "resolution_time_hours")
-    rows = stage(tickets(spark, sf, texts=True), *texts, *models.RESOLUTION_CATEGORIES)
-    return models.train_resolution(rows).metrics
+    return spark.read.parquet(f"{resolution_forest(spark, sf)}/metrics")
+
+
+def _from_node_rows(spark: SparkSession, path: str, rows: DataFrame, settings: models.ForestSettings, scored: str = "") -> DataFrame:
+    """ticket_id of the hold-out rows, and whether joins with the stored nodes give the model's prediction."""
+    model = tables.load_model(f"{path}/model")
+    place = next(k for k, s in enumerate(model.stages) if isinstance(s, forest.ForestModel))
+    held = stage_table(PipelineModel(model.stages[:place]).transform(rows).select("ticket_id", "features"))
+    nodes = spark.read.schema(forest.NODES).parquet(f"{path}/model/stages/*_ForestModel_*/nodes")
+    told = forest.score_by_join(held, nodes, "ticket_id", "features", settings.trees, settings.depth)
+    scored = spark.read.parquet(scored or f"{path}/scored").select("ticket_id", F.col("prediction").alias("scored"))
+    return told.join(scored, "ticket_id").select("ticket_id", (F.abs(F.col("prediction") - F.col("scored")) < 1e-9).alias("agrees"))
+
+
+@query("m05_scored_from_rows")
+def _(spark, sf):
+    rows = sample.split_exact(aggregate.respondents(_answers(spark, sf)), "ticket_id", SEED).filter("is_test")
+    return _from_node_rows(spark, csat_forest(spark, sf), rows, models.CSAT)
+
+
+@query("m06_scored_from_rows")
+def _(spark, sf):
+    rows = aggregate.have(_resolution_rows(spark, sf), "resolution_time_hours")
+    rows = rows.withColumn("text", text.join_texts("initial_message", "agent_first_reply"))
+    rows = sample.split_exact(stage_table(rows), "ticket_id", SEED).filter("is_test")
+    path = resolution_forest(spark, sf)
+    hours = spark.read.parquet(f"{path}/scored")
+    # The model maps back to hours; the nodes hold logs of them.
+    hours.select("ticket_id", F.log1p("prediction").alias("prediction")).write.parquet(logs := scratch_path(spark, "logs"))
+    return _from_node_rows(spark, path, rows, models.RESOLUTION, logs)
+
+
+@query("a20_feature_importance")
+def _(spark, sf):
+    model = tables.load_model(f"{csat_forest(spark, sf)}/model")
+    return models.feature_importance(model, models.CSAT_CATEGORIES, table(spark, sf, "documents"))
 
 
 @query("m07_sentiment")
@@ -794,26 +859,49 @@ def _(spark, sf):
     return models.train_sentiment(models.sentiment_rows(rows), settings=ALL_ROWS).metrics
 
 
+def _quality(spark, sf) -> models.Trained:
+    """A classifier of the labelled documents."""
+    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return models.train_sentiment(models.sentiment_rows(labelled, "doc_id", "text", "quality"), "doc_id", ALL_ROWS)
+
+
 @query("m07_document_quality")
 def _(spark, sf):
-    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    rows = models.sentiment_rows(labelled, "doc_id", "text", "quality")
-    return models.train_sentiment(rows, "doc_id", ALL_ROWS).metrics
+    return _quality(spark, sf).metrics
+
+
+# A gradient this short is what the fit's tolerance leaves; a coefficient that is off shows far above it.
+SHORT = 1e-3
+
+
+@query("m07_quality_optimal")
+def _(spark, sf):
+    """Of each class the training rows, and whether the loss has no slope at the stored coefficients."""
+    trained = _quality(spark, sf)
+    rows = linear.coefficient_rows(trained.model, trained.scored)
+    slopes = linear.gradient(trained.fitted_on, "doc_id", "features", "label", "class_weight", rows, 1.0 / trained.n_train)
+    length = slopes.groupBy("class").agg(F.sqrt(F.sum(F.col("slope") * F.col("slope"))).alias("length"))
+    sizes = trained.fitted_on.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("n_train"))
+    return sizes.join(length, "class").select("class", "n_train", (F.col("length") < SHORT).alias("optimal"))
+
+
+def _every_document(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", text.normalise("text").alias("text"))
 
 
 @query("m09_fit_predict")
 def _(spark, sf):
-    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    trained = models.train_sentiment(models.sentiment_rows(labelled, "doc_id", "text", "quality"), "doc_id", ALL_ROWS)
-    every = table(spark, sf, "documents").select("doc_id", text.normalise("text").alias("text"))
-    return trained.model.transform(every).select("doc_id", "predicted")
+    return _quality(spark, sf).model.transform(_every_document(spark, sf)).select("doc_id", "predicted")
 
 
-@query("a20_feature_importance")
+@query("m09_scored_from_rows")
 def _(spark, sf):
-    rows = _answers(spark, sf)
-    trained = models.train_csat(rows)
-    return models.feature_importance(trained.model, models.CSAT_CATEGORIES, rows)
+    """Whether joins with the stored coefficients give each document the model's class."""
+    trained = _quality(spark, sf)
+    rows = linear.coefficient_rows(trained.model, trained.scored)
+    scored = stage_table(trained.model.transform(_every_document(spark, sf)).select("doc_id", "features", "predicted"))
+    told = linear.score_rows(scored, "doc_id", "features", rows).withColumnRenamed("predicted", "told")
+    return scored.join(told, "doc_id").select("doc_id", (F.col("predicted") == F.col("told")).alias("agrees"))
 
 
 # ---- replies -------------------------------------------------------------------------------------
