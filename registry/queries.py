@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -859,10 +860,10 @@ def _(spark, sf):
     return models.train_sentiment(models.sentiment_rows(rows), settings=ALL_ROWS).metrics
 
 
-def _quality(spark, sf) -> models.Trained:
+def _quality(spark, sf, settings: models.SentimentSettings = ALL_ROWS) -> models.Trained:
     """A classifier of the labelled documents."""
     labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return models.train_sentiment(models.sentiment_rows(labelled, "doc_id", "text", "quality"), "doc_id", ALL_ROWS)
+    return models.train_sentiment(models.sentiment_rows(labelled, "doc_id", "text", "quality"), "doc_id", settings)
 
 
 @query("m07_document_quality")
@@ -870,19 +871,22 @@ def _(spark, sf):
     return _quality(spark, sf).metrics
 
 
-# A gradient this short is what the fit's tolerance leaves; a coefficient that is off shows far above it.
-SHORT = 1e-3
+# At the optimum the slope of the loss and the pull of the penalty cancel. What is left may be this share of the pull.
+LEFT = 0.02
 
 
 @query("m07_quality_optimal")
 def _(spark, sf):
-    """Of each class the training rows, and whether the loss has no slope at the stored coefficients."""
-    trained = _quality(spark, sf)
+    """Of each class the training rows, and whether the loss has no slope at the stored coefficients of a fit that was run
+    until nothing moved."""
+    trained = _quality(spark, sf, replace(ALL_ROWS, iterations=2000, tolerance=1e-9))
     rows = linear.coefficient_rows(trained.model, trained.scored)
-    slopes = linear.gradient(trained.fitted_on, "doc_id", "features", "label", "class_weight", rows, 1.0 / trained.n_train)
+    penalty = 1.0 / trained.n_train
+    slopes = linear.gradient(trained.fitted_on, "doc_id", "features", "label", "class_weight", rows, penalty)
     length = slopes.groupBy("class").agg(F.sqrt(F.sum(F.col("slope") * F.col("slope"))).alias("length"))
+    pull = rows.filter(F.col("position") >= 0).groupBy("class").agg((F.sqrt(F.sum(F.col("weight") * F.col("weight"))) * penalty).alias("pull"))
     sizes = trained.fitted_on.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("n_train"))
-    return sizes.join(length, "class").select("class", "n_train", (F.col("length") < SHORT).alias("optimal"))
+    return sizes.join(length, "class").join(pull, "class").select("class", "n_train", (F.col("length") < LEFT * F.col("pull")).alias("optimal"))
 
 
 def _every_document(spark, sf) -> DataFrame:
