@@ -107,6 +107,22 @@ def test_nearest_examples_are_exact(block):
     assert index.nearest(np.array([], int), np.array([]), 7)[0].size == 0
 
 
+def test_postings_beyond_the_bounds_are_not_read():
+    """Examples of several topics with one common term: only blocks of the text's topic are read."""
+    vectors = []
+    for k in range(640):
+        w = np.array([0.2, 1.0, 0.5 + k % 3 / 10])
+        vectors.append((np.array([0, 1 + k // 64, 20 + k // 64]), w / np.sqrt(w @ w)))
+    index = toxicity.BlockMaxIndex(vectors, 40, 64)
+    names, _ = index.nearest(*vectors[130], 5)
+    assert set(names.tolist()) <= set(range(128, 192))
+    every = sum(int(index.begin[t + 1] - index.begin[t]) for t in vectors[130][0])
+    assert every == 640 + 64 + 64 and index.read < every
+    apart = toxicity.BlockMaxIndex(vectors, 40, 8)
+    apart.nearest(*vectors[130], 5)
+    assert apart.read < every / 4
+
+
 def test_uses_count_occurrences():
     texts = pa.array(["bad bad badly", None, "bad", "other bad"])
     text, base, term, head = toxicity.uses(texts)

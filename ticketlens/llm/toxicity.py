@@ -129,7 +129,7 @@ class BlockMaxIndex:
     """Postings of each term by example, and the largest weight of each term in each block of examples."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK) -> None:
-        self.block, self.size = block, len(vectors)
+        self.block, self.size, self.read = block, len(vectors), 0
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(self.size), [v[0].size for v in vectors])
@@ -141,30 +141,32 @@ class BlockMaxIndex:
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if place.size else np.zeros(0, np.int64)
         self.top_block = self.example[first] // block
         self.top = np.maximum.reduceat(self.weight, first) if first.size else self.weight
+        self.top_first, self.top_size = first, np.diff(np.append(first, place.size))
         self.top_begin = np.searchsorted(first, self.begin)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest positive similarity, and the similarities; the first among equals."""
+        """The k examples of the highest positive similarity, and the similarities; the first among equals.
+
+        Only postings of blocks whose bounds reach the k-th similarity are read; ``read`` counts them.
+        """
         blocks = self.size // self.block + 1
-        bound = np.zeros(blocks)
-        example, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-            part = slice(self.top_begin[t], self.top_begin[t + 1])
-            bound[self.top_block[part]] += w * self.top[part]
-            part = slice(self.begin[t], self.begin[t + 1])
-            example.append(self.example[part])
-            score.append(w * self.weight[part])
-        example, score = np.concatenate(example), np.concatenate(score)
-        block = example // self.block
+        sizes = self.top_begin[term + 1] - self.top_begin[term]
+        part = np.repeat(self.top_begin[term], sizes) + tx.spread(sizes)
+        w, block = np.repeat(weight, sizes), self.top_block[part]
+        bound = np.bincount(block, w * self.top[part], minlength=blocks)
         order = np.argsort(-bound, kind="stable")
         best, names = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, 4
+        at, step = 0, 1
         # Equal similarities of later blocks could have smaller numbers, so equal bounds are still scored.
         while at < blocks and bound[order[at]] > 0 and (best.size < k or bound[order[at]] >= best[-1] - 1e-12):
             chosen = np.zeros(blocks, bool)
-            chosen[order[at : at + step]] = True
-            mine = chosen[block]
-            scores = np.bincount(example[mine], score[mine], minlength=self.size)
+            some = order[at : at + step]
+            chosen[some[bound[some] >= best[-1] - 1e-12] if best.size == k else some] = True
+            mine = np.flatnonzero(chosen[block])
+            count = self.top_size[part[mine]]
+            posting = np.repeat(self.top_first[part[mine]], count) + tx.spread(count)
+            self.read += posting.size
+            scores = np.bincount(self.example[posting], np.repeat(w[mine], count) * self.weight[posting], minlength=self.size)
             hit = np.flatnonzero(scores > 0)
             best, names = np.concatenate([best, scores[hit]]), np.concatenate([names, hit])
             keep = np.lexsort((names, -np.round(best, 12)))[:k]
