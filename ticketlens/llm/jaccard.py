@@ -41,7 +41,7 @@ SUBRANGES = 3
 THIN, FURTHER = 85, 3
 SKETCH = [f"s{k}" for k in range(8)]
 # A text has several times as many bytes of signatures as its own, so that a bucket takes the less text.
-SIGNED = 3
+SIGNED = 2
 
 
 def band_of(size: int, similarity: int = SIMILARITY) -> int:
@@ -139,7 +139,11 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _signed(docs: DataFrame, size: int, similarity: int, buckets: int) -> DataFrame:
-    """Packed entries (signature, node), each node once in a slice."""
+    """Packed entries (lower half of a signature, node's a), each node once in a slice.
+
+    The upper half of a signature chooses the bucket. Signatures that agree in what is left only bring candidates together,
+    and so do nodes that agree in a: their pairs are verified by both halves of their fingerprints.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.drop_large()
         for whole in batches:
@@ -154,17 +158,17 @@ def _signed(docs: DataFrame, size: int, similarity: int, buckets: int) -> DataFr
                         band = band_of(own.size, similarity)
                         found.append(np.concatenate([signatures(own, sums, x, similarity) for x in (band, band + 1)]))
                 if found:
-                    a, b = (np.array([x[k] for x in order], np.int64) for k in (0, 1))
-                    owner = np.repeat(np.arange(len(found)), [f.size for f in found])
+                    a = np.array([x[0] for x in order], np.int64)
+                    owner = np.repeat(np.arange(len(found), dtype=np.int32), [f.size for f in found])
                     h = np.concatenate(found)
-                    yield ex.packed(ex.bucket_of(h, buckets), buckets, owner, [a, b], [h])
+                    yield ex.packed(ex.bucket_of(h, buckets), buckets, owner, [a], [h.astype(np.uint32)])
 
-    return docs.select("text").mapInArrow(run, ex.packed_schema(3))
+    return docs.select("text").mapInArrow(run, ex.packed_schema(2))
 
 
 def _groups(group: pa.Table) -> pa.Table:
     """Sets of nodes that share a signature: one row for each node of each group, with the group's first node."""
-    owner, keys, h = ex.owned(group, ["<i8", "<i8"], "<u8")
+    owner, (keys,), h = ex.owned(group, ["<i8"], "<u4")
     order = np.argsort(h)
     h = h[order]
     # Most signatures are of one node only, and go before anything is made for them.
@@ -172,33 +176,31 @@ def _groups(group: pa.Table) -> pa.Table:
     same = h[1:] == h[:-1]
     shared[1:] |= same
     shared[:-1] |= same
-    h, owner = h[shared], owner[order[shared]]
-    del order, shared, same
-    a, b = (k[owner] for k in keys)
-    order = np.lexsort((b, a, h))
-    a, b, h = a[order], b[order], h[order]
+    h, a = h[shared], keys[owner[order[shared]]]
+    del order, shared, same, owner
+    order = np.lexsort((a, h))
+    a, h = a[order], h[order]
     first = np.ones(h.size, bool)
     first[1:] = h[1:] != h[:-1]
     fresh = first.copy()
-    fresh[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b, first = a[fresh], b[fresh], first[fresh]
+    fresh[1:] |= a[1:] != a[:-1]
+    a, first = a[fresh], first[fresh]
     lead = np.flatnonzero(first)
     sizes = np.diff(np.append(lead, first.size))
     many = np.repeat(sizes > 1, sizes)
     # Groups with the same members are told once: their sum of mixed keys is the same.
-    key = np.add.reduceat(tx.joined(a.view(np.uint64), b.view(np.uint64)), lead) if lead.size else np.zeros(0, np.uint64)
+    key = np.add.reduceat(tx.mix(a.view(np.uint64)), lead) if lead.size else np.zeros(0, np.uint64)
     _, once = np.unique(key, return_index=True)
     new = np.zeros(lead.size, bool)
     new[once] = True
     many &= np.repeat(new, sizes)
     key, ends = np.repeat(key.view(np.int64), sizes), np.repeat(lead, sizes)
-    columns = {"g": key, "a": a, "b": b, "ha": a[ends], "hb": b[ends]}
-    out = pa.table({c: pa.array(x[many]) for c, x in columns.items()})
+    out = pa.table({c: pa.array(x[many]) for c, x in {"g": key, "a": a, "ha": a[ends]}.items()})
     tx.release()
     return out
 
 
-GROUPS = "g long, a long, b long, ha long, hb long"
+GROUPS = "g long, a long, ha long"
 PAIR = ["xa", "xb", "ya", "yb"]
 
 
@@ -232,7 +234,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, si
     nodes = stage_table(known.select("a", "b", "lead").join(nodes, ["a", "b"]))
     rows = docs.join(nodes.select(F.col("lead").alias("ident")).distinct(), "ident")
     sets = stage_table(_sets(rows, size).join(nodes, ["a", "b"]).dropDuplicates(["a", "b"]))
-    x, y = (sets.select(*[F.col(c).alias(s + c) for c in ("a", "b", "own")], F.col("lead").alias(s)) for s in "xy")
+    x, y = (sets.join(pairs.select(F.col(s + "a").alias("a"), F.col(s + "b").alias("b")).distinct(), ["a", "b"])
+            .select(*[F.col(c).alias(s + c) for c in ("a", "b", "own")], F.col("lead").alias(s)) for s in "xy")
     rows = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).select("x", "y", "xown", "yown")
     kind = known.schema["lead"].dataType.simpleString()
     return rows.mapInArrow(run, f"x {kind}, y {kind}")
@@ -258,7 +261,7 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     classes = stage_table(nodes.filter("n > 0 and ident is not null").groupBy("a", "b").agg(
         F.min("ident").alias("lead"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", *SKETCH)]
     ))
-    known = stage_table(classes.join(groups.select("a", "b").distinct(), ["a", "b"]))
+    known = stage_table(classes.join(groups.select("a").distinct(), "a"))
 
     def under(prefix: str, *more: str) -> DataFrame:
         """The known nodes with their columns under a prefix."""
@@ -269,17 +272,31 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
         apart = sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in SKETCH), F.lit(0))
         return sizes & (apart * (100 + similarity) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - similarity))
 
-    hub = (F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb"))
-    first = groups.filter(~hub).select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("ha").alias("ya"), F.col("hb").alias("yb")).distinct()
-    first = first.join(under("x"), ["xa", "xb"]).join(under("y"), ["ya", "yb"]).filter(possible("x", "y"))
-    linked = stage_table(_verified(stage_table(first.select(*PAIR)), own, known, size, similarity))
-    labels = stage_table(graph.components(linked))
-
-    # What is left: pairs of a group, without its first node, in different components.
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs (xa, ya) that link, as leads x and y."""
+        both = pairs.join(under("x"), "xa").join(under("y"), "ya").filter(possible("x", "y"))
+        return _verified(stage_table(both.select(*PAIR)), own, known, size, similarity)
+
+    def with_part(rows: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
+        """Rows of nodes' a with the smallest and the largest component of the nodes that have it."""
+        each = known.select("a", "lead").join(labels.select(F.col("x").alias("lead"), "y"), "lead", "left").select("a", F.coalesce("y", "lead").alias("part"))
+        each = each.groupBy(F.col("a").alias(prefix + "a")).agg(F.min("part").alias(prefix + "part"), F.max("part").alias(prefix + "last"))
+        return rows.join(each, prefix + "a")
+
+    # Each set is verified against the first set of one of its groups, that of the most groups. Most sets find their
+    # component so. What is left are the first sets that it is not yet linked to.
+    hubs = stage_table(groups.filter("a <> ha").groupBy(F.col("a").alias("xa"), F.col("ha").alias("ya")).agg(F.count("*").alias("n")))
+    best = hubs.groupBy("xa").agg(F.max(F.struct("n", "ya")).alias("_best")).select("xa", F.col("_best.ya").alias("ya"))
+    labels = stage_table(graph.components(stage_table(linked(best))))
+    rest = with_part(with_part(hubs.select("xa", "ya").join(best, ["xa", "ya"], "left_anti"), labels, "x"), labels, "y")
+    more = stage_table(linked(rest.filter("xpart <> ypart or xpart <> xlast or ypart <> ylast").select("xa", "ya")))
+    labels = stage_table(graph.components(labels.unionByName(more)))
+
+    # What is left: pairs of a group in different components.
+    members = stage_table(with_part(groups.select("g", "a"), labels))
+    mixed = members.groupBy("g").agg(F.min("part").alias("l"), F.max("last").alias("m")).filter("l < m").select("g")
     parts = known.join(labels.select(F.col("x").alias("lead"), "y"), "lead", "left").withColumn("part", F.coalesce("y", "lead")).select("a", "b", "n", *SKETCH, "part")
-    members = groups.filter(~hub).select("g", "a", "b").join(parts, ["a", "b"])
-    mixed = members.groupBy("g").agg(F.min("part").alias("l"), F.max("part").alias("m")).filter("l < m").select("g")
-    members = stage_table(members.join(mixed, "g"))
+    members = stage_table(members.select("g", "a").join(mixed, "g").join(parts, "a"))
     x, y = (members.select("g", *[F.col(c).alias(s + c) for c in ("a", "b", "n", *SKETCH, "part")]) for s in "xy")
     second = stage_table(x.join(y, "g").filter((F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
     late = stage_table(_verified(second, own, known, size, similarity))
