@@ -15,8 +15,8 @@ LEAST_LANGUAGE_SCORE = 0.5
 # Words of a shingle, and the similarity in hundredths from which documents are near duplicates; op6 has its own.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 80
-# Name of the column that tells rows apart; it does not clash with the tables' own.
-ROW = "_near_duplicates_row"
+# Names of the columns that tell rows apart; they do not clash with the tables' own.
+ROW, TEXT_HASH = "_near_duplicates_row", "_near_duplicates_text"
 
 
 def _changed(rows: DataFrame, docs: DataFrame, text) -> DataFrame:
@@ -39,7 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id but not the text are documents of their own, told apart by a hash of the text, and of a group the
     smallest id and hash stays. Rows that repeat both are one document.
     """
-    keyed = docs.filter("doc_id is not null").withColumn(ROW, F.struct("doc_id", F.xxhash64("text").alias("text")))
+    keyed = docs.filter("doc_id is not null").withColumn(TEXT_HASH, F.xxhash64("text"))
+    several = keyed.groupBy("doc_id").agg(F.min(TEXT_HASH).alias("least"), F.max(TEXT_HASH).alias("most")).filter("least <> most")
+    # Pairs of id and hash are twice as long as ids, so ids that are not shared by several texts stand for themselves.
+    keyed = keyed.withColumn(ROW, F.col("doc_id") if several.isEmpty() else F.struct("doc_id", TEXT_HASH))
     links = jaccard.link(keyed, ident=ROW, size=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
     first = links.filter(F.col(ROW) == F.col("component_id")).select(ROW).distinct()
     one = keyed.join(first, ROW, "left_semi").dropDuplicates([ROW])
