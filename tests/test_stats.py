@@ -204,3 +204,22 @@ print("p =", stats.anova(long).first().p_value)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "p = 0." in done.stdout, done.stderr[-2000:]
+
+
+def test_summaries_read_their_table_twice(spark):
+    """One pass for moments and sketch, one for the counts; ties and a group without values included."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f, k % 3, None if f == "none" else float((k * 37) % 101 // 2)) for f in ("a", "none") for k in range(600)]
+    df = spark.createDataFrame(rows, "factor string, level int, value double")
+    read = df.mapInArrow(counted, df.schema)
+    out = {(r["factor"], r["level"]): r for r in stats.level_summary(read).collect()}
+    assert seen.value == 2 * len(rows)
+    for level in range(3):
+        own = sorted(v for f, n, v in rows if (f, n) == ("a", level))
+        assert out["a", level]["median"] == (own[99] + own[100]) / 2 and out["a", level]["count"] == 200

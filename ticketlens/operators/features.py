@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ticketlens.functions.text import TOKEN_PATTERN, terms
@@ -64,16 +64,17 @@ def tfidf_rows(
 ) -> DataFrame:
     """TF-IDF as rows (key, term, weight) with unit length per document.
 
-    The vocabulary comes from ``fit_on`` (default: the same table).  Texts stay where they are: only the weights of
-    vocabulary terms meet by document, for its length.
+    The vocabulary comes from ``fit_on`` (default: the same table).  Each row makes its own vector, with its length, so that
+    nothing but the vocabulary's sums is shuffled.  Without a term in ``min_df`` documents there are no rows.
     """
-    fitted = vocabulary(df if fit_on is None else fit_on, text, max_features, min_df)
-    known = small_side(fitted.select("term", "idf"))
-    weighted = term_rows(df, key, text).join(known, "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("_w")
-    )
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("_w") / length).alias("weight"))
+    entries = _entries(df if fit_on is None else fit_on, text, max_features, min_df)
+    if not entries:
+        return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    vectors = apply_stages(df.select(key, text), _stages_of(entries, text, "_vector")).select(key, F.unwrap_udt("_vector").alias("_cells"))
+    cells = vectors.select(key, F.inline(F.arrays_zip(F.col("_cells.indices").alias("position"), F.col("_cells.values").alias("weight"))))
+    # At most max_features rows.
+    names = df.sparkSession.createDataFrame([(n, e["term"]) for n, e in enumerate(entries)], "position int, term string")
+    return cells.join(F.broadcast(names), "position").select(key, "term", "weight")
 
 
 def _terms_sql(text: str) -> str:
@@ -95,10 +96,19 @@ def text_stages(
     One pass gives vocabulary and idf together; both are model parameters of
     at most ``max_features`` entries and are therefore read to the driver.
     """
-    fitted = settle(vocabulary(train.withColumn(text, F.coalesce(text, F.lit(""))), text, max_features, min_df))
-    entries = fitted.orderBy(F.desc("total"), "term").limit(max_features).collect()
+    entries = _entries(train, text, max_features, min_df)
     if not entries:
         raise ValueError(f"no term of {text} is in at least {min_df} documents")
+    return _stages_of(entries, text, into)
+
+
+def _entries(train: DataFrame, text: str, max_features: int, min_df: int) -> list[Row]:
+    """The terms of the vocabulary in order, with their idf."""
+    fitted = settle(vocabulary(train.withColumn(text, F.coalesce(text, F.lit(""))), text, max_features, min_df))
+    return fitted.orderBy(F.desc("total"), "term").limit(max_features).collect()
+
+
+def _stages_of(entries: list[Row], text: str, into: str) -> list[Transformer]:
     counts = CountVectorizerModel.from_vocabulary([e["term"] for e in entries], "_terms", "_counts")
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense([e["idf"] for e in entries]), inputCol="_counts", outputCol="_scaled"

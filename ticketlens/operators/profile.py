@@ -71,14 +71,9 @@ def describe(
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "column", "value"
     )
-    basics = long.groupBy("column").agg(
-        F.count("value").cast("double").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = quantiles(long, "value", QUARTILES, ["column"], exact)
-    return basics.join(quartiles, "column", "left").select(
+    basics = {
+        "count": F.count("_v").cast("double"), "mean": F.avg("_v"), "std": F.stddev_samp("_v"), "min": F.min("_v"), "max": F.max("_v"),
+    }
+    return quantiles(long, "value", QUARTILES, ["column"], exact, also=basics).select(
         "column", "count", "mean", "std", "min", *[F.col(f"`{q}`") for q in QUARTILES], "max"
     )

@@ -24,43 +24,63 @@ def quantiles(
     exact: bool = True,
     accuracy: int = ACCURACY,
     band_rows: int = BAND_ROWS,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Quantiles with linear interpolation per group: the keys and one column per named level.
 
     Null values and null keys are left out.  ``exact=False`` gives the sketch
-    estimate.  The exact form uses the sketch only to cut each group into
-    bands, tight around the wanted ranks.  Bands are counted, and only rows in
-    a band that holds a wanted rank are looked at again.  A band of more than
-    ``band_rows`` distinct values is cut again, so no task orders a share of the
-    table.  A poor sketch would cost time but cannot change the result.
+    estimate.  The exact form reads the rows twice.  A sketch cuts each group
+    into bands, tight around the wanted ranks; its rank error is bounded, so
+    those ranks lie in the tight bands.  The second pass counts the bands, and
+    the distinct values of the tight ones.  A band of more than ``band_rows``
+    distinct values is cut again, so no task orders a share of the table.  If a
+    wanted rank lay outside the tight bands, the rows of its band would be read
+    once more: a poor sketch cannot change the result.
+
+    ``also`` names further aggregates of ``_v``, the value, that the first pass
+    makes; groups without any value are then in the result, without quantiles.
     """
     keys = list(keys)
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]])
-    rows = df.filter(present).select(*keys, F.col(value).cast("double").alias("_v"))
+    known = [F.col(c).isNotNull() for c in [*keys, *([] if also else [value])]]
+    rows = df.filter(reduce(lambda a, b: a & b, known, F.lit(True))).select(*keys, F.col(value).cast("double").alias("_v"))
+    more = [a.alias(name) for name, a in (also or {}).items()]
     if not exact:
         levels = F.array(*[F.lit(float(p)) for p in probs.values()])
         picks = F.percentile_approx("_v", levels, accuracy).alias("_q")
-        return rows.groupBy(*keys).agg(picks).select(
-            *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)]
+        return rows.groupBy(*keys).agg(picks, *more).select(
+            *keys, *(also or {}), *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)]
         )
 
     levels = _cut_levels(list(probs.values()), 3.0 / accuracy)
-    cuts = (
+    first = settle(
         rows.groupBy(*keys)
-        .agg(F.percentile_approx("_v", F.array(*[F.lit(x) for x in levels]), accuracy).alias("_c"))
-        .select(*keys, *[F.get("_c", F.lit(i)).alias(f"_c{i}") for i in range(len(levels))])
+        .agg(F.percentile_approx("_v", F.array(*[F.lit(x) for x in levels]), accuracy).alias("_c"), *more)
+        .select(*keys, *(also or {}), *[F.get("_c", F.lit(i)).alias(f"_c{i}") for i in range(len(levels))])
     )
+    cuts = first.select(*keys, *[f"_c{i}" for i in range(len(levels))])
     above = [F.when(F.col("_v") > F.col(f"_c{i}"), 1).otherwise(0) for i in range(len(levels))]
-    banded = attach(rows, cuts, keys).select(*keys, "_v", reduce(lambda a, b: a + b, above).alias("_band"))
-
-    bands = _with_ranks(banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_n")), keys, probs)
+    rows = rows.filter(F.col("_v").isNotNull())
+    # A wanted rank's value is at one of its two cuts or between them. Of a band, such values are the largest: they are a
+    # band of their own, with an odd number.
+    margin = 3.0 / accuracy
+    ends = [(levels.index(max(0.0, p - margin)), levels.index(min(1.0, p + margin))) for p in probs.values()]
+    tight = reduce(lambda a, b: a | b, [(F.col("_v") >= F.col(f"_c{i}")) & (F.col("_v") <= F.col(f"_c{j}")) for i, j in ends])
+    band = 2 * reduce(lambda a, b: a + b, above) + tight.cast("int")
+    banded = attach(rows, cuts, keys).select(*keys, "_v", band.alias("_band"))
+
+    own = F.when(F.col("_band") % 2 == 1, F.col("_v"))
+    counts = settle(banded.groupBy(*keys, "_band", own.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    bands = _with_ranks(counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_n")), keys, probs)
     ranks = [f"_r{i}_{end}" for i in range(len(probs)) for end in ("lo", "hi")]
     wanted = reduce(lambda a, b: a | b, [_holds(r) for r in ranks])
     bands = bands.filter(wanted)
 
     # Bands are cut again until one task can order the distinct values of any.
-    inside = banded.join(small_side(bands.drop("_n")), [*keys, "_band"])
-    counted = _distinct(inside, keys, ranks)
+    if bands.filter(F.col("_band") % 2 == 0).isEmpty():
+        told = counts.filter(F.col("_v").isNotNull()).join(small_side(bands.drop("_n")), [*keys, "_band"])
+        counted = settle(told.select(*keys, "_band", "_v", "_n", F.col("_before").alias("_start"), "_total", *ranks))
+    else:
+        counted = _distinct(banded.join(small_side(bands.drop("_n")), [*keys, "_band"]), keys, ranks)
     while True:
         largest = counted.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m")).first()[0] or 0
         if largest <= band_rows:
@@ -74,13 +94,20 @@ def quantiles(
         F.first("_total").alias("_total"),
         *[F.max(F.when(_holds(r), F.col("_v"))).alias(r) for r in ranks],
     )
-    return picked.select(
+    picked = picked.select(
         *keys,
         *[
             (F.col(f"_r{i}_lo") + (F.col(f"_r{i}_hi") - F.col(f"_r{i}_lo")) * _fraction(p)).alias(name)
             for i, (name, p) in enumerate(probs.items())
         ],
     )
+    if not also:
+        return picked
+    first = first.select(*keys, *also)
+    if keys:
+        return first.join(picked, keys, "left")
+    row = picked.select(F.struct(*probs).alias("row")).scalar()
+    return first.withColumns({name: row[name] for name in probs})
 
 
 def _distinct(inside: DataFrame, keys: Sequence[str], ranks: Sequence[str]) -> DataFrame:
@@ -129,7 +156,7 @@ def _holds(rank: str) -> Column:
 def _with_ranks(bands: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
     """Adds the rows before each band, the group total and the wanted ranks.
 
-    A group has one band more than cut levels, so these windows are short.
+    A group has at most two bands more than twice its cut levels, so these windows are short.
     """
     per_group = Window.partitionBy(*keys)
     running = per_group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)

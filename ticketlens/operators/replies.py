@@ -24,16 +24,16 @@ GeneratorLoader = Callable[[], Callable[[list[str]], list[str | None]]]
 
 
 def with_generated(df: DataFrame, prompt: str, load: GeneratorLoader, into: str = "generated") -> DataFrame:
-    """Adds the generator's reply to each prompt; ``load`` runs once per partition."""
+    """Adds the generator's reply to each prompt; ``load`` runs once per partition, and only prompts go to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         generate = load()
-        for batch in batches:
-            replies = pd.Series(generate(batch[prompt].tolist()), index=batch.index, dtype="object")
-            yield batch.assign(**{into: replies})
+        for prompts in batches:
+            yield pd.Series(generate(prompts.tolist()), index=prompts.index, dtype="object")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{fields}, `{into}` string")
+    # Not to be run again where the reply is used twice.
+    return df.withColumn(into, reply.asNondeterministic()(prompt))
 
 
 def reply_examples(

@@ -36,21 +36,14 @@ def by_factor(df: DataFrame, factors: Sequence[str], value: str) -> DataFrame:
 def level_summary(long: DataFrame, exact: bool = True) -> DataFrame:
     """Mean, median, sample deviation and count of each level of each factor."""
     keys = ["factor", "level"]
-    basics = long.groupBy(*keys).agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.count("value").alias("count"),
-    )
-    return basics.join(quantiles(long, "value", {"median": 0.5}, keys, exact), keys).select(
-        *keys, "mean", "median", "std", "count"
-    )
+    basics = {"mean": F.avg("_v"), "std": F.stddev_samp("_v"), "count": F.count("_v")}
+    return quantiles(long, "value", {"median": 0.5}, keys, exact, also=basics).select(*keys, "mean", "median", "std", "count")
 
 
 def overall_summary(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
     """Count, mean and median of a column, as one row."""
-    rows = df.select(F.col(value).cast("double").alias("value"))
-    median = quantiles(rows, "value", {"median": 0.5}, exact=exact).scalar()
-    return rows.agg(F.count("value").alias("n"), F.avg("value").alias("mean")).withColumn("median", median)
+    basics = {"n": F.count("_v"), "mean": F.avg("_v")}
+    return quantiles(df, value, {"median": 0.5}, exact=exact, also=basics).select("n", "mean", "median")
 
 
 def box_stats(long: DataFrame, exact: bool = True) -> DataFrame:
