@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm import exchange as ex
 from ticketlens.llm import graph
 from ticketlens.llm import textops as tx
-from ticketlens.session import stage_table
+from ticketlens.session import small_side, stage_table
 
 SHINGLE = 3
 # Similarity in hundredths: linked when 100 * intersection >= SIMILARITY * union.
@@ -204,16 +204,23 @@ GROUPS = "g long, a long, ha long"
 PAIR = ["xa", "xb", "ya", "yb"]
 
 
+def _wide_sketch(own: np.ndarray) -> list[int]:
+    """As ``_sketch``, with the parities of 2,048 parts of the domain."""
+    parity = np.bincount((tx.mix(own, 1) >> np.uint64(53)).astype(np.int64), minlength=2048).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64).tolist()
+
+
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """For each row its set's fingerprint and sorted elements as bytes."""
+    """For each row its set's fingerprint, size, wide sketch and sorted elements as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.slices(whole, "text"):
-                found = [(*_fingerprint(own)[:2], own.tobytes()) for own in shingle_sets(batch, size)]
-                columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([*columns], ["a", "b", "own"])
+                found = [(*_fingerprint(own)[:2], own.size, _wide_sketch(own), own.tobytes()) for own in shingle_sets(batch, size)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*columns], ["a", "b", "n", "wide", "own"])
 
-    return rows.select("text").mapInArrow(run, "a long, b long, own binary")
+    return rows.select("text").mapInArrow(run, "a long, b long, n long, wide array<long>, own binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, similarity: int) -> DataFrame:
@@ -234,9 +241,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, si
     nodes = stage_table(known.select("a", "b", "lead").join(nodes, ["a", "b"]))
     rows = docs.join(nodes.select(F.col("lead").alias("ident")).distinct(), "ident")
     sets = stage_table(_sets(rows, size).join(nodes, ["a", "b"]).dropDuplicates(["a", "b"]))
-    x, y = (sets.join(pairs.select(F.col(s + "a").alias("a"), F.col(s + "b").alias("b")).distinct(), ["a", "b"])
-            .select(*[F.col(c).alias(s + c) for c in ("a", "b", "own")], F.col("lead").alias(s)) for s in "xy")
-    rows = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).select("x", "y", "xown", "yown")
+    def side(rows: DataFrame, prefix: str, *columns: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(prefix + c) for c in ("a", "b", *columns)])
+
+    # A wide sketch is a twelfth of a set of 400 elements, and leaves few pairs that are not similar.
+    both = pairs.join(side(sets, "x", "n", "wide"), ["xa", "xb"]).join(side(sets, "y", "n", "wide"), ["ya", "yb"])
+    apart = F.aggregate(F.zip_with("xwide", "ywide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    pairs = stage_table(both.filter(apart * (100 + similarity) <= (F.col("xn") + F.col("yn")) * (100 - similarity)).select(*PAIR))
+    x, y = (side(sets.join(small_side(pairs.select(F.col(s + "a").alias("a"), F.col(s + "b").alias("b")).distinct()), ["a", "b"]), s, "own", "lead") for s in "xy")
+    rows = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).select(F.col("xlead").alias("x"), F.col("ylead").alias("y"), "xown", "yown")
     kind = known.schema["lead"].dataType.simpleString()
     return rows.mapInArrow(run, f"x {kind}, y {kind}")
 
