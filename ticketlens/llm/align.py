@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
-from typing import Any
 
 import numpy as np
 import pandas as pd
