@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from threading import get_ident
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,8 @@ BROADCAST_BYTES = 8 << 20
 # Most empty rows that come to the driver to be counted there.
 COUNTED_ROWS = 10_000
 
-# Paths of the tables written next to the checkpoints, for clear_scratch.
-_written: list[str] = []
+# Paths of the tables written next to the checkpoints, and the threads that wrote them, for clear_scratch.
+_written: dict[str, int] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -36,20 +38,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path next to the checkpoints, on the shared folder."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written[path] = get_ident()
     return path
 
 
-def clear_scratch() -> None:
-    """Deletes the scratch tables of this process.  For when all results that read them are written."""
-    while _written:
-        path = _written.pop()
-        if "://" in path:
-            system, folder = fs.FileSystem.from_uri(path)
-        else:
-            system, folder = fs.LocalFileSystem(), path.removeprefix("file:")
-        if system.get_file_info(folder).type == fs.FileType.Directory:
-            system.delete_dir(folder)
+def scratch_tables() -> frozenset[str]:
+    """The scratch tables there are."""
+    return frozenset(_written)
+
+
+def clear_scratch(before: frozenset[str] | None = None, keep: DataFrame | None = None) -> None:
+    """Deletes the scratch tables of this process.  For when all results that read them are written.
+
+    With ``before``, only those that this thread has written since ``scratch_tables()`` gave it, but for ``keep``.
+    """
+    spared = (before or frozenset()) | {getattr(keep, "scratch", "")}
+    for path in [p for p, thread in list(_written.items()) if p not in spared and (before is None or thread == get_ident())]:
+        del _written[path]
+        try:
+            if "://" in path:
+                system, folder = fs.FileSystem.from_uri(path)
+            else:
+                system, folder = fs.LocalFileSystem(), path.removeprefix("file:")
+            if system.get_file_info(folder).type == fs.FileType.Directory:
+                system.delete_dir(folder)
+        except (ValueError, NotImplementedError, OSError) as error:
+            print(f"{path} stays: {error}", file=sys.stderr)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -66,7 +80,9 @@ def stage_table(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
