@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm import exchange as ex
 from ticketlens.llm import graph
 from ticketlens.llm import textops as tx
-from ticketlens.session import small_side, stage_table
+from ticketlens.session import clear_scratch, scratch_tables, small_side, stage_table
 
 SHINGLE = 3
 # Similarity in hundredths: linked when 100 * intersection >= SIMILARITY * union.
@@ -224,7 +224,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, similarity: int) -> DataFrame:
-    """Those of the distinct pairs (xa, xb, ya, yb) that are similar enough, as pairs of ids x and y.
+    """Those of the distinct pairs (xa, xb, ya, yb) that are similar enough, as pairs of ids x and y; written.
 
     Only texts of nodes in a pair are read again, one row's text for each node.
     """
@@ -237,6 +237,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, si
                 keep.append(100 * common >= similarity * (both.size - common))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    since = scratch_tables()
     nodes = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
     nodes = stage_table(known.select("a", "b", "lead").join(nodes, ["a", "b"]))
     rows = docs.join(nodes.select(F.col("lead").alias("ident")).distinct(), "ident")
@@ -251,7 +252,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, si
     x, y = (side(sets.join(small_side(pairs.select(F.col(s + "a").alias("a"), F.col(s + "b").alias("b")).distinct()), ["a", "b"]), s, "own", "lead") for s in "xy")
     rows = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).select(F.col("xlead").alias("x"), F.col("ylead").alias("y"), "xown", "yown")
     kind = known.schema["lead"].dataType.simpleString()
-    return rows.mapInArrow(run, f"x {kind}, y {kind}")
+    out = stage_table(rows.mapInArrow(run, f"x {kind}, y {kind}"))
+    clear_scratch(since, out)
+    return out
 
 
 def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -266,14 +269,16 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     own = docs.select(F.col(ident).alias("ident"), F.col(text).cast("string").alias("text"))
     some = own.filter("ident is not null")
     nodes = stage_table(_nodes(own, size))
+    classes = stage_table(nodes.filter("n > 0 and ident is not null").groupBy("a", "b").agg(
+        F.min("ident").alias("lead"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", *SKETCH)]
+    ))
+    # What is written from here on goes when the components are found.
+    since = scratch_tables()
     buckets = SIGNED * ex.bucket_count(own, "text")
     groups = stage_table(_signed(some, size, similarity, buckets).groupBy("bucket").applyInArrow(_groups, GROUPS).distinct())
 
     # Nodes that share a signature, each with one row of its documents. What is joined by a key that very many rows
     # have is staged, so that both sides are plain exchanges and the key can be split.
-    classes = stage_table(nodes.filter("n > 0 and ident is not null").groupBy("a", "b").agg(
-        F.min("ident").alias("lead"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", *SKETCH)]
-    ))
     known = stage_table(classes.join(groups.select("a").distinct(), "a"))
 
     def under(prefix: str, *more: str) -> DataFrame:
@@ -300,9 +305,9 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     # component so. What is left are the first sets that it is not yet linked to.
     hubs = stage_table(groups.filter("a <> ha").groupBy(F.col("a").alias("xa"), F.col("ha").alias("ya")).agg(F.count("*").alias("n")))
     best = hubs.groupBy("xa").agg(F.max(F.struct("n", "ya")).alias("_best")).select("xa", F.col("_best.ya").alias("ya"))
-    labels = stage_table(graph.components(stage_table(linked(best))))
+    labels = stage_table(graph.components(linked(best)))
     rest = with_part(with_part(hubs.select("xa", "ya").join(best, ["xa", "ya"], "left_anti"), labels, "x"), labels, "y")
-    more = stage_table(linked(rest.filter("xpart <> ypart or xpart <> xlast or ypart <> ylast").select("xa", "ya")))
+    more = linked(rest.filter("xpart <> ypart or xpart <> xlast or ypart <> ylast").select("xa", "ya"))
     labels = stage_table(graph.components(labels.unionByName(more)))
 
     # What is left: pairs of a group in different components.
@@ -312,9 +317,10 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     members = stage_table(members.select("g", "a").join(mixed, "g").join(parts, "a"))
     x, y = (members.select("g", *[F.col(c).alias(s + c) for c in ("a", "b", "n", *SKETCH, "part")]) for s in "xy")
     second = stage_table(x.join(y, "g").filter((F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
-    late = stage_table(_verified(second, own, known, size, similarity))
+    late = _verified(second, own, known, size, similarity)
     if not late.isEmpty():
         labels = stage_table(graph.components(labels.unionByName(late)))
+    clear_scratch(since, labels)
 
     classes = classes.select("a", "b", "lead", "copies")
     rows = nodes.join(classes, ["a", "b"], "left").join(labels.select(F.col("x").alias("lead"), F.col("y").alias("least")), "lead", "left")
