@@ -98,6 +98,28 @@ def test_density_equals_brute_force(spark):
     assert scaled.density.to_numpy() == pytest.approx(brute_density(values, 200) * factor, abs=1e-9)
 
 
+def test_density_error_is_within_its_bound(spark):
+    """Values at the edges and centres of boxes, far out and repeated: no point is off by more than the bound."""
+    assert stats.kernel_error() < 1e-13
+    rng = np.random.default_rng(16)
+    values = np.concatenate([rng.normal(0, 1, 4000), np.repeat(rng.normal(0, 1, 5), 200), [-30.0, 45.0]])
+    width = values.std(ddof=1) * len(values) ** -0.2
+    values = np.concatenate([values, values.min() + width / 2 * np.arange(40), values.min() + width / 4 * np.arange(40)])
+    width = values.std(ddof=1) * len(values) ** -0.2
+    got = stats.density(frame(spark, values), "v").toPandas().sort_values("point").density.to_numpy()
+    peak = 1 / (width * math.sqrt(2 * math.pi))
+    assert np.abs(got - brute_density(values, 200)).max() < 1e-9 * peak and (got >= 0).all()
+
+
+def test_density_makes_no_row_per_value_and_point(spark, capsys):
+    """Values are summed into boxes first: the only rows made are those of boxes and of the grid."""
+    stats.density(frame(spark, [float(x) for x in range(50)], ["a", "b"] * 25), "v", ["g"]).explain()
+    plan = capsys.readouterr().out
+    boxes = next(k for k, line in enumerate(plan.splitlines()) if "Generate explode(sequence(greatest" in line)
+    below = plan.splitlines()[boxes + 1:]
+    assert any("HashAggregate" in line and "_box" in line for line in below)
+
+
 def test_density_of_one_value_is_null(spark):
     assert stats.density(frame(spark, [1.0, 1.0]), "v").filter("x = 1 and density is null").count() == 200
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import exp, factorial, sqrt
 
-from pyspark.sql import DataFrame
+from numpy.polynomial.hermite import herm2poly
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.distribution import f_p_value
@@ -19,8 +21,10 @@ WHISKER = 1.5
 DENSITY_GRID = 200
 VIOLIN_GRID = 100
 HISTOGRAM_BINS = 40
-# exp(-u*u/2) is exactly zero in double precision beyond this distance.
-KERNEL_REACH = 39.0
+# Boxes of a density, in bandwidths: half their width, and how far from its centre a box counts.
+BOX_RADIUS, BOX_REACH = 0.25, 9.0
+# Moments of a box; ``kernel_error`` says what the rest amounts to.
+BOX_MOMENTS = 14
 
 
 def by_factor(df: DataFrame, factors: Sequence[str], value: str) -> DataFrame:
@@ -123,6 +127,30 @@ def anova(long: DataFrame, min_rows: int = MIN_GROUP_ROWS, alpha: float = SIGNIF
     )
 
 
+def kernel_error(radius: float = BOX_RADIUS, moments: int = BOX_MOMENTS, reach: float = BOX_REACH) -> float:
+    """Most by which one value's kernel, 1 at its peak, is misjudged when its box stands for it.
+
+    The kernel is a series of Hermite functions in the value's distance from the centre; by Cramer's inequality its n-th
+    term is at most 1.09 radius^n / sqrt(n!).  A point beyond the reach loses what the kernel has there.
+    """
+    tail = sum(1.09 * radius**n / sqrt(factorial(n)) for n in range(moments, moments + 40))
+    beyond = exp(-((reach - radius) ** 2) / 2)
+    return tail + beyond
+
+
+def _from_moments(moments: Sequence[str], at: Column) -> Column:
+    """The sum of a box's kernels at a point: the Hermite series, ordered by powers of the distance."""
+    series = [herm2poly([0] * n + [1]) for n in range(len(moments))]
+    total = F.lit(0.0)
+    for power in reversed(range(len(moments))):
+        terms = [F.lit(float(c[power])) * F.col(m) for m, c in zip(moments, series) if len(c) > power and c[power]]
+        coefficient = terms[0]
+        for term in terms[1:]:
+            coefficient = coefficient + term
+        total = total * at + coefficient
+    return total * F.exp(-at * at)
+
+
 def density(
     df: DataFrame, value: str, keys: Sequence[str] = (), grid: int = DENSITY_GRID,
     bins: int | None = None,
@@ -131,9 +159,10 @@ def density(
 
     The bandwidth is the sample deviation times n to the power -1/5.  With
     ``bins`` the density is scaled to the counts of a histogram of so many
-    bins.  Equal values are counted first.  A value is added only to the grid
-    points its kernel reaches, beyond which the kernel is exactly zero: with
-    more rows the kernels get narrower and each value meets fewer points.
+    bins.  Values are gathered in boxes of half a bandwidth (a fast Gauss
+    transform): each adds to a few moments of its box before the shuffle, and
+    only boxes meet the grid points.  A kernel is off by less than
+    ``kernel_error()``, about 1e-14 of its peak, and no density is negative.
     A group without spread has no density: its grid is one value, with null.
     """
     keys = list(keys)
@@ -150,22 +179,32 @@ def density(
         ((F.col("_hi") - F.col("_lo")) / (grid - 1)).alias("_step"),
     ))
 
-    repeated = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    reach = F.lit(KERNEL_REACH) * F.col("_bw")
-    first = F.greatest(F.floor((F.col("_v") - reach - F.col("_lo")) / F.col("_step")), F.lit(0))
-    last = F.least(F.ceil((F.col("_v") + reach - F.col("_lo")) / F.col("_step")), F.lit(grid - 1))
-    spread = attach(repeated, shape, keys).filter("_bw is not null").withColumn("point", F.explode(F.sequence(first, last)))
-    distance = (F.col("_lo") + F.col("point") * F.col("_step") - F.col("_v")) / F.col("_bw")
-    sums = spread.groupBy(*keys, "point").agg(
-        F.sum(F.col("_c") * F.exp(-distance * distance / 2)).alias("_sum")
-    )
+    width, unit = 2 * BOX_RADIUS * F.col("_bw"), sqrt(2) * F.col("_bw")
+    centre = F.col("_lo") + (F.col("_box") + 0.5) * width
+    placed = attach(rows, shape, keys).filter("_bw is not null")
+    placed = placed.withColumn("_box", F.floor((F.col("_v") - F.col("_lo")) / width))
+    placed = placed.withColumn("_s", (F.col("_v") - centre) / unit)
+    moments, power = [f"_m{n}" for n in range(BOX_MOMENTS)], F.lit(1.0)
+    sums = []
+    for n, name in enumerate(moments):
+        sums.append((F.sum(power) / float(factorial(n))).alias(name))
+        power = power * F.col("_s")
+    boxes = placed.groupBy(*keys, "_lo", "_bw", "_step", "_box").agg(*sums).withColumn("_centre", centre)
+
+    reach = BOX_REACH * F.col("_bw")
+    first = F.greatest(F.floor((F.col("_centre") - reach - F.col("_lo")) / F.col("_step")), F.lit(0))
+    last = F.least(F.ceil((F.col("_centre") + reach - F.col("_lo")) / F.col("_step")), F.lit(grid - 1))
+    met = boxes.withColumn("point", F.explode(F.sequence(first, last)))
+    met = met.withColumn("_t", (F.col("_lo") + F.col("point") * F.col("_step") - F.col("_centre")) / unit)
+    sums = met.groupBy(*keys, "point").agg(F.sum(_from_moments(moments, F.col("_t"))).alias("_sum"))
     # Every group has every grid point, also where no kernel reaches.
     points = shape.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
     scale = F.lit(1.0) if bins is None else F.col("_n") * (F.col("_hi") - F.col("_lo")) / bins
     norm = F.col("_n") * F.col("_bw") * F.sqrt(2 * F.pi())
+    total = F.greatest(F.coalesce("_sum", F.lit(0.0)), F.lit(0.0))
     return points.join(sums, [*keys, "point"], "left").select(
         *keys,
         "point",
         (F.col("_lo") + F.col("point") * F.col("_step")).alias("x"),
-        (F.coalesce("_sum", F.lit(0.0)) / norm * scale).alias("density"),
+        (total / norm * scale).alias("density"),
     )
