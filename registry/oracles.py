@@ -415,6 +415,7 @@ ORACLES: dict[str, str] = {
     "j05_orphan_keys": f"WITH {clean()}, {CUST} SELECT DISTINCT customer_id FROM clean WHERE customer_id IS NOT NULL "
                        "AND customer_id NOT IN (SELECT customer_id FROM cust)",
     "d01_drop_exact": f"WITH src AS ({FULL}) SELECT DISTINCT {', '.join(TICKET_COLUMNS)} FROM src",
+    "d01_drop_exact_in_place": "SELECT DISTINCT source, lang, n_chars, text FROM documents",
     "d01_exact_copies": f"WITH src AS ({FULL}), u AS (SELECT DISTINCT {', '.join(TICKET_COLUMNS)} FROM src) "
                         "SELECT (SELECT count(*) FROM src) AS rows_before, count(*) AS rows_after, "
                         "(SELECT count(*) FROM src) - count(*) AS rows_dropped FROM u",

@@ -441,6 +441,12 @@ def _(spark, sf):
     return dedupe.drop_exact(raw(spark, sf, texts=True).select(*TICKET_COLUMNS))
 
 
+@query("d01_drop_exact_in_place")
+def _(spark, sf):
+    """Documents told apart by all but their id: texts that occur once are not moved."""
+    return dedupe.drop_exact_in_place(table(spark, sf, "documents").drop("doc_id"))
+
+
 @query("d01_exact_copies")
 def _(spark, sf):
     return dedupe.exact_copies(raw(spark, sf, texts=True).select(*TICKET_COLUMNS))

@@ -171,3 +171,38 @@ def test_key_coverage(spark):
     right = spark.createDataFrame([("1",), ("2",), ("2",), (None,)], "k string")
     assert tuple(join.key_coverage(left, right, "k").first()) == (3, 2, 1)
     assert [r.k for r in join.orphans(left, right, "k").collect()] == ["9"]
+
+
+ODD_ROWS = [("a", 1, 0.0), ("a", 1, -0.0), (None, 1, None), (None, 1, None), ("", None, float("nan")), ("", None, float("nan")),
+            ("long " * 20_000, 2, 1.0), ("long " * 20_000, 2, 1.0), ("once", 3, 2.0)]
+
+
+@pytest.mark.parametrize("bits", [16, 1])
+def test_rows_that_repeat_are_dropped_in_place(spark, bits):
+    """Few bits force false positives: most rows are then compared whole, and the result stays."""
+    rows = ODD_ROWS + [(f"t{k}", k, k / 7) for k in range(3000)] + [(f"t{k}", k, k / 7) for k in range(0, 3000, 3)] * 2
+    df = spark.createDataFrame(rows, "text string, n long, v double").repartition(7)
+    got = dedupe.drop_exact_in_place(df, filter_bits=bits)
+    assert got.columns == df.columns and got.count() == df.distinct().count() == 3005
+    assert got.exceptAll(df.distinct()).isEmpty() and df.distinct().exceptAll(got).isEmpty()
+
+
+def test_drop_in_place_edges(spark):
+    empty = spark.createDataFrame([], "a string")
+    assert dedupe.drop_exact_in_place(empty).isEmpty()
+    df = spark.range(2000).selectExpr("id % 1000 AS id", "'x' AS `odd name`")
+    # A filter with too few bytes for the repeated rows: all rows are compared.
+    assert dedupe.drop_exact_in_place(df, filter_bytes=8).count() == 1000
+    assert dedupe.drop_exact_in_place(df.distinct()).count() == 1000
+
+
+def test_rows_that_occur_once_are_in_no_exchange(spark, capsys):
+    """One side of the union is only a filter of the table; the exchange is on the other."""
+    df = spark.createDataFrame([(f"row {k}",) for k in range(5000)] + [("twice",)] * 2, "text string")
+    got = dedupe.drop_exact_in_place(df)
+    got.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    assert "Union" in plan and plan.count("Exchange hashpartitioning(text") == 1
+    once, inside = plan.split("Union", 1)[1].split("HashAggregate", 1)
+    assert "Exchange" not in once and "Filter (" in once and "Exchange hashpartitioning(text" in inside
+    assert got.count() == 5001

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.session import settle
+
+# The filter of repeated rows: bits for each repeated hash, fewest of them, bits set by each, and most bytes of the filter.
+FILTER_BITS, FEWEST_BITS, PROBES, FILTER_BYTES = 16, 4, 4, 8 << 20
+_A, _B = "_row_hash_a", "_row_hash_b"
+
 
 def drop_exact(df: DataFrame) -> DataFrame:
     """One row per distinct row; nulls count as equal.
@@ -15,6 +21,59 @@ def drop_exact(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def drop_exact_in_place(df: DataFrame, filter_bytes: int = FILTER_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """One row per distinct row, as ``drop_exact`` gives, without moving the rows that occur once.
+
+    Only 128-bit hashes of rows are shuffled to find those that repeat, and a
+    Bloom filter of these, sized from their counted number and bounded by
+    ``filter_bytes``, goes to every task.  Rows outside it occur once and stay
+    where they are; rows inside are compared whole, so that neither a false
+    positive nor a collision of hashes changes the result.  With so many
+    repeated rows that the filter would tell little, all rows are compared.
+
+    For tables of long rows: three reads of the table take the place of a
+    shuffle of it, so it must give the same rows each time (a stored table).
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashes = df.select(F.xxhash64(F.lit(0), *columns).alias(_A), F.xxhash64(F.lit(1), *columns).alias(_B))
+    repeated = settle(hashes.groupBy(_A, _B).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(_A, _B))
+    several = repeated.count()
+    if not several:
+        return df
+    words = min(-(-several * filter_bits // 64), filter_bytes // 8)
+    if words * 64 < several * min(FEWEST_BITS, filter_bits):
+        return drop_exact(df)
+    slots = _slots(words * 64)
+    bits = _filter_of(repeated.select(F.explode(F.array(*slots)).alias("_slot")), words).scalar()
+    inside = F.lit(True)
+    for slot in slots:
+        inside = inside & (F.get(bits, F.shiftright(slot, 6).cast("int")).bitwiseAND(_bit(slot)) != 0)
+    marked = df.withColumns({_A: F.xxhash64(F.lit(0), *columns), _B: F.xxhash64(F.lit(1), *columns)})
+    once = marked.filter(~inside).select(*columns)
+    return once.unionByName(drop_exact(marked.filter(inside).select(*columns)))
+
+
+def _slots(bits: int) -> list[Column]:
+    """The bits of the filter that a row's hashes set; halves of 31 bits keep the sums in range."""
+    start, stride = F.shiftrightunsigned(_A, 33), F.col(_B).bitwiseAND(F.lit((1 << 31) - 1))
+    return [F.pmod(start + k * stride, F.lit(bits)) for k in range(PROBES)]
+
+
+def _bit(slot: Column) -> Column:
+    """The word with only the slot's bit set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _filter_of(slots: DataFrame, words: int) -> DataFrame:
+    """One row with the filter's words in order; words without a slot are zero."""
+    slot = F.col("_slot")
+    used = slots.select(F.shiftright(slot, 6).cast("long").alias("_word"), _bit(slot).alias("_mask"))
+    every = slots.sparkSession.range(words).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_mask"))
+    filled = used.unionByName(every).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    row = F.array_sort(F.collect_list(F.struct("_word", "_mask")))
+    return settle(filled.agg(F.transform(row, lambda x: x["_mask"]).alias("_bits")))
+
+
 def exact_copies(df: DataFrame) -> DataFrame:
     """Row count, distinct row count and removed copies, as one row."""
     per_row = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
