@@ -340,6 +340,7 @@ ORACLES: dict[str, str] = {
     "s06_metric_rows": f"{METRICS} SELECT stage, metric, grp, round(value, 6) AS value FROM m",
     "s03_required_columns": "SELECT * FROM customer",
     "s05_write_table": C + f"SELECT {', '.join(PLAIN_COLUMNS)} FROM clean",
+    "s05_replace_table": C + f"SELECT {', '.join(PLAIN_COLUMNS)} FROM clean WHERE resolution_time_hours IS NOT NULL",
     "f07_enough_rows": C + "SELECT n AS needed, (SELECT count(*) FROM clean WHERE csat_score > 0) >= n AS enough "
                            "FROM unnest([1::BIGINT, 200, 1000000000]) AS t(n)",
     "s07_metrics_by_stage": f"""{METRICS} SELECT metric, grp, round(max(value) FILTER (stage = 'quality'), 6) AS quality,
@@ -454,6 +455,9 @@ ORACLES: dict[str, str] = {
                               "count(*) FILTER (priority = 'high') AS high, "
                               "count(*) FILTER (priority NOT IN ('urgent', 'high')) AS other "
                               "FROM clean WHERE priority IS NOT NULL GROUP BY 1",
+    "a06_cross_tab_cells": C + f", n AS (SELECT {MONTH} AS month, priority, count(*) AS n FROM clean "
+                              "WHERE priority IS NOT NULL GROUP BY 1, 2) SELECT month, '{' || string_agg("
+                              "'\"' || priority || '\":' || n, ',' ORDER BY priority) || '}' AS cells FROM n GROUP BY 1",
     "a07_value_counts": C + "SELECT customer_sentiment, count(*) AS n FROM clean WHERE customer_sentiment IS NOT NULL "
                             "GROUP BY 1 ORDER BY n DESC, 1",
     "a08_sla_rate": C + f"SELECT customer_segment, {SEGMENT_RATE} FROM clean WHERE resolution_time_hours IS NOT NULL "
@@ -482,6 +486,9 @@ ORACLES: dict[str, str] = {
                                  + " FROM pred) SELECT label, "
                                  + ", ".join(f"count(*) FILTER (p = '{x}') AS \"{x}\"" for x in ("negative", "positive", "(other)"))
                                  + " FROM two GROUP BY label",
+    "a17_confusion_cells": f"WITH {clean()}, {PREDICTED}, n AS (SELECT customer_sentiment AS label, predicted, count(*) AS n "
+                           "FROM pred GROUP BY 1, 2) SELECT label, '{' || string_agg('\"' || predicted || '\":' || n, ',' "
+                           "ORDER BY predicted) || '}' AS cells FROM n GROUP BY 1",
     "a18_classification_report": REPORT,
     "a19_regression_errors": C + ", e AS (SELECT resolution_time_hours AS y, resolution_time_hours * 0.9::DOUBLE + k % 7 AS p "
                                  "FROM clean WHERE resolution_time_hours IS NOT NULL) "

@@ -23,7 +23,7 @@ from ticketlens.operators import (
 from ticketlens.plans import stages
 from ticketlens.plans.binding import PLAIN_COLUMNS, TICKET_COLUMNS, raw_customers, raw_tickets, table
 from ticketlens.session import ensure_checkpoint_dir, scratch_path, spread, stage_table
-from ticketlens.sources import metrics, tables
+from ticketlens.sources import metrics, tables, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,6 +159,15 @@ def _(spark, sf):
     return tables.write_table(tickets(spark, sf).select(*PLAIN_COLUMNS), scratch_path(spark, "written"))
 
 
+@query("s05_replace_table")
+def _(spark, sf):
+    """Tickets written, then replaced by those of them that are closed, read through the log of versions."""
+    path = scratch_path(spark, "versions")
+    first = versions.replace_table(tickets(spark, sf).select(*PLAIN_COLUMNS), path)
+    versions.replace_table(first.filter("resolution_time_hours is not null"), path)
+    return versions.read_current(spark, path)
+
+
 @query("s08_model_round_trip")
 def _(spark, sf):
     """Category vectors of a pipeline that was saved and loaded again."""
@@ -563,6 +572,13 @@ def _(spark, sf):
     return aggregate.cross_tab(dated(spark, sf), "month", "priority", ["urgent", "high"])
 
 
+@query("a06_cross_tab_cells")
+def _(spark, sf):
+    """The map of each month, as JSON so that it can be compared."""
+    found = aggregate.cross_tab_cells(dated(spark, sf), "month", "priority")
+    return found.select("month", F.to_json("cells").alias("cells"))
+
+
 @query("a07_value_counts")
 def _(spark, sf):
     return aggregate.value_counts(tickets(spark, sf), "customer_sentiment")
@@ -652,6 +668,12 @@ def _(spark, sf):
     return evaluate.confusion_matrix(predicted(spark, sf), "customer_sentiment", "predicted", ["negative", "positive"])
 
 
+@query("a17_confusion_cells")
+def _(spark, sf):
+    found = evaluate.confusion_cells(predicted(spark, sf), "customer_sentiment", "predicted")
+    return found.select("label", F.to_json("cells").alias("cells"))
+
+
 @query("a18_classification_report")
 def _(spark, sf):
     report = evaluate.classification_report(predicted(spark, sf), "customer_sentiment", "predicted")

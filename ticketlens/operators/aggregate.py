@@ -45,6 +45,25 @@ def cross_tab(df: DataFrame, row: str, column: str, values: Sequence[str] | None
     return table.fillna(0, names)
 
 
+def cells(counts: DataFrame, row: str, column: str, n: str = "n", into: str = "cells") -> DataFrame:
+    """One row per row key with a map from column values to counts, in the order of the values.
+
+    The long form of a cross-tab brought together without a list of its values on the driver.  A row holds as
+    many entries as its key has values; ``group_sizes`` is the form for keys with more of them than a row can hold.
+    """
+    entry = F.struct(F.col(column).cast("string").alias("key"), F.col(n).alias("value"))
+    entries = F.array_sort(F.collect_list(entry))
+    return counts.groupBy(row).agg(F.map_from_entries(entries).alias(into))
+
+
+def cross_tab_cells(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Row counts as one map per row key; values that a row key does not have are absent.
+
+    Counts are combined on the map side, and nothing comes to the driver.
+    """
+    return cells(group_sizes(df, [row, column]), row, column)
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Row count of each non-null value, largest first, then by value."""
     return group_sizes(df, [column]).orderBy(F.desc("n"), column)

@@ -55,15 +55,20 @@ def clear_scratch(before: frozenset[str] | None = None, keep: DataFrame | None =
     spared = (before or frozenset()) | {getattr(keep, "scratch", "")}
     for path in [p for p, thread in list(_written.items()) if p not in spared and (before is None or thread == get_ident())]:
         del _written[path]
-        try:
-            if "://" in path:
-                system, folder = fs.FileSystem.from_uri(path)
-            else:
-                system, folder = fs.LocalFileSystem(), path.removeprefix("file:")
-            if system.get_file_info(folder).type == fs.FileType.Directory:
-                system.delete_dir(folder)
-        except (ValueError, NotImplementedError, OSError) as error:
-            print(f"{path} stays: {error}", file=sys.stderr)
+        delete_folder(path)
+
+
+def delete_folder(path: str) -> None:
+    """Deletes a folder if there is one; a store that cannot be reached keeps it."""
+    try:
+        if "://" in path:
+            system, folder = fs.FileSystem.from_uri(path)
+        else:
+            system, folder = fs.LocalFileSystem(), path.removeprefix("file:")
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            system.delete_dir(folder)
+    except (ValueError, NotImplementedError, OSError) as error:
+        print(f"{path} stays: {error}", file=sys.stderr)
 
 
 def settle(df: DataFrame) -> DataFrame:
