@@ -525,6 +525,19 @@ ORACLES: dict[str, str] = {
 }
 
 # Results that were written and read again.
+ORACLES["m03_dictionary_slots"] = ORACLES["m03_one_hot"]
+ORACLES["a09_dashboard"] = " UNION ALL ".join(
+    f"SELECT '{panel}' AS panel, CAST({item} AS VARCHAR) AS item, CAST({value} AS DOUBLE) AS value FROM ({sql})"
+    for panel, item, value, sql in (
+        ("volume", "month || '|' || priority", "n", C + f"SELECT CAST({MONTH} AS VARCHAR) AS month, priority, count(*) AS n "
+                                                       "FROM clean WHERE priority IS NOT NULL GROUP BY 1, 2"),
+        ("channels", "channel", "n", C + "SELECT channel, count(*) AS n FROM clean WHERE channel IS NOT NULL GROUP BY 1"),
+        ("sentiments", "customer_sentiment", "n", ORACLES["a07_value_counts"]),
+        ("sla_by_segment", "customer_segment", "sla_rate", ORACLES["a08_sla_rate"]),
+        ("resolution_histogram", "bin", "n", ORACLES["a09_histogram"]),
+        ("csat_histogram", "bin", "n", ORACLES["a09_csat_histogram"]),
+    )
+)
 ORACLES["s08_model_round_trip"] = ORACLES["m03_one_hot"]
 ORACLES["s09_text_sink"] = f"SELECT reply AS value FROM ({ORACLES['p18_template_reply']})"
 ORACLES["m10_batch_scoring"] = f"""WITH {TERMS}, {VOCABULARY},

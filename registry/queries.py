@@ -602,6 +602,14 @@ def _(spark, sf):
     return rounded(aggregate.histogram(scores, "csat_score", 5), ["bin_start", "bin_end"])
 
 
+@query("a09_dashboard")
+def _(spark, sf):
+    """The star of cleaned tickets and customers, and from it the panels of the dashboard stage."""
+    star = stages.build_star(stage(tickets(spark, sf)), customers(spark, sf))
+    panels = stages.dashboard_tables(star["fact_tickets"], star["tickets_enriched"])
+    return rounded(stages.dashboard_values(panels), ["value"])
+
+
 @query("a10_density")
 def _(spark, sf):
     rows = stage(tickets(spark, sf), "resolution_time_hours")
@@ -752,6 +760,14 @@ def _(spark, sf):
     return _slots(features.apply_stages(rows, features.category_stages(rows, models.CSAT_CATEGORIES)))
 
 
+@query("m03_dictionary_slots")
+def _(spark, sf):
+    """The same slots from a dictionary that is a table."""
+    rows = stage(tickets(spark, sf), "ticket_id", *models.CSAT_CATEGORIES)
+    found = features.with_slots(rows, features.category_dictionary(rows, models.CSAT_CATEGORIES), models.CSAT_CATEGORIES)
+    return found.drop(*models.CSAT_CATEGORIES)
+
+
 def _slots(encoded: DataFrame) -> DataFrame:
     """The filled slot of each category vector, and the vector's size."""
     arrays = {c: vector_to_array(f"_{c}_vector") for c in models.CSAT_CATEGORIES}

@@ -188,3 +188,23 @@ def test_regression_errors_of_constant_target(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], "y double, p double")
     row = evaluate.regression_errors(df, "y", "p").first()
     assert (row.n, row.mae, row.r2) == (2, 0.5, None)
+
+
+def test_dictionary_of_very_many_levels(spark):
+    """Slots without a gap over several partitions, in order, and zeros for what the dictionary does not have."""
+    wide = spark.range(200_000).selectExpr("concat(repeat('x', 40), id % 150000) AS a", "if(id % 3 = 0, null, id % 7) AS b")
+    dictionary = features.category_dictionary(wide, ["a", "b"])
+    sizes = {r["column"]: (r.n, r.low, r.high, r.slots) for r in dictionary.groupBy("column").agg(
+        F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots")).collect()}
+    assert sizes == {"a": (150_000, 0, 149_999, 150_000), "b": (8, 0, 7, 8)}
+    b = [r.value for r in dictionary.filter("`column` = 'b'").orderBy("slot").collect()]
+    assert b == sorted(b) and b[0] == "(missing)"
+    new = spark.createDataFrame([("unseen", None), (None, 6)], "a string, b long")
+    rows = features.with_slots(new, dictionary, ["a", "b"]).orderBy("b").collect()
+    assert [(r.a_slot, r.a_size, r.b_slot) for r in rows] == [(None, 150_000, 0), (None, 150_000, 7)]
+
+
+def test_dictionary_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "a string")
+    dictionary = features.category_dictionary(empty, ["a"])
+    assert dictionary.isEmpty() and features.with_slots(spark.createDataFrame([("q",)], "a string"), dictionary, ["a"]).first().a_size == 0

@@ -165,3 +165,6 @@ def test_models_and_replies(spark, finished):
     assert text.count("Customer: ") == text.count("Generated: ") == 6
     stages_seen = {r.stage for r in metrics.read_metrics(spark, f"{finished}/metrics").select("stage").distinct().collect()}
     assert len(stages_seen) == 8
+    report = tables.read_table(spark, f"{finished}/report/metrics_by_stage")
+    assert set(report.columns) == {"metric", "grp", *stages.STAGES} and stages_seen == set(stages.STAGES)
+    assert report.filter("metric = 'n_tickets'").first()["03_dashboard"] == 1000

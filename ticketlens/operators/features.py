@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ticketlens.functions.text import TOKEN_PATTERN, terms
@@ -141,6 +141,47 @@ def category_stages(train: DataFrame, columns: Sequence[str]) -> list[Transforme
     return [fill, index, encode]
 
 
+def _filled(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(MISSING_CATEGORY))
+
+
+def category_dictionary(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The levels of the columns as a table (column, value, slot), slots from 0 in the order of the values.
+
+    The form of ``category_stages`` for columns with very many levels: none
+    of them comes to the driver or to one task.  Values are range-partitioned,
+    numbered in their partition, and moved by the levels in earlier partitions.
+    Missing is a level of its own.
+    """
+    named = train.select(*[_filled(c).alias(c) for c in columns])
+    levels = named.unpivot([], list(columns), "column", "value").distinct()
+    # Settled, as the numbers of partitions must stay what they are in both reads.
+    ordered = settle(levels.repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("column", "_part").orderBy("value")
+    sizes = ordered.groupBy("column", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("column", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    placed = ordered.withColumn("_place", F.row_number().over(within)).join(starts, ["column", "_part"])
+    return settle(placed.select("column", "value", (F.col("_start") + F.col("_place") - 1).alias("slot")))
+
+
+def with_slots(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds ``<column>_slot``, the one filled place of the column's one-hot vector, and ``<column>_size``, its length.
+
+    A level that the dictionary does not have gives no slot: a vector of zeros.
+    Each column is a join of its own, whose hot levels adaptive execution splits.
+    """
+    out = df
+    for c in columns:
+        own = dictionary.filter(F.col("column") == c)
+        slots = own.select(F.col("value").alias("_level"), F.col("slot").alias(f"{c}_slot"))
+        out = out.withColumn("_level", _filled(c)).join(slots, "_level", "left").drop("_level")
+    sizes = {
+        f"{c}_size": dictionary.filter(F.col("column") == c).agg(F.count(F.lit(1)).cast("int")).scalar() for c in columns
+    }
+    return out.withColumns(sizes)
+
+
 def feature_stages(
     train: DataFrame, text: str, categories: Sequence[str], max_features: int, min_df: int
 ) -> list[Transformer]:

@@ -15,6 +15,10 @@ from ticketlens.sources import metrics, tables
 
 # Analysed factors.
 FACTORS = ("priority", "sla_plan", "region")
+# The stages that write metrics, in order.
+STAGES = (
+    "01_clean", "02_quality", "03_dashboard", "04_time", "05_csat", "06_resolution", "07_sentiment", "08_replies",
+)
 
 
 def build_star(tickets: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
@@ -181,6 +185,28 @@ def run_replies(spark: SparkSession, out: str, load: replies.GeneratorLoader | N
     metrics.write_metrics(metrics.metric_rows(counts, "08_replies", "mode"), f"{out}/metrics", "08_replies")
 
 
+def run_report(spark: SparkSession, out: str) -> None:
+    """Writes the metrics of all stages side by side: a row for each metric and group, a column for each stage."""
+    rows = metrics.read_metrics(spark, f"{out}/metrics")
+    tables.write_table(metrics.metrics_by_stage(rows, list(STAGES)), f"{out}/report/metrics_by_stage")
+
+
+def dashboard_values(panels: dict[str, DataFrame]) -> DataFrame:
+    """The panels of one value per item as long rows (panel, item, value)."""
+    items = {
+        "volume": ("month", "priority"), "channels": ("channel",), "sentiments": ("customer_sentiment",),
+        "sla_by_segment": ("customer_segment",), "resolution_histogram": ("bin",), "csat_histogram": ("bin",),
+    }
+    return metrics.all_metrics(*[
+        panels[name].select(
+            F.lit(name).alias("panel"),
+            F.concat_ws("|", *[F.col(c).cast("string") for c in item]).alias("item"),
+            F.col("sla_rate" if name == "sla_by_segment" else "n").cast("double").alias("value"),
+        )
+        for name, item in items.items()
+    ])
+
+
 def run_all(spark: SparkSession, tickets_csv: str, customers_csv: str, out: str, **options) -> None:
     """All stages in order; stops at the first failure.  Scratch tables go when all results are written."""
     run_etl(spark, tickets_csv, customers_csv, out)
@@ -189,4 +215,5 @@ def run_all(spark: SparkSession, tickets_csv: str, customers_csv: str, out: str,
     run_time_analysis(spark, out)
     run_models(spark, out, **options)
     run_replies(spark, out)
+    run_report(spark, out)
     clear_scratch()
