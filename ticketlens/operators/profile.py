@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.parse import strip
@@ -16,6 +16,20 @@ SHARE_DECIMALS = 4
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
+def _hole(c: str, kind: str, blank_as_missing: bool) -> Column:
+    hole = F.col(c).isNull()
+    return hole | (strip(c) == "") if blank_as_missing and kind == "string" else hole
+
+
+def marked(df: DataFrame, keep: Sequence[str] = (), blank_as_missing: bool = False) -> DataFrame:
+    """The table with a mark in place of each text that is not missing, but for the columns in ``keep``.
+
+    Its profile is that of the table, and joins on the way to it move no texts.
+    """
+    texts = [c for c, kind in df.dtypes if kind == "string" and c not in keep]
+    return df.withColumns({c: F.when(~_hole(c, "string", blank_as_missing), F.lit("x")) for c in texts})
+
+
 def missing_profile(
     df: DataFrame, columns: Sequence[str] | None = None, blank_as_missing: bool = False
 ) -> DataFrame:
@@ -26,12 +40,7 @@ def missing_profile(
     """
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
-    holes = []
-    for c in columns:
-        hole = F.col(c).isNull()
-        if blank_as_missing and types[c] == "string":
-            hole = hole | (strip(c) == "")
-        holes.append(F.count_if(hole).alias(c))
+    holes = [F.count_if(_hole(c, types[c], blank_as_missing)).alias(c) for c in columns]
     # The row count rides along with each hole count through the unpivot.
     counts = df.agg(*holes, F.count(F.lit(1)).alias("_rows"))
     long = counts.select(
