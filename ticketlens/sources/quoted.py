@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,6 @@ from ticketlens.session import stage_table
 
 # Kinds of what a block gives: records, the open end of one, a middle part (the block has no end of a record), a last part.
 WHOLE, OPEN, MIDDLE, LAST = range(4)
-BATCH = 2000
 MARK = b"\xef\xbb\xbf"
 # The column that orders rows as in the files.
 PLACE = "_place"
@@ -41,6 +42,12 @@ def blocks(read: DataFrame) -> DataFrame:
     return counts.select("file", "block", (before % 2 == 1).alias("inside"))
 
 
+def joined(lines: pa.Array, edges: np.ndarray) -> pa.Array:
+    """The lines between each two edges as one text."""
+    listed = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), lines.slice(0, edges[-1]))
+    return pc.binary_join(listed, pa.scalar(b"\n", pa.large_binary()))
+
+
 def pieces(read: DataFrame) -> DataFrame:
     """file, block, n (place in the block), kind and record of all records and parts of records; written.
 
@@ -50,42 +57,51 @@ def pieces(read: DataFrame) -> DataFrame:
     shared = read.sparkSession.sparkContext.broadcast(inside)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        at, n, held, opened, kind = None, 0, [], False, WHOLE
+        at: tuple = ()
+        # Of the block: records so far, whether the last line ends inside a field, kind of the next record, lines without an end.
+        n, opened, kind, held = 0, False, WHOLE, []
 
-        def end(final: int) -> None:
-            nonlocal n, held
-            out.append((*at, n, final, b"\n".join(held)))
-            n, held = n + 1, []
+        def told(kinds: list[int] | np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+            file, block = (pa.array([v], t).take(pa.array(np.zeros(len(texts), np.int32))) for v, t in zip(at, (pa.string(), pa.int64()), strict=True))
+            columns = [file, block, pa.array(np.arange(n, n + len(texts)), pa.int64()), pa.array(kinds, pa.int32()), texts.cast(pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["file", "block", "n", "kind", "record"])
 
-        def left() -> None:
+        def left() -> Iterator[pa.RecordBatch]:
             """What stays of a block: the open end of a record, or a part of one that neither begins nor ends here."""
             if held:
-                end(MIDDLE if kind == LAST else OPEN)
-
-        def told() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["file", "block", "n", "kind", "record"])
+                every = pa.concat_arrays(held)
+                yield told([MIDDLE if kind == LAST else OPEN], joined(every, np.array([0, len(every)])))
 
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file, block) != at:
-                    left()
-                    at, n = (file, block), 0
+            files, starts = batch.column("file").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+            edges = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1
+            # Stretches of one block each.
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                lines = batch.column("line").slice(i, j - i).cast(pa.large_binary())
+                if not len(lines):
+                    continue
+                if (key := (batch.column("file")[i].as_py(), int(starts[i]))) != at:
+                    yield from left()
+                    at, n, held = key, 0, []
                     opened = at in shared.value
                     kind = LAST if opened else WHOLE
-                held.append(line.removeprefix(MARK) if block == 0 and n == 0 and not held else line)
-                opened ^= line.count(b'"') % 2 == 1
-                if not opened:
-                    end(kind)
-                    kind = WHOLE
-                if len(out) >= BATCH:
-                    yield told()
-        left()
-        if out:
-            yield told()
+                    first = lines[0].as_py()
+                    if at[1] == 0 and first.startswith(MARK):
+                        lines = pa.concat_arrays([pa.array([first.removeprefix(MARK)], pa.large_binary()), lines.slice(1)])
+                inside = (np.cumsum(pc.count_substring(lines, b'"').to_numpy()) + opened) % 2
+                opened = bool(inside[-1])
+                ends = np.flatnonzero(inside == 0) + 1
+                if not ends.size:
+                    held.append(lines)
+                    continue
+                ends += sum(map(len, held))
+                every = pa.concat_arrays([*held, lines])
+                kinds = np.full(ends.size, WHOLE, np.int32)
+                kinds[0] = kind
+                yield told(kinds, joined(every, np.append(0, ends)))
+                n, kind = n + ends.size, WHOLE
+                held = [every.slice(ends[-1])] if ends[-1] < len(every) else []
+        yield from left()
 
     return stage_table(read.mapInArrow(cut, "file string, block long, n long, kind int, record binary"))
 
@@ -99,9 +115,10 @@ def records(found: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("block", "n", "record")))
     chained = chained.groupBy("file", "_chain").agg(listed.alias("_parts"))
     text = F.array_join(F.transform("_parts", lambda p: p["record"].cast("string")), "\n")
-    joined = chained.select("file", F.col("_parts")[0]["block"].alias("block"), F.col("_parts")[0]["n"].alias("n"), text.alias("record"))
+    chained = chained.select("file", F.col("_parts")[0]["block"].alias("block"), F.col("_parts")[0]["n"].alias("n"), text.alias("record"))
     whole = found.filter(F.col("kind") == WHOLE).select("file", "block", "n", F.col("record").cast("string").alias("record"))
-    return whole.unionByName(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
+    found = whole.unionByName(chained)
+    return found.withColumn("record", F.when(F.endswith("record", F.lit("\r")), F.regexp_replace("record", "\r$", "")).otherwise(F.col("record")))
 
 
 def read_quoted(spark: SparkSession, path: str) -> DataFrame:
@@ -113,6 +130,8 @@ def read_quoted(spark: SparkSession, path: str) -> DataFrame:
     names = spark.read.options(header=True, **OPTIONS).csv(path).columns
     rows = records(pieces(lines(spark, path))).filter("not (block = 0 and n = 0) and record != ''")
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-    parsed = rows.withColumn("_row", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), OPTIONS))
+    # As the only row of a list, so that a record is parsed once and not for each of its columns.
+    row = F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), OPTIONS)
+    parsed = rows.select("file", "block", "n", F.explode(F.array(row)).alias("_row"))
     place = F.struct(F.col("file").alias("file_path"), F.col("block").alias("file_block_start"), F.col("n").alias("row"))
     return parsed.select(*[F.col(f"_row.c{k}").alias(n) for k, n in enumerate(names)], place.alias(PLACE))
