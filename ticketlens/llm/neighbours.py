@@ -65,7 +65,7 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def centroids_of(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Centroids of length 1 of the sample's unit vectors, which come in random order."""
     centre = sample[:lists].copy()
-    for _ in range(rounds):
+    for _ in range(rounds if len(centre) else 0):
         near = (sample @ centre.T).argmax(axis=1)
         total = np.zeros_like(centre)
         np.add.at(total, near, sample)
@@ -76,6 +76,8 @@ def centroids_of(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
 
 def searched_lists(sample: np.ndarray, centre: np.ndarray, k: int, share: float) -> int:
     """How many of its nearest lists a query searches to find that share of its exact neighbours in the sample."""
+    if not len(centre):
+        return 1
     asked = sample[:: max(1, sample.shape[0] // MEASURED)][:MEASURED]
     home = (sample @ centre.T).argmax(axis=1)
     rank = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)
