@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ticketlens.operators import cleaning, dedupe, profile, replies
+from ticketlens.operators import cleaning, dedupe, models, profile, replies
+from ticketlens.session import scratch_tables
 
 
 def tickets(spark, n=60):
@@ -58,3 +59,13 @@ def test_examples_of_tickets_that_are_not_stored(spark):
     shown = replies.reply_examples(df, n=4)
     every = replies.reply_examples(df, n=None).collect()
     assert shown.count() == 4 and all(r in every for r in shown.collect())
+
+
+def test_texts_of_a_classifier_are_written_once(spark):
+    """The split needs no written table of its own: a row's part follows from its id."""
+    rows = spark.range(60).select(F.col("id").cast("string").alias("ticket_id"), F.concat(F.lit("word "), F.when(F.col("id") % 2 == 0, "good").otherwise("bad")).alias("text"),
+                                  F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"))
+    before = scratch_tables()
+    trained = models.train_sentiment(rows, settings=models.SentimentSettings(iterations=3, max_rows=None))
+    assert len([p for p in scratch_tables() - before if "/stage-" in p]) == 1
+    assert trained.scored.count() == 12 and trained.n_train == 48
