@@ -1,0 +1,49 @@
+"""The vocabulary's terms are counted by buckets first; what it keeps is what a count of all terms keeps."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from ticketlens.operators import features
+
+
+def texts():
+    """Words of falling frequency, many that occur once, copies, blank and null texts."""
+    rows = [" ".join(f"w{k:02}" for k in range(40) if n % (k + 1) == 0) + f" own{n} own{n}" for n in range(120)]
+    return [*rows, rows[0], rows[0], "", "a", None]
+
+
+def counted(rows, max_features, min_df):
+    total, df = Counter(), Counter()
+    for row in rows:
+        words = [w for w in (row or "").split() if len(w) > 1]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        total.update(terms)
+        df.update(set(terms))
+    return sorted(((t, n, df[t]) for t, n in total.items() if df[t] >= min_df), key=lambda r: (-r[1], r[0]))[:max_features]
+
+
+# With few buckets all are needed; with one candidate for each term kept, buckets of the rare words push out frequent terms.
+@pytest.mark.parametrize("buckets,fullest", [(1 << 20, 4), (8, 1), (64, 1), (256, 1), (256, 2)])
+@pytest.mark.parametrize("max_features,min_df", [(7, 1), (30, 3), (200, 1), (10_000, 2)])
+def test_bucketed_terms_against_a_full_count(spark, monkeypatch, buckets, fullest, max_features, min_df):
+    monkeypatch.setattr(features, "TERM_BUCKETS", buckets)
+    monkeypatch.setattr(features, "FULLEST", fullest)
+    df = spark.createDataFrame([(t,) for t in texts()], "text string")
+    rows = features.vocabulary(df, "text", max_features, min_df).orderBy(F.desc("total"), "term").collect()
+    assert [(r.term, r.total, r.df) for r in rows] == counted(texts(), max_features, min_df)
+
+
+def test_rare_terms_are_not_counted_on_their_own(spark, monkeypatch):
+    """Only terms of the fullest buckets reach the count of terms."""
+    seen = []
+    counts = features._most_frequent
+    monkeypatch.setattr(features, "_most_frequent", lambda found, bucket, buckets, *rest: (seen.append(buckets.count()), counts(found, bucket, buckets, *rest))[1])
+    df = spark.createDataFrame([(t,) for t in texts()], "text string")
+    assert features.vocabulary(df, "text", 5, 1).count() == 5
+    assert seen and max(seen) < 40 < len({w for t in texts() for w in (t or "").split()})
+
+
+def test_vocabulary_of_nothing(spark):
+    assert features.vocabulary(spark.createDataFrame([], "text string"), "text", 5, 1).count() == 0

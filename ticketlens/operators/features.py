@@ -23,6 +23,8 @@ from ticketlens.session import settle, small_side
 
 # Fixed value: the category that stands for a missing one.
 MISSING_CATEGORY = "(missing)"
+# Buckets that terms are counted by, a power of two, and how many of the fullest are looked into for each term wanted.
+TERM_BUCKETS, FULLEST = 1 << 20, 4
 
 
 def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,21 +44,47 @@ def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 def vocabulary(df: DataFrame, text: str, max_features: int, min_df: int) -> DataFrame:
     """The most frequent terms in at least ``min_df`` documents, with document count and idf.
 
-    Columns ``term, total, df, idf``; equal totals in term order.  Each
-    document adds its terms to the totals and its distinct terms to the
-    document counts, so only per-term sums are shuffled and no text is.
+    Columns ``term, total, df, idf``; equal totals in term order.  Terms are
+    first counted by buckets of their hash, of which there is a bounded number.
+    No term is more frequent than its bucket, so only the terms of the fullest
+    buckets are counted on their own; if the last term kept is not more
+    frequent than every bucket left out, those that may hold a more frequent
+    one are counted too.  So no task holds all its terms, and ``df`` is read
+    several times and must give the same rows each time.
     """
     found = df.select(terms(text).alias("_terms"))
+    bucket = F.xxhash64("term").bitwiseAND(TERM_BUCKETS - 1)
+    # Lists are exploded out of an array of them, as Spark would make each list once more to see that it is not empty.
+    lists = found.select(F.explode(F.array("_terms")).alias("_terms"))
+    sizes = lists.select(F.explode("_terms").alias("term")).groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_size"))
+    # At most TERM_BUCKETS rows; a term in so many documents is as frequent at least.
+    buckets = settle(sizes.filter(F.col("_size") >= min_df))
+    fullest = buckets.orderBy(F.desc("_size")).limit(FULLEST * max_features)
+    least = fullest.agg(F.when(F.count(F.lit(1)) == FULLEST * max_features, F.min("_size"))).first()[0] or min_df
+    kept = _most_frequent(found, bucket, buckets.filter(F.col("_size") >= least), max_features, min_df)
+    if least > min_df:
+        last = kept.agg(F.when(F.count(F.lit(1)) == max_features, F.min("total"))).first()[0] or min_df
+        if last < least:
+            kept = _most_frequent(found, bucket, buckets.filter(F.col("_size") >= last), max_features, min_df)
+    documents = df.select(F.count(F.lit(1)).alias("n")).scalar()
+    return kept.withColumn("idf", F.log((1 + documents) / (1 + F.col("df"))) + 1)
+
+
+def _most_frequent(found: DataFrame, bucket: Column, buckets: DataFrame, max_features: int, min_df: int) -> DataFrame:
+    """The most frequent terms of these buckets, settled.
+
+    Each document adds its terms to the totals and its distinct terms to the
+    document counts, so only per-term sums are shuffled and no text is.
+    """
     both = found.select(F.posexplode(F.array("_terms", F.array_distinct("_terms"))).alias("_once", "_terms"))
     counted = (
         both.select("_once", F.explode("_terms").alias("term"))
+        .join(F.broadcast(buckets.select(F.col("_bucket").alias("_held"))), bucket == F.col("_held"), "left_semi")
         .groupBy("term")
         .agg(F.count_if(F.col("_once") == 0).alias("total"), F.sum("_once").alias("df"))
         .filter(F.col("df") >= min_df)
     )
-    kept = counted.orderBy(F.desc("total"), "term").limit(max_features)
-    documents = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    return kept.withColumn("idf", F.log((1 + documents) / (1 + F.col("df"))) + 1)
+    return settle(counted.orderBy(F.desc("total"), "term").limit(max_features))
 
 
 def tfidf_rows(
@@ -104,7 +132,7 @@ def text_stages(
 
 def _entries(train: DataFrame, text: str, max_features: int, min_df: int) -> list[Row]:
     """The terms of the vocabulary in order, with their idf."""
-    fitted = settle(vocabulary(train.withColumn(text, F.coalesce(text, F.lit(""))), text, max_features, min_df))
+    fitted = vocabulary(train.withColumn(text, F.coalesce(text, F.lit(""))), text, max_features, min_df)
     return fitted.orderBy(F.desc("total"), "term").limit(max_features).collect()
 
 
