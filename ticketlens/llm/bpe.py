@@ -27,6 +27,8 @@ from ticketlens.llm import textops as tx
 # Bytes of a chunk on average, a power of two, and bytes of chunks that a task keeps the tokens of.
 CHUNK_BYTES = 1024
 KEPT_BYTES = 24 << 20
+# Bytes of texts whose tokens are held at once: as Python numbers they take some twenty times as much.
+TOKENS_BYTES = 1 << 18
 MADE = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
@@ -166,7 +168,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
         tx.drop_large(f"codec {path}")
         codec = _codec(path, pattern)
         for whole in batches:
-            for batch in tx.slices(whole, "text"):
+            for batch in tx.slices(whole, "text", TOKENS_BYTES):
                 made: list[tuple[Any, ...]] = []
                 for ids in encoded(batch, codec):
                     joined = ",".join(map(codec.names.__getitem__, ids)).encode()

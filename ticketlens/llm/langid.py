@@ -30,6 +30,8 @@ ROUNDS = 4
 # From so many bytes on a word is summed on logarithms. Bytes of such words that are handled at once.
 LONG = 32
 LONG_BYTES = 1 << 18
+# Shorter words that are handled at once: their prefixes take some hundred bytes a word for each language.
+SHORT_WORDS = 1 << 13
 SMOOTHING = 0.02
 UNDETERMINED = "und"
 
@@ -39,7 +41,8 @@ LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(
 
 @dataclass
 class Trie:
-    """follow[node * classes + class of byte] is the next node or 0; piece[node] is a piece's number or -1."""
+    """follow[node * classes + class of byte] is the next node or 0; piece[node] is a piece's number or -1.
+    Nodes without a next one come last, so that their part of follow is never written and takes no memory."""
 
     classes: np.ndarray
     width: int
@@ -70,9 +73,14 @@ def trie_of(path: str) -> Trie:
                 node = child[at] = len(piece)
                 piece.append(-1)
         piece[node] = number
+    node, c = np.divmod(np.fromiter(child.keys(), np.int64, len(child)), width)
+    has = np.zeros(len(piece), bool)
+    has[:2] = has[node] = True
+    order = np.argsort(~has, kind="stable")
+    place = np.argsort(order)
     follow = np.zeros(len(piece) * width, np.int32)
-    follow[np.fromiter(child.keys(), np.int64, len(child))] = np.fromiter(child.values(), np.int32, len(child))
-    return Trie(classes, width, follow, np.array(piece, np.int32), len(wanted))
+    follow[place[node] * width + c] = place[np.fromiter(child.values(), np.int64, len(child))]
+    return Trie(classes, width, follow, np.array(piece, np.int32)[order], len(wanted))
 
 
 @dataclass
@@ -200,8 +208,8 @@ def parts(size: np.ndarray) -> Iterator[tuple[slice, bool]]:
         to = min(long, at + max(1, LONG_BYTES // int(size[at] + 1)))
         yield slice(at, to), True
         at = to
-    if long < size.size:
-        yield slice(long, size.size), False
+    for at in range(long, size.size, SHORT_WORDS):
+        yield slice(at, min(size.size, at + SHORT_WORDS)), False
 
 
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 # Bytes of texts that one step of a task handles: its arrays take some twenty times as much memory. Rows of a batch that
 # goes to a Python worker: long texts make Spark's own number of rows tens of megabytes, held several times.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
