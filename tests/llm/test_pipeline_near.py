@@ -70,3 +70,31 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1] + " more"), (3, texts[2]), (None, texts[2]), (4, None), (4, "")]
     got = sorted((r["doc_id"] or 0, r["text"] or "-") for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect())
     assert got == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2]), (0, texts[2]), (4, "-"), (4, "-")])
+
+
+def test_wide_sketches():
+    """Sketches differ in no more bits than the sets do in elements, whatever their lengths, and tell large unlike sets apart."""
+    r = np.random.default_rng(8)
+    for size, other in [(1, 1), (300, 260), (510, 515), (2040, 2060), (6000, 6000), (9000, 8000)]:
+        x = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        for shared in (0, other // 2, other * 9 // 10):
+            y = np.union1d(x[:shared], r.integers(0, 2**63, other - shared, dtype=np.uint64))
+            bits = jaccard.bits_apart(jaccard.wide_sketch(x), jaccard.wide_sketch(y))
+            assert bits == jaccard.bits_apart(jaccard.wide_sketch(y), jaccard.wide_sketch(x)) <= np.setxor1d(x, y).size
+            # At a similarity of 80; half of the elements in common is far less.
+            assert size == 1 or shared > other // 2 or bits * 180 > (x.size + y.size) * 20
+
+
+def test_pairs_meet_in_few_groups(spark):
+    """A pair of a group is told, and one that shares many groups is not told in each of them."""
+    r = random.Random(4)
+    few = [(r.randrange(-50, 50), a) for a in range(10, 40) for _ in range(6)]
+    many = [(g, a) for g in range(1000, 1200) for a in (1, 2, 3) if r.random() < 0.9]
+    members = spark.createDataFrame(sorted(set(few + many)), "g long, a long")
+    nodes = members.select("a").distinct().withColumn("n", members.a + 1)
+    got = [(x["xa"], x["ya"]) for x in jaccard._meetings(jaccard._with_firsts(members, nodes)).collect()]
+    groups = {}
+    for g, a in few + many:
+        groups.setdefault(g, set()).add(a)
+    assert set(got) == {(a, b) for g in groups.values() for a in g for b in g}
+    assert max(got.count(p) for p in set(got) if max(p) < 10) <= 3

@@ -19,7 +19,7 @@ bits than the sets do in elements, so no similar pair is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +40,10 @@ SUBRANGES = 3
 # Below this similarity a plan has this many further ranges, one for each so many.
 THIN, FURTHER = 85, 3
 SKETCH = [f"s{k}" for k in range(8)]
+# A wide sketch has so many parts for each element, and this many at least.
+WIDE, WIDE_LEAST = 4, 2048
+# Of the groups of a node, so many go with it, to tell whether a pair meets in an earlier one.
+FIRST_GROUPS = 8
 # A text has several times as many bytes of signatures as its own, so that a bucket takes the less text.
 SIGNED = 2
 
@@ -204,59 +208,96 @@ GROUPS = "g long, a long, ha long"
 PAIR = ["xa", "xb", "ya", "yb"]
 
 
-def _wide_sketch(own: np.ndarray) -> list[int]:
-    """As ``_sketch``, with the parities of 2,048 parts of the domain."""
-    parity = np.bincount((tx.mix(own, 1) >> np.uint64(53)).astype(np.int64), minlength=2048).astype(np.uint8) & 1
-    return np.packbits(parity).view(np.int64).tolist()
+def wide_sketch(own: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of elements in some parts of the domain, WIDE times as many as elements, a power of two."""
+    parts = max(WIDE_LEAST, 1 << (WIDE * own.size - 1).bit_length())
+    part = tx.mix(own, 1) & np.uint64(parts - 1)
+    return np.packbits(np.bincount(part.astype(np.int64), minlength=parts).astype(np.uint8) & 1).view(np.uint64)
 
 
-def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """For each row its set's fingerprint, size, wide sketch and sorted elements as bytes."""
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The bits in which two wide sketches differ, the longer folded to the length of the other: no more than the elements do."""
+    x, y = (x, y) if x.size > y.size else (y, x)
+    while x.size > y.size:
+        x = x[: x.size // 2] ^ x[x.size // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sets(rows: DataFrame, size: int, sketch: bool) -> DataFrame:
+    """For each row its set's fingerprint, its size, and its sorted elements, or their wide sketch, as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.slices(whole, "text"):
-                found = [(*_fingerprint(own)[:2], own.size, _wide_sketch(own), own.tobytes()) for own in shingle_sets(batch, size)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                found = [(*_fingerprint(own)[:2], own.size, (wide_sketch(own) if sketch else own).tobytes()) for own in shingle_sets(batch, size)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*columns], ["a", "b", "n", "wide", "own"])
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "own"])
 
-    return rows.select("text").mapInArrow(run, "a long, b long, n long, wide array<long>, own binary")
+    return rows.select("text").mapInArrow(run, "a long, b long, n long, own binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, similarity: int) -> DataFrame:
     """Those of the distinct pairs (xa, xb, ya, yb) that are similar enough, as pairs of ids x and y; written.
 
-    Only texts of nodes in a pair are read again, one row's text for each node.
+    Only texts of nodes in a pair are read again, one row's text for each node: first for wide sketches, and for the sets
+    where these allow the similarity. Sketches are an eighth of the sets at most, but for small ones, and leave few pairs.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xown"), batch.column("yown"), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), "<u8") for v in (x, y)]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= similarity * (both.size - common))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+    def kept(similar: Callable[[np.ndarray, np.ndarray, int], bool], columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = zip(batch.column("xown"), batch.column("yown"), batch.column("sizes").to_pylist(), strict=True)
+                keep = [similar(*(np.frombuffer(v.as_buffer(), "<u8") for v in (x, y)), sizes) for x, y, sizes in both]
+                yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    def may_be(x: np.ndarray, y: np.ndarray, sizes: int) -> bool:
+        return bits_apart(x, y) * (100 + similarity) <= sizes * (100 - similarity)
+
+    def are(x: np.ndarray, y: np.ndarray, sizes: int) -> bool:
+        both = np.sort(np.concatenate([x, y]))
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * common >= similarity * (sizes - common)
+
+    def with_sets(pairs: DataFrame, sketch: bool) -> DataFrame:
+        """The pairs with the sets of both nodes, or their sketches, their ids and the sum of their sizes."""
+        nodes = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
+        nodes = stage_table(known.select("a", "b", "lead").join(nodes, ["a", "b"]))
+        rows = docs.join(nodes.select(F.col("lead").alias("ident")).distinct(), "ident")
+        sets = stage_table(_sets(rows, size, sketch).join(nodes, ["a", "b"]).dropDuplicates(["a", "b"]))
+        out = pairs
+        for s in "xy":
+            held = small_side(pairs.select(F.col(s + "a").alias("a"), F.col(s + "b").alias("b")).distinct())
+            out = out.join(sets.join(held, ["a", "b"]).select(*[F.col(c).alias(s + c) for c in ("a", "b", "n", "own", "lead")]), [s + "a", s + "b"])
+        return out.select(*PAIR, F.col("xlead").alias("x"), F.col("ylead").alias("y"), (F.col("xn") + F.col("yn")).alias("sizes"), "xown", "yown")
 
     since = scratch_tables()
-    nodes = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
-    nodes = stage_table(known.select("a", "b", "lead").join(nodes, ["a", "b"]))
-    rows = docs.join(nodes.select(F.col("lead").alias("ident")).distinct(), "ident")
-    sets = stage_table(_sets(rows, size).join(nodes, ["a", "b"]).dropDuplicates(["a", "b"]))
-    def side(rows: DataFrame, prefix: str, *columns: str) -> DataFrame:
-        return rows.select(*[F.col(c).alias(prefix + c) for c in ("a", "b", *columns)])
-
-    # A wide sketch is a twelfth of a set of 400 elements, and leaves few pairs that are not similar.
-    both = pairs.join(side(sets, "x", "n", "wide"), ["xa", "xb"]).join(side(sets, "y", "n", "wide"), ["ya", "yb"])
-    apart = F.aggregate(F.zip_with("xwide", "ywide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
-    pairs = stage_table(both.filter(apart * (100 + similarity) <= (F.col("xn") + F.col("yn")) * (100 - similarity)).select(*PAIR))
-    x, y = (side(sets.join(small_side(pairs.select(F.col(s + "a").alias("a"), F.col(s + "b").alias("b")).distinct()), ["a", "b"]), s, "own", "lead") for s in "xy")
-    rows = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).select(F.col("xlead").alias("x"), F.col("ylead").alias("y"), "xown", "yown")
+    near = stage_table(with_sets(pairs, True).mapInArrow(kept(may_be, PAIR), ", ".join(f"{c} long" for c in PAIR)))
     kind = known.schema["lead"].dataType.simpleString()
-    out = stage_table(rows.mapInArrow(run, f"x {kind}, y {kind}"))
+    out = stage_table(with_sets(near, False).mapInArrow(kept(are, ["x", "y"]), f"x {kind}, y {kind}"))
     clear_scratch(since, out)
     return out
 
 
+def _with_firsts(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (g, a) of groups with the columns of their nodes, and those of a node's first groups that come before the group.
+
+    A node has no more groups than signatures.
+    """
+    firsts = members.groupBy("a").agg(F.slice(F.sort_array(F.collect_list("g")), 1, FIRST_GROUPS).alias("firsts"))
+    return members.join(nodes.join(firsts, "a"), "a").withColumn("firsts", F.filter("firsts", lambda g: g < F.col("g")))
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """Pairs of members of a group, with their columns under the prefixes x and y.
+
+    Similar nodes share many groups. A pair is left out of a group if an earlier one is among the first groups of both: of
+    all groups that two nodes share, the first one keeps their pair.
+    """
+    x, y = (members.select("g", *[F.col(c).alias(s + c) for c in members.columns if c != "g"]) for s in "xy")
+    return x.join(y, "g").filter(~F.arrays_overlap("xfirsts", "yfirsts"))
+
+
 def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """For each row: ident, n_shingles, component_id (smallest id reachable by links) and n_copies (rows with its set).
 
@@ -314,9 +355,8 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     members = stage_table(with_part(groups.select("g", "a"), labels))
     mixed = members.groupBy("g").agg(F.min("part").alias("l"), F.max("last").alias("m")).filter("l < m").select("g")
     parts = known.join(labels.select(F.col("x").alias("lead"), "y"), "lead", "left").withColumn("part", F.coalesce("y", "lead")).select("a", "b", "n", *SKETCH, "part")
-    members = stage_table(members.select("g", "a").join(mixed, "g").join(parts, "a"))
-    x, y = (members.select("g", *[F.col(c).alias(s + c) for c in ("a", "b", "n", *SKETCH, "part")]) for s in "xy")
-    second = stage_table(x.join(y, "g").filter((F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
+    members = _with_firsts(stage_table(members.select("g", "a").join(mixed, "g")), parts)
+    second = stage_table(_meetings(stage_table(members)).filter((F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
     late = _verified(second, own, known, size, similarity)
     if not late.isEmpty():
         labels = stage_table(graph.components(labels.unionByName(late)))
