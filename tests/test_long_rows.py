@@ -2,6 +2,8 @@
 
 import re
 
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,12 @@ def test_texts_of_a_classifier_are_written_once(spark):
     trained = models.train_sentiment(rows, settings=models.SentimentSettings(iterations=3, max_rows=None))
     assert len([p for p in scratch_tables() - before if "/stage-" in p]) == 1
     assert trained.scored.count() == 12 and trained.n_train == 48
+
+
+def test_texts_of_a_classifier_are_packed_well(spark):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("ticket_id"), F.lit("some words").alias("text"), (F.col("id") % 2).cast("string").alias("label"))
+    before = scratch_tables()
+    models.train_sentiment(rows, settings=models.SentimentSettings(iterations=2, max_rows=None))
+    [written] = [p for p in scratch_tables() - before if "/stage-" in p]
+    files = [pq.ParquetFile(f).metadata for f in ds.dataset(written.removeprefix("file:")).files]
+    assert {m.row_group(0).column(c).compression for m in files if m.num_row_groups for c in range(m.num_columns)} == {"ZSTD"}
