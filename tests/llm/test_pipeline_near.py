@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
@@ -92,7 +93,7 @@ def test_pairs_meet_in_few_groups(spark):
     many = [(g, a) for g in range(1000, 1200) for a in (1, 2, 3) if r.random() < 0.9]
     members = spark.createDataFrame(sorted(set(few + many)), "g long, a long")
     nodes = members.select("a").distinct().withColumn("n", members.a + 1)
-    got = [(x["xa"], x["ya"]) for x in jaccard._meetings(jaccard._with_firsts(members, nodes)).collect()]
+    got = [(x["xa"], x["ya"]) for x in jaccard._meetings(jaccard._with_firsts(members, nodes), F.lit(True)).collect()]
     groups = {}
     for g, a in few + many:
         groups.setdefault(g, set()).add(a)

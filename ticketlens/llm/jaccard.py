@@ -288,14 +288,15 @@ def _with_firsts(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.join(nodes.join(firsts, "a"), "a").withColumn("firsts", F.filter("firsts", lambda g: g < F.col("g")))
 
 
-def _meetings(members: DataFrame) -> DataFrame:
-    """Pairs of members of a group, with their columns under the prefixes x and y.
+def _meetings(members: DataFrame, which: Column) -> DataFrame:
+    """Pairs of members of a group, with their columns under the prefixes x and y, of those that the condition chooses.
 
     Similar nodes share many groups. A pair is left out of a group if an earlier one is among the first groups of both: of
     all groups that two nodes share, the first one keeps their pair.
     """
     x, y = (members.select("g", *[F.col(c).alias(s + c) for c in members.columns if c != "g"]) for s in "xy")
-    return x.join(y, "g").filter(~F.arrays_overlap("xfirsts", "yfirsts"))
+    # The condition comes first, as it costs less.
+    return x.join(y, "g").filter(which & ~F.arrays_overlap("xfirsts", "yfirsts"))
 
 
 def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -356,7 +357,7 @@ def link(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int =
     mixed = members.groupBy("g").agg(F.min("part").alias("l"), F.max("last").alias("m")).filter("l < m").select("g")
     parts = known.join(labels.select(F.col("x").alias("lead"), "y"), "lead", "left").withColumn("part", F.coalesce("y", "lead")).select("a", "b", "n", *SKETCH, "part")
     members = _with_firsts(stage_table(members.select("g", "a").join(mixed, "g")), parts)
-    second = stage_table(_meetings(stage_table(members)).filter((F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
+    second = stage_table(_meetings(stage_table(members), (F.col("xpart") < F.col("ypart")) & possible("x", "y")).select(*PAIR).distinct())
     late = _verified(second, own, known, size, similarity)
     if not late.isEmpty():
         labels = stage_table(graph.components(labels.unionByName(late)))
