@@ -2,9 +2,10 @@
 
 Spark's text reader cuts files into blocks and gives every line to the block it begins in. A line break ends a record if an
 even number of quotes stands before it in the file; doubled quotes inside a field count twice and change nothing. A first
-pass counts the quotes of each block, and a running sum over the blocks says which of them begin inside a field. A second pass
-puts the lines of each block together to records. What a block leaves open at its end is joined to the beginnings of the
-following blocks: one row for each block. Whole records are parsed by ``from_csv``.
+pass counts the quotes of each block, and a running sum over the blocks says which of them begin or end inside a field. What
+such a block leaves open at its end is joined to the beginnings of the following blocks: one row for each block, which are
+written. The whole records of each block are put together from its lines when they are read, and never written. All passes
+read the same blocks. Whole records are parsed by ``from_csv``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,49 +30,63 @@ PLACE = "_place"
 OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """The table as it is planned now: every pass reads the same partitions, whatever becomes of the session's settings."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, block (its first byte) and line of all files, in order within a block."""
     read = spark.read.option("lineSep", "\n").text(path)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    return pinned(read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")))
 
 
 def blocks(read: DataFrame) -> DataFrame:
-    """file, block and inside: whether the block begins inside a quoted field. Nothing but counts is shuffled."""
+    """file, block, inside and open: whether the block begins and ends inside a quoted field. Nothing but counts is shuffled."""
     quotes = F.octet_length("line") - F.octet_length(F.replace(F.col("line").cast("string"), F.lit('"'), F.lit("")))
     counts = read.groupBy("file", "block").agg(F.sum(quotes).alias("quotes"))
-    before = F.sum("quotes").over(Window.partitionBy("file").orderBy("block")) - F.col("quotes")
-    return counts.select("file", "block", (before % 2 == 1).alias("inside"))
+    upto = F.sum("quotes").over(Window.partitionBy("file").orderBy("block"))
+    return counts.select("file", "block", ((upto - F.col("quotes")) % 2 == 1).alias("inside"), (upto % 2 == 1).alias("open"))
 
 
 def joined(lines: pa.Array, edges: np.ndarray) -> pa.Array:
-    """The lines between each two edges as one text."""
+    """The lines between each two edges as one text; none before the first edge."""
     listed = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), lines.slice(0, edges[-1]))
     return pc.binary_join(listed, pa.scalar(b"\n", pa.large_binary()))
 
 
-def pieces(read: DataFrame) -> DataFrame:
-    """file, block, n (place in the block), kind and record of all records and parts of records; written.
+def pieces(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of all whole records, and of all parts of records (written): file, block, n (place in the block), kind and record.
 
-    Where blocks begin, one entry for each block of the files, is sent to all tasks.
+    Which blocks begin or end inside a field, one entry for each, is sent to all tasks.
     """
-    inside = {(r["file"], r["block"]) for r in blocks(read).filter("inside").collect()}
-    shared = read.sparkSession.sparkContext.broadcast(inside)
+    found = [(r["file"], r["block"], r["inside"]) for r in blocks(read).filter("inside or open").collect()]
+    shared = read.sparkSession.sparkContext.broadcast({(file, block) for file, block, inside in found if inside})
+    # Other blocks have no parts.
+    marked = read.sparkSession.createDataFrame([f[:2] for f in found], "file string, block long")
+    parts = stage_table(_pieces(read.join(F.broadcast(marked), ["file", "block"], "left_semi"), shared, True))
+    return _pieces(read, shared, False), parts
+
+
+def _pieces(read: DataFrame, shared: Broadcast, parts: bool) -> DataFrame:
+    """The parts of records, or the whole ones."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple = ()
         # Of the block: records so far, whether the last line ends inside a field, kind of the next record, lines without an end.
         n, opened, kind, held = 0, False, WHOLE, []
 
-        def told(kinds: list[int] | np.ndarray, texts: pa.Array) -> pa.RecordBatch:
-            file, block = (pa.array([v], t).take(pa.array(np.zeros(len(texts), np.int32))) for v, t in zip(at, (pa.string(), pa.int64()), strict=True))
-            columns = [file, block, pa.array(np.arange(n, n + len(texts)), pa.int64()), pa.array(kinds, pa.int32()), texts.cast(pa.binary())]
+        def told(n: int, kind: int, texts: pa.Array) -> pa.RecordBatch:
+            file, block, kind = (pa.array([v], t).take(pa.array(np.zeros(len(texts), np.int32))) for v, t in zip((*at, kind), (pa.string(), pa.int64(), pa.int32()), strict=True))
+            columns = [file, block, pa.array(np.arange(n, n + len(texts)), pa.int64()), kind, texts.cast(pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["file", "block", "n", "kind", "record"])
 
         def left() -> Iterator[pa.RecordBatch]:
             """What stays of a block: the open end of a record, or a part of one that neither begins nor ends here."""
-            if held:
+            if held and parts:
                 every = pa.concat_arrays(held)
-                yield told([MIDDLE if kind == LAST else OPEN], joined(every, np.array([0, len(every)])))
+                yield told(n, MIDDLE if kind == LAST else OPEN, joined(every, np.array([0, len(every)])))
 
         for batch in batches:
             files, starts = batch.column("file").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
@@ -96,19 +112,20 @@ def pieces(read: DataFrame) -> DataFrame:
                     continue
                 ends += sum(map(len, held))
                 every = pa.concat_arrays([*held, lines])
-                kinds = np.full(ends.size, WHOLE, np.int32)
-                kinds[0] = kind
-                yield told(kinds, joined(every, np.append(0, ends)))
+                edges = np.append(0, ends)
+                if parts and kind == LAST:
+                    yield told(n, LAST, joined(every, edges[:2]))
+                elif not parts and ends.size > (kind == LAST):
+                    yield told(n + (kind == LAST), WHOLE, joined(every, edges[int(kind == LAST):]))
                 n, kind = n + ends.size, WHOLE
                 held = [every.slice(ends[-1])] if ends[-1] < len(every) else []
         yield from left()
 
-    return stage_table(read.mapInArrow(cut, "file string, block long, n long, kind int, record binary"))
+    return read.mapInArrow(cut, "file string, block long, n long, kind int, record binary")
 
 
-def records(found: DataFrame) -> DataFrame:
+def records(whole: DataFrame, parts: DataFrame) -> DataFrame:
     """file, block, n and record (text): the whole ones, and those put together from the parts of several blocks."""
-    parts = found.filter(F.col("kind") != WHOLE)
     # At most two rows of each block.
     order = Window.partitionBy("file").orderBy("block", "n")
     chained = parts.withColumn("_chain", F.sum((F.col("kind") == OPEN).cast("int")).over(order))
@@ -116,7 +133,7 @@ def records(found: DataFrame) -> DataFrame:
     chained = chained.groupBy("file", "_chain").agg(listed.alias("_parts"))
     text = F.array_join(F.transform("_parts", lambda p: p["record"].cast("string")), "\n")
     chained = chained.select("file", F.col("_parts")[0]["block"].alias("block"), F.col("_parts")[0]["n"].alias("n"), text.alias("record"))
-    whole = found.filter(F.col("kind") == WHOLE).select("file", "block", "n", F.col("record").cast("string").alias("record"))
+    whole = whole.select("file", "block", "n", F.col("record").cast("string").alias("record"))
     found = whole.unionByName(chained)
     return found.withColumn("record", F.when(F.endswith("record", F.lit("\r")), F.regexp_replace("record", "\r$", "")).otherwise(F.col("record")))
 
@@ -128,7 +145,7 @@ def read_quoted(spark: SparkSession, path: str) -> DataFrame:
     those of the first file. Empty lines are no records. An open quote at the end of a file ends there.
     """
     names = spark.read.options(header=True, **OPTIONS).csv(path).columns
-    rows = records(pieces(lines(spark, path))).filter("not (block = 0 and n = 0) and record != ''")
+    rows = records(*pieces(lines(spark, path))).filter("not (block = 0 and n = 0) and record != ''")
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
     # As the only row of a list, so that a record is parsed once and not for each of its columns.
     row = F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), OPTIONS)
