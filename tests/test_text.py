@@ -65,3 +65,10 @@ def test_log_target_inverts(spark):
     df = spark.createDataFrame([(0.0,), (12.5,)], "h double")
     back = [r[0] for r in df.select(F.expm1(F.log1p("h"))).collect()]
     assert back[0] == 0.0 and abs(back[1] - 12.5) < 1e-12
+
+
+def test_terms_match_a_text_once(spark):
+    """Words are found once, and not again for each use of them in the pairs."""
+    df = spark.createDataFrame([("One two, TWO three a",), ("",), (None,)], "v string").select(text.terms("v").alias("t"))
+    assert [r["t"] for r in df.collect()] == [["one", "two", "two", "three", "one two", "two two", "two three"], [], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
