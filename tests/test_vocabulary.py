@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ticketlens.functions.text import terms, word_tokens
 from ticketlens.operators import features
 
 
@@ -47,3 +49,29 @@ def test_rare_terms_are_not_counted_on_their_own(spark, monkeypatch):
 
 def test_vocabulary_of_nothing(spark):
     assert features.vocabulary(spark.createDataFrame([], "text string"), "text", 5, 1).count() == 0
+
+
+def test_terms_as_numbers(spark):
+    """Codes of a slice stand for the terms of its lists, and a term has the same hash in every slice."""
+    df = spark.createDataFrame([(t,) for t in [*texts(), "Ärger  mit ÄRGER, 东京 und 東京都", "x", "own1 own1 own1"]], "text string")
+    told = df.select(word_tokens("text").alias("w"), terms("text").alias("t")).collect()
+    hashes = {}
+    for i, j in ((0, len(told)), (3, 50), (100, len(told))):
+        rows, codes, hashed, names = features._coded(pa.array([r["w"] for r in told], pa.list_(pa.string())).slice(i, j - i))
+        n, words = len(names), names.to_pylist()
+        named = [words[c] if c < n else " ".join((words[(c - n) // n], words[(c - n) % n])) for c in codes.tolist()]
+        want = Counter((k - i, t) for k in range(i, j) for t in told[k]["t"] or ())
+        assert Counter(zip(rows.tolist(), named)) == want
+        assert all(hashes.setdefault(t, h) == h for t, h in zip(named, hashed.tolist()))
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_terms_are_not_made_one_by_one(spark, monkeypatch):
+    """Tasks count slices of few words, and give sums instead of a row for each use of a term."""
+    monkeypatch.setattr(features, "SLICE_WORDS", 50)
+    df = spark.createDataFrame([(t,) for t in texts()], "text string").repartition(3)
+    plans, settle = [], features.settle
+    monkeypatch.setattr(features, "settle", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or settle(d))
+    rows = features.vocabulary(df, "text", 30, 3).orderBy(F.desc("total"), "term").collect()
+    assert [(r.term, r.total, r.df) for r in rows] == counted(texts(), 30, 3)
+    assert plans and not any("Generate" in p for p in plans)
